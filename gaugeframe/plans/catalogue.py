@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import transfer
+
 #: Modules of this package; each has QUERIES (name: function of session and folder) and SQL (name: DuckDB text).
-MODULES: list = []
+MODULES: list = [transfer]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
