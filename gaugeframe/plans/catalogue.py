@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reports, transfer
+from . import data, reports, transfer
 
 #: Modules of this package; each has QUERIES (name: function of session and folder) and SQL (name: DuckDB text).
-MODULES: list = [transfer, reports]
+MODULES: list = [transfer, reports, data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
