@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import lru_cache
-from itertools import accumulate
-from math import comb
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +16,9 @@ def sign_swap_tail(n1: int, n2: int, n3: int, observed: int) -> tuple[int, int]:
     """How many of the 2^(n1+n2+n3) sign choices over n1 ones, n2 twos and n3 threes give a sum of at least
     ``observed`` in absolute value, and the number of choices.
 
-    Negating i ones, j twos and k threes lowers the sum by 2 (i + 2j + 3k), so the lower tail is a sum of products of
-    binomials over j and k, times a running sum of binomials for the ones; symmetry gives the other tail.
+    Negating i ones, j twos and k threes lowers the sum by 2 (i + 2j + 3k), so the lower tail is a sum of coefficients
+    of P(x) = (1+x)^n1 (1+x^2)^n2 (1+x^3)^n3, and symmetry gives the other tail. As 1+x divides 1+x^3, multiplying
+    P'/P by (1+x^2)(1+x^3) leaves no fraction, which gives each coefficient from the five before it.
     """
     if min(n1, n2, n3, observed) < 0:
         raise ValueError("counts and the observed statistic must not be negative")
@@ -27,13 +27,13 @@ def sign_swap_tail(n1: int, n2: int, n3: int, observed: int) -> tuple[int, int]:
         raise ValueError("the observed statistic can't arise from these weights")
     if observed == 0:
         return total, total
-    cutoff = (weight - observed) // 2
-    ones = list(accumulate(comb(n1, i) for i in range(min(n1, cutoff) + 1)))
-    twos = [comb(n2, j) for j in range(min(n2, cutoff // 2) + 1)]
-    tail = 0
-    for k in range(min(n3, cutoff // 3) + 1):
-        left = cutoff - 3 * k
-        tail += comb(n3, k) * sum(c * ones[min(left - 2 * j, len(ones) - 1)] for j, c in enumerate(twos[: left // 2 + 1]))
+    by = (n1, 2 * n2 - n1, 2 * n1 + 3 * n3, -n1, n1 + 2 * n2 + 3 * n3)
+    before: deque[int] = deque([1, 0, 0, 0, 0], maxlen=5)  # the last first
+    tail = 1
+    for k in range(1, (weight - observed) // 2 + 1):
+        c = sum(b * x for b, x in zip(by, before, strict=True)) - (k - 2) * before[1] - (k - 3) * before[2] - (k - 5) * before[4]
+        before.appendleft(c // k)
+        tail += before[0]
     return 2 * tail, total
 
 

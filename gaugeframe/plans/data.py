@@ -12,7 +12,7 @@ from .facts import read, rounded
 
 
 def coverage_missing_extra(spark, d):
-    docs, labels = read(spark, d, "documents").where("doc_id % 3 <> 0"), read(spark, d, "labels")
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels").select((F.col("doc_id") + 7).alias("doc_id"))
     return validation.coverage(docs, labels, ["doc_id"])
 
 
@@ -70,8 +70,8 @@ def stable_seeds(spark, d):
 
 
 def connected_components_folds(spark, d):
-    """G1: customers and the parts of their orders, thinned by a rule of the fixture to make several components."""
-    edges = read(spark, d, "orders").where("o_totalprice < 60000").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("a"), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd")).alias("b"))
+    """G1: customers linked by orders of the same price in whole units."""
+    edges = read(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("a"), F.concat(F.lit("p"), F.floor("o_totalprice")).alias("b"))
     found = sampling.components(edges, "a", "b")
     return found.groupBy("root").agg(F.count("*").alias("members"))
 
@@ -97,7 +97,7 @@ def tagged_union(spark, d):
 
 
 def missing_grid(spark, d):
-    return reshape.missing_grid(read(spark, d, "events").where("user_id % 2 = 0 OR event_type <> 'click'").select("user_id", "event_type"), "user_id", "event_type")
+    return reshape.missing_grid(read(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), "user_id", "day")
 
 
 def running_curriculum(spark, d):
@@ -182,7 +182,7 @@ _SPANS = "spans AS (SELECT user_id, event_type, epoch_us(ts) s, epoch_us(ts) + C
 _ISLANDS = """o AS (SELECT *, max(e) OVER (PARTITION BY {by} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM {t}),
   i AS (SELECT *, sum(CAST(coalesce(s > reach, true) AS INTEGER)) OVER (PARTITION BY {by} ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM o)"""
 SQL = {
-    "coverage_missing_extra": "WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, 'missing' status FROM d ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'extra' FROM labels ANTI JOIN d USING (doc_id)",
+    "coverage_missing_extra": "WITH l AS (SELECT doc_id + 7 doc_id FROM labels) SELECT doc_id, 'missing' status FROM documents ANTI JOIN l USING (doc_id) UNION ALL SELECT doc_id, 'extra' FROM l ANTI JOIN documents USING (doc_id)",
     "question_drift": """SELECT doc_id, 'lang' AS "column", lang left_value, CAST(NULL AS VARCHAR) right_value FROM documents WHERE doc_id % 50 = 0 AND lang IS NOT NULL
         UNION ALL SELECT doc_id, 'source', source, 'moved' FROM documents WHERE doc_id % 70 = 0 AND source IS DISTINCT FROM 'moved'""",
     "fold_crossing": "SELECT o_custkey % 500 \"identity\", count(DISTINCT o_custkey % 7) folds FROM orders GROUP BY 1 HAVING folds > 1",
@@ -205,7 +205,7 @@ SQL = {
     "circular_variants": """WITH p AS (SELECT p_partkey i, [p_brand, p_type, CAST(p_size AS VARCHAR), p_name] o, p_partkey % 4 a, r FROM part, range(4) x(r))
         SELECT i + r * 1000000 AS "index", i g_index, o[r % 4 + 1] "A", o[(1 + r) % 4 + 1] "B", o[(2 + r) % 4 + 1] "C", o[(3 + r) % 4 + 1] "D", ['A', 'B', 'C', 'D'][(a - r + 4) % 4 + 1] answer FROM p""",
     "tagged_union": "SELECT origin, segment, count(*) \"rows\", CAST(sum(k) AS BIGINT) \"keys\" FROM (SELECT 'customer' origin, c_mktsegment segment, c_custkey k FROM customer UNION ALL SELECT 'supplier', NULL, s_suppkey FROM supplier) GROUP BY ALL",
-    "missing_grid": "WITH e AS (SELECT user_id, event_type FROM events WHERE user_id % 2 = 0 OR event_type <> 'click') SELECT a.user_id, b.event_type FROM (SELECT DISTINCT user_id FROM e) a, (SELECT DISTINCT event_type FROM e) b EXCEPT SELECT user_id, event_type FROM e",
+    "missing_grid": "WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events) SELECT a.user_id, b.day FROM (SELECT DISTINCT user_id FROM e) a, (SELECT DISTINCT day FROM e) b EXCEPT SELECT user_id, day FROM e",
     "running_curriculum": """WITH r AS (SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) t, sum(t) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - t b FROM orders)
         SELECT CASE WHEN b < 1000 THEN 0 WHEN b < 3500 THEN 1 ELSE 2 END phase, count(*) "rows", CAST(sum(t) AS BIGINT) targets, min(o_orderkey) "first" FROM r GROUP BY 1""",
     "budget_round_up": "SELECT p_partkey, CAST(ceil(p_size / 8) * 8 AS BIGINT) samples FROM part",

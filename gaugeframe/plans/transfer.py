@@ -23,7 +23,7 @@ def paired_difference_counts(spark, d):
 
 
 def paired_exact_test(spark, d):
-    return transfer.paired_tests(transfer.difference_counts(hits(spark, d), BASELINE).where("level = 'capability' AND scope <> 'ALL'"))
+    return transfer.paired_tests(transfer.difference_counts(hits(spark, d), BASELINE))
 
 
 def transfer_matrix(spark, d):
