@@ -100,11 +100,13 @@ def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 60
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (fold(F.col("doc_id"), folds) != held))
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    ids = rows.where(F.col("lang").isin(top)).select("doc_id", "lang", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    # A thousandfold partition of each language is ranked first, so that no task gets a whole language.
-    near = ids.withColumn("part", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id")))
-    near = near.where(F.col("r") <= per_language).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
+    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    if not top:
+        return None
+    # Hashes are uniform: those below twice the share that is wanted hold the first per_language of each language.
+    share = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 2.0 * per_language / n + 64.0 / n))])
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(3)).alias("h")).where(F.pmod("h", F.lit(1 << 32)) < share[F.col("lang")] * float(1 << 32))
+    near = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "doc_id"))).where(F.col("r") <= per_language)
     chosen = docs.select("doc_id", "text").join(F.broadcast(near.select("doc_id", "lang")), "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
