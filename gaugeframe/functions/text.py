@@ -45,7 +45,7 @@ def infer_option(answer: Column, choices: list[str]) -> Column:
     words = tokens(F.translate(answer, SEPARATORS, " " * len(SEPARATORS)))
     there = [F.array_contains(words, c).cast("int") for c in choices]
     count = sum(there[1:], there[0])
-    late = [F.when(F.array_position(words, c) - 1 > F.size(words) - 5, F.lit(c)) for c in choices]
+    late = [F.when(F.array_contains(words, c) & (F.array_position(words, c) - 1 > F.size(words) - 5), F.lit(c)) for c in choices]
     refused = F.lit(False)
     for phrase in REFUSALS:
         refused = refused | answer.contains(phrase)

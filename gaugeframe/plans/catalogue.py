@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, reports, text, transfer, vectors
+from . import data, reports, scores, text, transfer, vectors
 
 #: Modules of this package; each has QUERIES (name: function of session and folder) and SQL (name: DuckDB text).
-MODULES: list = [transfer, reports, data, vectors, text]
+MODULES: list = [transfer, reports, data, vectors, text, scores]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
