@@ -45,5 +45,5 @@ counts AS (SELECT scope, level, node, model, count_if(abs(d) = 1) n1, count_if(a
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Floating columns rounded, as both engines sum in their own order."""
-    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t in ("double", "float")})
+    """Floating columns rounded, as both engines sum in their own order; a negative zero becomes zero."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c, t in df.dtypes if t in ("double", "float")})

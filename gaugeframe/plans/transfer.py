@@ -40,7 +40,7 @@ def dense_grid_empty_cells(spark, d):
 
 QUERIES = {f.__name__: f for f in (transfer_per_seed, transfer_summary, transfer_matrix, paired_difference_counts, paired_exact_test, dense_grid_empty_cells)}
 
-_R = lambda cs: ", ".join(f"round({c}, 6) {c}" for c in cs)
+_R = lambda cs: ", ".join(f"round({c}, 6) + 0.0 {c}" for c in cs)
 SQL = {
     "transfer_per_seed": f"WITH {HITS} SELECT scope, level, node, model, seed, CAST(correct AS BIGINT) correct, total, {_R(['accuracy', 'gain'])} FROM per_seed",
     "transfer_summary": f"WITH {HITS} SELECT scope, level, node, model, seeds, {_R([f'{c}_{k}' for c in ('accuracy', 'gain') for k in ('mean', 'std', 'sem')])} FROM summaries",

@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(rows):
-    return sorted(tuple("null" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    return sorted(tuple("null" if v is None else f"{round(v, 6) + 0.0:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
 @pytest.fixture(scope="module")
