@@ -7,6 +7,7 @@ returns the mix. Names of columns that a stage adds for itself start with ``_sta
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def _fingerprint():
-    import pandas as pd
-
     @F.pandas_udf("long")
     def run(text: pd.Series) -> pd.Series:
         return text.map(simhash.fingerprint)
