@@ -26,6 +26,9 @@ CRLF, END = "\r\n", "\r\n\r\n"
 VERSION, MEMBER = re.compile(rb"WARC/1\.[01]\r\n"), b"\x1f\x8b\x08"
 #: Records in a file at most, and payloads that are worth a revisit at least.
 FILE_RECORDS, LEAST = 2000, 100
+#: Revisits up to which their list is broadcast (about 90 bytes each), so that payloads stay where they are; a longer
+#: list is joined by shuffle.
+MOST_REVISITS = 500_000
 
 
 def _plain(value: Column) -> Column:
@@ -33,6 +36,16 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x00-\x1F\x7F]", " ")
 
 
+def revisits(pages: DataFrame, least: int) -> DataFrame:
+    """(page_id, digest, of) of each page that revisits an earlier one. Only ids and digests are moved; a hot digest's
+    rows are split by the adaptive skew join, as the side of first pages has one row a digest."""
+    body = F.coalesce("html", F.lit(""))
+    sums = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes")).where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
+    first = sums.groupBy("digest").agg(F.min("page_id").alias("of"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = cut(sums.join(first, "digest").where(F.col("page_id") != F.col("of")).select("page_id", "digest", "of").distinct())
+    return F.broadcast(found) if found.count() <= MOST_REVISITS else found
+
+
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, record): one WARC record a page, without its last blank lines.
 
@@ -41,10 +54,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """
     body = F.coalesce("html", F.lit(""))
     page = pages.select("page_id", "url", body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
-    sums = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes")).where(F.col("bytes") >= least)
-    # Only digests that occur twice are joined; a hot one is split by the adaptive skew join, as the right side is small.
-    first = sums.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    page = page.join(first, "digest", "left").withColumn("of", F.when((F.col("page_id") != F.col("first")) & (F.col("bytes") >= least), F.col("first")))
+    page = page.join(revisits(pages, least), ["page_id", "digest"], "left")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(END))
     block = F.when(F.col("of").isNull(), F.concat(http, F.col("body"))).otherwise(http)
     revisit = F.concat(
