@@ -20,6 +20,17 @@ AMBIGUOUS = 0.01
 QUALITY = 0.3
 
 
+#: Ids up to which a list of rows to drop is broadcast (8 bytes each); a longer list is joined by shuffle.
+MOST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``ids``. Texts are moved only if the list is too long to broadcast."""
+    ids = cut(ids.select(F.col("doc_id").alias("_stage_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    return docs.join(ids, F.col("doc_id") == F.col("_stage_id"), "left_anti").select(docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: those without a letter (``und``) and those between two languages go."""
     found = docs.withColumn("_stage_language", langid.scorer(langid.train(docs), AMBIGUOUS)(F.col("text"), F.coalesce(F.col("text").rlike(langid.LETTER), F.lit(False))))
@@ -39,11 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share that id are one document: the first by a hash of the row stays. A group without any id keeps one
     row in the same way.
     """
-    found = simhash.near_duplicates(docs)
-    heads = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_stage_n")))
-    single = docs.join(heads.where("_stage_n = 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if heads.where("_stage_n > 1 OR doc_id IS NULL").isEmpty():
+    found = cut(simhash.near_duplicates(docs))
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    heads = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_stage_n")).where("_stage_n > 1 OR doc_id IS NULL"))
+    single = without(docs.where(F.col("doc_id").isNotNull()), dropped)
+    if heads.isEmpty():
         return single
+    single = without(single, heads.select("doc_id"))
     again = docs.join(heads.where("_stage_n > 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     first = again.groupBy("doc_id").agg(F.min_by(F.struct(*again.columns), F.xxhash64(*again.columns)).alias("_stage_row")).select("_stage_row.*")
     # Without an id a row is known by its fingerprint's group, and component_id is null only if no member has an id.
@@ -64,8 +77,9 @@ def _fingerprint():
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no passage of a benchmark item."""
-    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_stage_id")).distinct()
-    return docs.join(leaking, F.col("doc_id").eqNullSafe(F.col("_stage_id")), "left_anti").select(docs.columns)
+    leaking = cut(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    kept = without(docs, leaking.where(F.col("doc_id").isNotNull()))
+    return kept if leaking.where(F.col("doc_id").isNull()).isEmpty() else kept.where(F.col("doc_id").isNotNull())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
