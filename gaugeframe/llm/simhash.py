@@ -13,7 +13,6 @@ not about results.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from .common import cut, small_batches
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Fingerprints for placing pivots, the size of shard to aim for, and the size of a leaf that is compared whole.
-SAMPLE, SHARD, LEAF = 8192, 2048, 192
+SAMPLE, SHARD, LEAF = 8192, 8192, 192
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -71,28 +70,32 @@ def _distances(pivot: np.uint64, fps: np.ndarray) -> np.ndarray:
 
 
 def _boundary(d: np.ndarray, radius: int) -> int:
-    """Near the median, where the fewest lie in the band that goes both ways; below the greatest distance."""
-    lo, hi = np.percentile(d, [25, 75]).astype(int)
-    tried = range(lo, max(lo, min(hi, int(d.max()) - 1)) + 1)
-    return min(tried, key=lambda mu: (int(((d > mu) & (d <= mu + radius)).sum()), abs(2 * int((d <= mu).sum()) - len(d))))
+    """The distance that leaves the larger side, with the band that goes both ways, as small as can be."""
+    upto = np.cumsum(np.bincount(d, minlength=65 + radius))
+    return int(np.maximum(upto[radius : 65 + radius], len(d) - upto[:65]).argmin())
 
 
-def top_tree(sample: np.ndarray, levels: int, radius: int) -> list:
-    """Nested [pivot, mu, inner, outer]; an empty list is a shard."""
-    if levels == 0 or len(sample) < 8:
-        return []
-    pivot = sample[0]
-    d = _distances(pivot, sample)
-    mu = _boundary(d, radius)
-    inner, outer = sample[d <= mu + radius], sample[d > mu]
-    if not len(outer) or len(inner) > 0.9 * len(sample):
-        pivot = sample[-1]
-        d = _distances(pivot, sample)
+def _split(pivots: np.ndarray, fps: np.ndarray, radius: int) -> tuple | None:
+    """(pivot, mu, inside, outside) of the first pivot that leaves both sides clearly smaller, or None."""
+    for pivot in pivots:
+        d = _distances(pivot, fps)
         mu = _boundary(d, radius)
-        inner, outer = sample[d <= mu + radius], sample[d > mu]
-        if not len(outer):
-            return []
-    return [pivot, mu, top_tree(inner[1:], levels - 1, radius), top_tree(outer[1:], levels - 1, radius)]
+        inner, outer = d <= mu + radius, d > mu
+        if outer.any() and max(inner.sum(), outer.sum()) <= 0.85 * len(fps):
+            return pivot, mu, inner, outer
+    return None
+
+
+def top_tree(sample: np.ndarray, scale: float, radius: int) -> list:
+    """Nested [pivot, mu, inner, outer]; an empty list is a shard. A node is split as long as the sample, each point of
+    which stands for ``scale`` fingerprints, says that it is larger than a shard: dense regions go deeper."""
+    if len(sample) * scale <= SHARD or len(sample) < 16:
+        return []
+    found = _split(sample[[0, len(sample) // 3, 2 * len(sample) // 3, -1]], sample, radius)
+    if found is None:
+        return []
+    pivot, mu, inner, outer = found
+    return [pivot, mu, top_tree(sample[inner], scale, radius), top_tree(sample[outer], scale, radius)]
 
 
 def route(tree: list, fps: np.ndarray, radius: int) -> Iterator[tuple[str, np.ndarray]]:
@@ -151,25 +154,22 @@ def link(fps: np.ndarray, radius: int) -> np.ndarray:
         if len(at) <= LEAF:
             compare(at)
             continue
-        for pivot in fps[at[[0, len(at) // 2, -1]]]:
-            d = _distances(pivot, fps[at])
-            mu = _boundary(d, radius)
-            inner, outer = at[d <= mu + radius], at[d > mu]
-            if len(outer) and len(inner) <= 0.85 * len(at) and len(outer) <= 0.85 * len(at):
-                todo += [inner, outer]
-                break
-        else:
+        found = _split(fps[at[[0, len(at) // 2, -1]]], fps[at], radius)
+        if found is None:
             compare(at)
+        else:
+            todo += [at[found[2]], at[found[3]]]
     return np.fromiter((_find(parent, i) for i in range(len(fps))), np.int64, len(fps))
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b), a < b, of forests that join all fingerprints of ``distinct`` within the radius."""
-    spark = distinct.sparkSession
     n = distinct.count()
-    levels = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp", F.lit(7))).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = top_tree(sample, levels, radius)
+    # Hashes are uniform: a task sends the driver its share of the sample and no more.
+    share, at = min(1.0, (1.5 * SAMPLE + 64) / max(n, 1)), F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 32))
+    few = distinct.where(at < share * float(1 << 32)).orderBy(at, "fp").limit(SAMPLE).collect()
+    sample = np.array([r["fp"] for r in few], np.int64).view(np.uint64)
+    tree = top_tree(sample, n / max(1, len(sample)), radius)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -182,8 +182,9 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         root = fps[link(fps.view(np.uint64), radius)]
         return pd.DataFrame({"a": np.minimum(fps, root), "b": np.maximum(fps, root)})[fps != root]
 
-    del spark
-    dealt = distinct.mapInPandas(deal, "shard string, fp long")
+    # A partitioning asked for by number isn't merged again: shards are small in bytes and long in work.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.mapInPandas(deal, "shard string, fp long").repartition(parts, "shard")
     return dealt.groupBy("shard").applyInPandas(join, "a long, b long").distinct()
 
 
