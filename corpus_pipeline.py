@@ -8,7 +8,7 @@ returns the mix. Names of columns that a stage adds for itself start with ``_sta
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import decontaminate, gam, langid, mixing, simhash
@@ -20,15 +20,25 @@ AMBIGUOUS = 0.01
 QUALITY = 0.3
 
 
-#: Ids up to which a list of rows to drop is broadcast (8 bytes each); a longer list is joined by shuffle.
+#: Rows up to which a list of ids or keys is broadcast (8 bytes each, a key about 80); a longer list is joined by shuffle.
 MOST_IDS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _listed(rows: DataFrame) -> DataFrame:
+    rows = cut(rows.distinct())
+    return F.broadcast(rows) if rows.count() <= MOST_IDS else rows
+
+
+def without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
     """``docs`` but for the rows whose doc_id is in ``ids``. Texts are moved only if the list is too long to broadcast."""
-    ids = cut(ids.select(F.col("doc_id").alias("_stage_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    return docs.join(ids, F.col("doc_id") == F.col("_stage_id"), "left_anti").select(docs.columns)
+    ids = _listed(ids.select(F.col("doc_id").alias("_stage_id")))
+    return docs.join(ids, F.col("doc_id") == F.col("_stage_id"), how)
+
+
+def without_keys(docs: DataFrame, of: Column, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``docs`` but for the rows whose doc_id, which may be null, and value of ``of`` are a row of ``keys``: (doc_id, key)."""
+    keys = _listed(keys.select(F.col("doc_id").alias("_stage_id"), F.col("key").alias("_stage_key")))
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_stage_id")) & (of == F.col("_stage_key")), how)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,27 +54,53 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.withColumn("_stage_score", gam.scorer(model)(F.col("text").cast("binary"))).where(F.col("_stage_score") >= QUALITY).select(docs.columns)
 
 
+def survivors(keys: DataFrame) -> DataFrame:
+    """(doc_id, fp) of the rows that stay, one for each root of ``keys``: (root, doc_id, fp)."""
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "fp")
+    other = (F.min("doc_id") != F.max("doc_id")) | F.bool_or(F.col("doc_id").isNull())
+    heads = cut(keys.groupBy("root").agg(F.min(order).alias("head"), F.coalesce(other, F.lit(False)).alias("other")).select("root", "head.doc_id", "head.fp", "other"))
+    # Of roots with the same head a root without another id comes first.
+    first = heads.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("root", F.struct("other", "root")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    if (first := cut(first.drop("n"))).isEmpty():
+        return heads.select("doc_id", "fp")
+    shared = heads.join(first.withColumnRenamed("doc_id", "_stage_id"), F.col("doc_id") == F.col("_stage_id"), "left")
+    lost = F.coalesce(F.col("root") != F.col("first"), F.lit(False))
+    again = keys.join(shared.where(lost).select("root", "_stage_id"), "root").where(~F.col("doc_id").eqNullSafe(F.col("_stage_id")))
+    again = again.groupBy("root").agg(F.min(order).alias("head")).select("head.doc_id", "head.fp")
+    return shared.where(~lost).select("doc_id", "fp").unionByName(again)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the document with the smallest doc_id.
 
-    Rows that share that id are one document: the first by a hash of the row stays. A group without any id keeps one
-    row in the same way.
+    Groups are told apart by their root fingerprint and rows by doc_id and fingerprint, so an id that is dropped in
+    one group stays in another. Rows that share id and fingerprint are one document: the first by a hash of the row
+    stays. A group without any id keeps one row in the same way. Where several groups have the same smallest id, it
+    is one document in several versions: it stays in one group, and each other group keeps its row with the next id,
+    or one without an id. So a text goes without a copy that stays only if all its copies have the id of that document.
     """
-    found = cut(simhash.near_duplicates(docs))
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    heads = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_stage_n")).where("_stage_n > 1 OR doc_id IS NULL"))
-    single = without(docs.where(F.col("doc_id").isNotNull()), dropped)
-    if heads.isEmpty():
-        return single
-    single = without(single, heads.select("doc_id"))
-    again = docs.join(heads.where("_stage_n > 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*again.columns), F.xxhash64(*again.columns)).alias("_stage_row")).select("_stage_row.*")
-    # Without an id a row is known by its fingerprint's group, and component_id is null only if no member has an id.
-    bare = docs.where(F.col("doc_id").isNull())
-    alone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fp").distinct()
-    prints = bare.withColumn("_stage_text", F.xxhash64("text")).withColumn("_stage_fp", _fingerprint()(F.col("text").cast("binary")))
-    bare = prints.join(alone.withColumnRenamed("fp", "_stage_fp"), "_stage_fp", "left_semi").groupBy("_stage_fp").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_stage_row")).select("_stage_row.*")
-    return single.unionByName(first).unionByName(bare)
+    found = simhash.near_duplicates(docs)
+    keys = cut(found.groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n")))
+    kept = survivors(keys).select(F.col("doc_id").alias("_stage_id"), F.col("fp").alias("_stage_fp"))
+    same = F.col("doc_id").eqNullSafe(F.col("_stage_id")) & (F.col("fp") == F.col("_stage_fp"))
+    keys = cut(keys.join(kept, same, "left").select("doc_id", F.col("fp").alias("key"), "n", F.col("_stage_fp").isNotNull().alias("stays")))
+    plain = F.col("stays") & (F.col("n") == 1)
+    # Most ids stay or go as a whole. Fingerprints are made again only for ids that don't, and for rows without one.
+    ids = keys.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(plain).alias("whole"), F.bool_or("stays").alias("some"))
+    ids = cut(ids.where("NOT whole"))
+    single = without(docs.where(F.col("doc_id").isNotNull()), ids.select("doc_id"))
+    mixed = ids.where("some").select("doc_id")
+    parts = [] if mixed.isEmpty() else [without(docs, mixed, "left_semi")]
+    parts += [] if keys.where("doc_id IS NULL").isEmpty() else [docs.where(F.col("doc_id").isNull())]
+    of = keys.join(mixed, "doc_id", "left_semi").unionByName(keys.where("doc_id IS NULL"))
+    for part in parts:
+        part = part.withColumn("_stage_print", _fingerprint()(F.col("text").cast("binary")))
+        single = single.unionByName(without_keys(part, F.col("_stage_print"), of.where(~plain)).select(docs.columns))
+        if not (several := of.where("stays AND n > 1")).isEmpty():
+            rows = without_keys(part, F.col("_stage_print"), several, "left_semi")
+            first = rows.groupBy("doc_id", "_stage_print").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_stage_row"))
+            single = single.unionByName(first.select("_stage_row.*"))
+    return single
 
 
 def _fingerprint():

@@ -209,18 +209,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) of every row of ``docs``.
+    """doc_id, fp, component_id (the smallest doc_id that links reach) and root of every row of ``docs``.
 
-    Defined cases: null and empty texts have fingerprint 0 and link like any other; repeated rows come back as often
-    as they come; null ids get the component of their fingerprint and never name one, unless no member has an id.
+    ``root`` is the smallest fingerprint of the component and tells components apart where an id is on rows of
+    several. Defined cases: null and empty texts have fingerprint 0 and link like any other; repeated rows come back
+    as often as they come; null ids get the component of their fingerprint and never name one, unless no member has
+    an id.
     """
     fps = cut(fingerprints(docs))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct.select("fp"), radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    to = named.join(least, "root").select("fp", "component_id")
-    return fps.join(to, "fp").select("doc_id", "fp", "component_id")
+    to = named.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(to, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_of(fp: Column) -> Column:

@@ -76,3 +76,30 @@ def test_run(spark, corpus):
     for s in {r.source for r in got.collect()}:
         own = [r for r in got.collect() if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+
+
+def test_each_group_keeps_a_row(spark, corpus):
+    _, d = corpus
+    rng = random.Random(29)
+    a, b, c, e, f, g = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6))
+    near = lambda t, n: " ".join([*t.split() * 12, f"x{n}"])
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, e), (9, e), (None, c), (None, b), (None, f), (None, f), (6, g), (6, g), (11, g)]
+    rows += [(None, near(g, n)) for n in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 0, 1, 0.5) for i, t in rows], SCHEMA)
+    found = simhash.near_duplicates(docs).collect()
+    at = {(r.doc_id, r.fp): r.root for r in found}
+    got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, d).collect()]
+    assert sorted(at[i, simhash.fingerprint(t.encode()) or 0] for i, t in got) == sorted(set(at.values()))
+    assert {(3, a), (5, b), (6, g)} <= set(got) and [i for i, t in got if t == f] == [None]
+    assert {i for i, t in got if t in (c, e)} in ({8, 9}, {8, None})
+    bare = {r.root for r in found if r.doc_id is None and r.component_id is None}
+    assert len(bare) < len({r.fp for r in found if r.root in bare})
+
+
+def test_a_document_in_versions_leaves_copies_with_other_ids(spark, corpus):
+    _, d = corpus
+    rng = random.Random(31)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    rows = [(3, a), (3, b), (4, b), (3, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 0, 1, 0.5) for i, t in rows], SCHEMA)
+    assert ids(P.drop_near_duplicates(spark, docs, d)) == sorted([(3, a), (4, b), (-1, c)])
