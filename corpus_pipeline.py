@@ -112,10 +112,9 @@ def _fingerprint():
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no passage of a benchmark item."""
-    leaking = cut(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    kept = without(docs, leaking.where(F.col("doc_id").isNotNull()))
-    return kept if leaking.where(F.col("doc_id").isNull()).isEmpty() else kept.where(F.col("doc_id").isNotNull())
+    """Keeps documents that hold no passage of a benchmark item: rows go by their text, not by their id alone."""
+    leaking = decontaminate.leaks_by_text(docs, table(spark, sf_dir, "benchmark"))
+    return without_keys(docs, F.xxhash64("text"), leaking.select("doc_id", F.col("text_hash").alias("key")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

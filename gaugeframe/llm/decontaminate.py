@@ -103,6 +103,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     once; rows with the same id and other texts are each looked at; ids may be null. Of equally good windows the
     first is named. Other columns are left out.
     """
+    return _best(leaks_by_text(docs, benchmark, similarity), "doc_id", "item_id")
+
+
+def _best(found: DataFrame, *key: str) -> DataFrame:
+    best = found.groupBy(*key).agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"))).alias("best"))
+    return best.select(*key, "best.similarity", (-F.col("best.back")).cast("int").alias("start"))
+
+
+def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """As ``leaks``, but a row for each text of an id: doc_id, text_hash (xxhash64 of the text), item_id, similarity, start."""
     items = cut(items_of(benchmark))
     widths = sorted(r[0] for r in items.select("k").distinct().collect())
     small = items.agg(F.sum("n")).first()[0] or 0
@@ -118,7 +128,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         anchors = places.join(near(known.where(F.col("k") == k)), "h").groupBy(*key, "item_id", "k", "n").agg(F.array_sort(F.collect_set("p")).alias("at"))
         found = anchors if found is None else found.unionByName(anchors)
     if found is None:  # no item has a word
-        ids = docs.select("doc_id").limit(0).withColumn("item_id", F.lit(None).cast(dict(benchmark.dtypes)["item_id"]))
+        ids = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).limit(0).withColumn("item_id", F.lit(None).cast(dict(benchmark.dtypes)["item_id"]))
         return ids.withColumns({"similarity": F.lit(0.0), "start": F.lit(0)})
     starts = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + F.col("need") - 1) - p < F.col("n"), F.lit(False)))
     starts = found.withColumn("need", need).where(F.size("at") >= F.col("need")).withColumn("starts", starts).where(F.size("starts") > 0)
@@ -142,5 +152,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     exact = exact.join(sets, functools.reduce(Column.__and__, same))
     common = F.size(F.array_intersect("w_set", "item_set"))
     exact = exact.withColumn("similarity", common / (F.size("w_set") + F.size("item_set") - common)).where(F.col("similarity") >= similarity - 1e-12)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"))).alias("best"))
-    return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("int").alias("start"))
+    return _best(exact, *key, "item_id")

@@ -103,3 +103,13 @@ def test_a_document_in_versions_leaves_copies_with_other_ids(spark, corpus):
     rows = [(3, a), (3, b), (4, b), (3, c), (None, c)]
     docs = spark.createDataFrame([(i, t, "en", "s0", 0, 1, 0.5) for i, t in rows], SCHEMA)
     assert ids(P.drop_near_duplicates(spark, docs, d)) == sorted([(3, a), (4, b), (-1, c)])
+
+
+def test_only_rows_that_leak_go(spark, corpus):
+    _, d = corpus
+    passage = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id = 0").first().text
+    leak, clean = f"one two {passage} three", [f"a clean text number {i}" for i in range(4)]
+    rows = [(None, leak), (None, clean[0]), (None, None), (7, leak), (7, clean[1]), (7, None), (8, clean[2]), (None, clean[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 0, 1, 0.5) for i, t in rows], SCHEMA)
+    want = sorted((-1 if i is None else i, t or "") for i, t in rows if t != leak)
+    assert ids(P.drop_benchmark_leaks(spark, docs, d)) == want
