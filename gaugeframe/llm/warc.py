@@ -11,6 +11,7 @@ there, and logs the gap in bytes.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import zlib
@@ -24,6 +25,8 @@ from .common import cut, scratch
 
 CRLF, END = "\r\n", "\r\n\r\n"
 VERSION, MEMBER = re.compile(rb"WARC/1\.[01]\r\n"), b"\x1f\x8b\x08"
+#: Bytes of a gzip member that are read at once.
+PIECE = 1 << 16
 #: Records in a file at most, and payloads that are worth a revisit at least.
 FILE_RECORDS, LEAST = 2000, 100
 #: Revisits up to which their list is broadcast (about 90 bytes each), so that payloads stay where they are; a longer
@@ -106,39 +109,91 @@ def parse(data: bytes, at: int) -> tuple[dict, int] | str:
     return {"head": head, "payload": payload, "payload_bytes": length}, stop + 4
 
 
+def _up_to_error(member, piece: bytes) -> bytes:
+    """What ``member`` makes of ``piece`` before the error in it."""
+    probe, i = member.copy(), 0
+    with contextlib.suppress(zlib.error):
+        for i in range(len(piece)):
+            probe.decompress(piece[i : i + 1])
+    out, rest = member.decompress(piece[:i]), piece[i : i + 1]
+    with contextlib.suppress(zlib.error):
+        while got := member.decompress(rest, 1):
+            out, rest = out + got, member.unconsumed_tail
+    return out
+
+
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, as far as it can be read, where it ends, and why not all could be read."""
+    member, out, to = zlib.decompressobj(31), bytearray(), at
+    while to < len(data) and not member.eof:
+        piece, before = data[to : to + PIECE], member.copy()
+        try:
+            out += member.decompress(piece)
+        except zlib.error as e:
+            return bytes(out + _up_to_error(before, piece)), to, str(e)
+        to += len(piece)
+    return bytes(out), to - len(member.unused_data), None if member.eof else "member without end"
+
+
+def _used(data: bytes, at: int, size: int) -> int:
+    """Where in ``data`` the first ``size`` bytes of what the member at ``at`` holds end."""
+    member, to = zlib.decompressobj(31), at
+    while piece := data[to : to + PIECE]:
+        before = member.copy()
+        with contextlib.suppress(zlib.error):
+            if (n := len(member.decompress(piece))) < size:
+                size, to = size - n, to + len(piece)
+                continue
+        with contextlib.suppress(zlib.error):
+            while size > 0 and to < len(data):
+                size, to = size - len(before.decompress(data[to : to + 1])), to + 1
+        break
+    return to
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """(from, to, record, None) for each record, and (from, to, None, reason) for each gap, in the order of the file."""
+    """(from, to, record, None) for each record, and (from, to, None, reason) for each gap, in the order of the file.
+
+    What a gzip member holds, records and gaps, has the member's place. Of a member that can't be read to its end the
+    records before the error count; their place ends with the last of them, and the search goes on from there. Only a
+    record that has such a member to itself doesn't count, as the member's check is its own.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
-        got: list[dict] = []
+        got: list[tuple[dict | None, str | None]] = []
+        stop, error = at, None
         if data.startswith(MEMBER, at):
-            member = zlib.decompressobj(31)
-            try:
-                inner = member.decompress(data[at:])
-                found = [x for x in salvage(inner)] if member.eof else "member without end"
-            except zlib.error as e:
-                found = str(e)
-            if not isinstance(found, str) and found and all(x[2] for x in found):
-                got, stop = [x[2] for x in found], len(data) - len(member.unused_data)
-            else:
-                found = found if isinstance(found, str) else next((x[3] for x in found if x[3]), "empty member")
+            inner, stop, error = inflate(data, at)
+            found = list(salvage(inner))
+            reason = error or next((x[3] for x in found if x[3]), "empty member")
+            if error:
+                found = found[: max((i + 1 for i, x in enumerate(found) if x[2]), default=0)]
+                if sum(x[2] is not None for x in found) == 1 and not inner.startswith(b"WARC/", found[-1][1]):
+                    found = []  # a member of one record: what checks the member checks the record
+                stop = _used(data, at, found[-1][1]) if found else at
+            got = [x[2:] for x in found] if any(x[2] for x in found) else []
         else:
-            found = parse(data, at)
-            if not isinstance(found, str):
-                got, stop = [found[0]], found[1]
+            reason = parse(data, at)
+            if not isinstance(reason, str):
+                got, stop = [(reason[0], None)], reason[1]
         if got:
-            if gap is not None:
+            if gap is not None and gap < at:
                 yield gap, at, None, why
-                gap = None
+            gap = None
             for x in got:
-                yield at, stop, x, None
+                yield at, stop, *x
+        elif gap is None:
+            gap, why = at, str(reason)
+        if stop > at and not error:  # a record, or a member read to its end: nothing to look for inside
             at = stop
             continue
-        if gap is None:
-            gap, why = at, str(found)
-        m, z = VERSION.search(data, at + 1), data.find(MEMBER, at + 1)
+        if got:
+            gap, why, start = stop, str(error), stop
+        else:
+            start = at + 1
+        m, z = VERSION.search(data, start), data.find(MEMBER, start)
         at = min(x for x in (m.start() if m else len(data), z if z >= 0 else len(data)))
-    if gap is not None:
+    if gap is not None and gap < len(data):
         yield gap, len(data), None, why
 
 
@@ -179,9 +234,9 @@ def page_of(uri: Column, kind: str) -> Column:
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Write ``pages`` to a new place in the shared folder and read them back: page_id, payload_bytes,
-    payload_digest, record_type, refers_to. A gap would come back as a row without a record type."""
+    payload_digest, record_type, refers_to. A gap comes back as a row without a record type."""
     path = scratch(pages.sparkSession)
     write(pages, path, least)
     kind = dict(pages.dtypes)["page_id"]
-    found = read(pages.sparkSession, path).where(F.col("gap").isNull())
+    found = read(pages.sparkSession, path)
     return cut(found.select(page_of(F.col("record_id"), kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to"), kind).alias("refers_to")))

@@ -141,6 +141,44 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def warc_record(text):
+    block = text.encode()
+    return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Block-Digest: sha256:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (hashlib.sha256(block).hexdigest().encode(), len(block), block)
+
+
+@pytest.mark.parametrize("level", [0, 9])
+def test_warc_members_of_many_records(level):
+    import gzip
+
+    rng = random.Random(37)
+    texts = [f"{i} " + " ".join(str(rng.random()) for _ in range(30)) for i in range(200)]
+    parts = [warc_record(t) for t in texts]
+    names = lambda data: [x[2] and int(x[2]["payload"].split()[0]) for x in warc.salvage(data)]
+    pack = lambda ps: gzip.compress(b"".join(ps), level)
+    whole = pack(parts)
+    assert names(whole) == list(range(200))
+    assert names(pack([*parts[:3], parts[3].replace(b"0.", b"1.", 1), *parts[4:]])) == [0, 1, 2, None, *range(4, 200)]
+    assert names(whole[:-1]) == [*range(200), None]
+    next_ = pack(parts[7:9])
+    for damaged in (whole[: len(whole) // 2], whole[: len(whole) // 2] + b"\xff" * 40 + whole[len(whole) // 2 + 40 :]):
+        got = list(warc.salvage(damaged + next_))
+        found = [int(x[2]["payload"].split()[0]) for x in got if x[2]]
+        assert found[:95] == list(range(95)) and found[-2:] == [7, 8] and len(set(found[:-2])) == len(found) - 2
+        assert any(x[3] for x in got) and got[0][0] == 0 and got[-1][1] == len(damaged + next_)
+        for x, y in zip(got, got[1:]):
+            assert x[1] > x[0] and (y[0] == x[1] or y[:2] == x[:2])
+
+
+def test_warc_round_trip_keeps_gaps(spark, monkeypatch):
+    def write(pages, path, least):
+        record = warc.records(pages, least).select("record")
+        record.selectExpr("replace(record, 'small', 'smell') AS record").write.option("lineSep", warc.END).text(path)
+
+    monkeypatch.setattr(warc, "write", write)
+    pages = spark.createDataFrame([(1, "u", "a page"), (2, "u", "small")], "page_id long, url string, html string").coalesce(1)
+    assert sorted((r.page_id or 0, r.record_type or "gap") for r in warc.round_trip(pages).collect()) == [(0, "gap"), (1, "response")]
+
+
 def plain_rule(url, rules):
     import re
 
