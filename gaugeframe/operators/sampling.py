@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.hashing import rank_digest
+from gaugeframe.operators.tables import cut, forget, stored
 
 
 def hash_top_k(df: DataFrame, key: str, k: int, seed: object, by: list[str] | None = None) -> DataFrame:
@@ -57,24 +56,19 @@ def contiguous(ordinal: Column, total: int, world: int) -> Column:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """G1: (node, root) with the least node of each component, by rounds of least labels with pointer jumping.
 
-    Each round is written to ``spark.checkpoint.dir``, so lineage stays short and a lost executor costs a reread.
+    Each round is written to ``spark.checkpoint.dir``, so lineage stays short and a lost executor costs a reread; the
+    tables of a round go once the next one stands.
     """
     spark = edges.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{base}/gaugeframe-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     one = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node IS NOT NULL AND other IS NOT NULL")
     both = cut(one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+    labels, place = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "root").unionByName(labels)
         least = near.groupBy("node").agg(F.min("root").alias("root"))
         jumped = least.join(labels.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root").select("node", F.least("root", "_up").alias("root"))
-        step = cut(jumped.join(labels.withColumnRenamed("root", "_was"), "node").withColumn("_moved", F.col("root") != F.col("_was")))
-        labels = step.select("node", "root")
+        step, next_place = stored(jumped.join(labels.withColumnRenamed("root", "_was"), "node").withColumn("_moved", F.col("root") != F.col("_was")))
+        forget(spark, place)
+        labels, place = step.select("node", "root"), next_place
         if step.where("_moved").isEmpty():
             return labels
