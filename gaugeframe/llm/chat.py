@@ -19,8 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 
 @dataclass(frozen=True)
 class Template:
@@ -31,7 +29,6 @@ class Template:
     close: str = "<|im_end|>\n"
     loss: tuple[str, ...] = ("assistant",)
     follows: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
-    final: tuple[str, ...] = ("assistant",)
 
 
 CHATML = Template()
@@ -59,7 +56,6 @@ def format_turns(rows: DataFrame, template: Template = CHATML) -> DataFrame:
     Defined cases: a null role or text is empty; turns sort nulls first, then by role and text where they tie, and
     repeated rows are turns of their own; a null conv_id is a conversation of its own. Other columns are left out.
     """
-    small_batches(rows.sparkSession)
     clean = rows.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     placed = clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
@@ -104,8 +100,9 @@ class Reader:
 
 
 def read_back(formatted: DataFrame, kind: str, template: Template = CHATML) -> DataFrame:
-    """A row a conversation, read from the partitions that ``format_turns`` returns: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars and n_errors (turns that the machine refuses)."""
+    """A row a conversation, read from the segments of ``format_turns`` in whatever order they were stored: conv_id,
+    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars and n_errors (turns that the machine refuses). A
+    conversation that ends with the user's turn is no error: it may go on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_errors"]
@@ -126,4 +123,5 @@ def read_back(formatted: DataFrame, kind: str, template: Template = CHATML) -> D
         yield pd.DataFrame([row()] if reader else [], columns=names)
 
     schema = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_errors long"
-    return formatted.mapInPandas(run, schema).withColumn("conv_id", F.col("conv_id").cast(kind))
+    placed = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return placed.mapInPandas(run, schema).withColumn("conv_id", F.col("conv_id").cast(kind))

@@ -1,39 +1,29 @@
-"""What the operators share: scratch tables, bounded batches, words, and the fixed hold-out hash."""
+"""What the operators share: bounded samples, words, and the fixed hold-out hash.
+
+Arrow batches are left at Spark's own bounds (10,000 rows or 64 MB, whichever comes first); the functions that make
+large arrays of a batch go through it in slices. No operator changes a setting of the session.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.operators.tables import cut, scratch
+
+__all__ = ["SPACE", "WORD", "bounded", "cut", "fold", "hash_below", "labelled", "one_a_key", "scratch", "slices", "table", "words"]
+
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: the longest texts times this many still fit in a Python worker.
-BATCH_ROWS = 256
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share.
-
-    The setting is read from the session; only where it is unset (a local test) a folder is chosen here.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/gaugeframe-{uuid.uuid4().hex}"
+#: Rows of a batch that are turned into arrays at once.
+SLICE = 256
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, so that a lost executor costs a reread
-    and not a recomputation. The writer commits by task, and retried tasks leave no double rows."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Texts can be long: hand them to Python in small Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(n: int, size: int = SLICE) -> Iterator[slice]:
+    return (slice(i, i + size) for i in range(0, n, size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +40,11 @@ def fold(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % n, F.lit(0)).cast("int")
 
 
+def hash_below(h: Column, share: Column | float) -> Column:
+    """Whether a signed 64-bit hash lies in the lowest ``share`` of all values."""
+    return h.cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * share
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
     """``docs`` joined with their one label where crc32(doc_id) mod ``folds`` isn't ``held``.
 
@@ -62,5 +57,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
 
 
 def bounded(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """At most ``rows`` rows, the first by a hash of ``by``: the same ones on every run."""
-    return df.orderBy(F.xxhash64(*by), *by).limit(rows)
+    """At most ``rows`` rows, the first by a hash of ``by``: the same ones on every run. Hashes are uniform, so a task
+    passes on its share of a little more than that and no more."""
+    h = F.xxhash64(*by)
+    return df.where(hash_below(h, min(1.0, (1.5 * rows + 64) / max(df.count(), 1)))).orderBy(h, *by).limit(rows)
+
+
+def one_a_key(df: DataFrame, *key: str) -> DataFrame:
+    """One row a key, the first by a hash of the row: an aggregate, so a key with any number of rows is thinned where
+    they are."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row")).select(*key, "_row.*")

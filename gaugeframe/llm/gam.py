@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, labelled, small_batches
+from .common import bounded, cut, labelled, one_a_key, slices
 
 BINS, COARSE = 32, 8
 FEATURES = ["words", "word_length", "upper", "digit", "symbol", "pipe", "exclaim", "stop", "wide", "distinct", "adjacent", "repeated_lines", "line_words", "lower_lines", "longest_word"]
@@ -154,17 +154,20 @@ def measured(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.drop(columns="text").assign(x=[measure(t) for t in b["text"]])
 
-    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(keep).dtypes), "x array<double>"])
     return docs.select(*keep, F.col("text").cast("binary").alias("text")).mapInPandas(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 12000) -> Model | None:
-    """Fit on at most ``max_rows`` rows with a quality label outside the held fold; None if there are none."""
+    """Fit on at most ``max_rows`` documents with a quality label outside the held fold; None if there are none.
+
+    An id that occurs on several rows is learned from once, from one of them; of labels that contradict each other
+    the larger holds; null ids and labels are left out.
+    """
     ids = bounded(labelled(docs.select("doc_id"), labels, "quality", folds, held).distinct(), max_rows, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "y", "text")
-    got = sorted((r["id"], r["y"], r["x"]) for r in cut(measured(rows)).collect())
+    got = sorted((r["id"], r["y"], r["x"]) for r in cut(one_a_key(measured(rows), "id")).collect())
     if not got:
         return None
     return fit(np.array([r[2] for r in got]), np.array([r[1] for r in got], float))
@@ -175,7 +178,8 @@ def scorer(model: Model | None):
     def run(text: pd.Series) -> pd.Series:
         if model is None:
             return pd.Series(np.full(len(text), 0.5))
-        return pd.Series(model.score(np.array([measure(t) for t in text], float).reshape(len(text), -1)))
+        parts = [model.score(np.array([measure(t) for t in text.iloc[s]], float)) for s in slices(len(text))]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return run
 
@@ -184,7 +188,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with a column ``quality_score`` (0 to 1).
 
     Defined cases: null and empty texts get the score of all-zero features; without any label every score is 0.5;
-    repeated rows get the same score; an existing column ``quality_score`` is replaced.
+    repeated rows get the same score, and so do texts that tie in all features' bins; a long text is measured whole;
+    an empty table stays empty; an existing column ``quality_score`` is replaced, other columns are left alone.
     """
-    small_batches(docs.sparkSession)
     return docs.withColumn("quality_score", scorer(model)(F.col("text").cast("binary")))

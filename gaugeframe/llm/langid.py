@@ -5,8 +5,9 @@ the lower-cased text) predicts it; a document gets the language whose codeword h
 predicted bits, a wrong bit weighing by how sure its model is (log loss). Where the two nearest codewords are nearly
 as good, the document is flagged as ambiguous.
 
-The models are fitted on the driver on at most ``per_language`` rows a language, the first by a hash of the id;
-texts are counted on the executors, and the driver gets ``DIM`` counts a sampled row.
+Every language that the table names is learned. The models are fitted on the driver on at most ``per_language`` rows
+a language and ``max_rows`` in all (one a language at least), the first by a hash of the row; texts are counted on the
+executors, and the driver gets ``DIM`` counts a sampled row.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fold, small_batches
+from .common import cut, fold, hash_below, slices
 
 #: Buckets of hashed n-grams; bits of a codeword beyond seven languages.
 DIM, BITS = 4096, 31
+#: Languages up to which the list of their shares is broadcast.
+MOST_BROADCAST = 100_000
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -49,13 +52,19 @@ def histogram(text: str | None) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """Up to seven languages: every way to split them in two. More: the random code with the widest least distance."""
+    """Up to seven languages: every way to split them in two. More: the random code with the widest least distance,
+    of ``BITS`` bits or, for many languages, six times as many as would number them."""
     if n <= 7:
         rows = [(1, *rest) for rest in itertools.product((0, 1), repeat=n - 1) if 0 in rest] if n > 1 else [(1,)]
         return np.array(rows, np.int8).T
     rng = np.random.default_rng(seed)
-    tried = (rng.integers(0, 2, (n, BITS), np.int8) for _ in range(200))
-    least = lambda c: min(int((c[i] != c[j]).sum()) for i in range(n) for j in range(i))
+    width = max(BITS, 6 * (n - 1).bit_length())
+
+    def least(code: np.ndarray) -> int:
+        signs = 2.0 * code - 1
+        return min(int(((width - signs[at] @ signs.T) / 2 + width * (np.arange(n)[at][:, None] == np.arange(n))).min()) for at in slices(n, 1024))
+
+    tried = (rng.integers(0, 2, (n, width), np.int8) for _ in range(max(2, min(200, 20_000_000 // n**2))))
     return max(tried, key=least)
 
 
@@ -93,33 +102,34 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 300, r
     return Model(languages, code, w, b)
 
 
-def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 600, most_languages: int = 200) -> Model | None:
+def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 600, max_rows: int = 12000) -> Model | None:
     """Fit on rows with text and lang outside the held fold; None if there are none.
 
-    The commonest ``most_languages`` languages are learned, each from at most ``per_language`` rows.
+    Rows that repeat an id, a text and a language count once. The model doesn't depend on how the rows are dealt.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (fold(F.col("doc_id"), folds) != held))
-    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not top:
+    h = F.xxhash64("doc_id", "text", "lang", F.lit(3))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (fold(F.col("doc_id"), folds) != held)).withColumn("_h", h)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    if not counts:
         return None
-    # Hashes are uniform: those below twice the share that is wanted hold the first per_language of each language.
-    share = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 2.0 * per_language / n + 64.0 / n))])
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(3)).alias("h")).where(F.pmod("h", F.lit(1 << 32)) < share[F.col("lang")] * float(1 << 32))
-    near = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "doc_id"))).where(F.col("r") <= per_language)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(near.select("doc_id", "lang")), "doc_id")
+    most = max(1, min(per_language, max_rows // len(counts)))
+    # Hashes are uniform: those below twice the share that is wanted hold the first ``most`` of each language.
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, (2.0 * most + 64.0) / n)) for k, n in sorted(counts.items())], "lang string, share double")
+    ids = rows.select("lang", "_h").join(F.broadcast(shares) if len(counts) <= MOST_BROADCAST else shares, "lang").where(hash_below(F.col("_h"), F.col("share"))).select("lang", "_h").distinct()
+    near = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("r") <= most)
+    near = cut(near.select(F.col("_h").alias("_key")))
+    chosen = rows.select("lang", "text", "_h").join(F.broadcast(near), F.col("_h") == F.col("_key"), "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "lang": b["lang"], "x": [histogram(t).astype(np.float16).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"lang": b["lang"], "h": b["_h"], "x": [histogram(t).astype(np.float16).tobytes() for t in b["text"]]})
 
-    got = cut(chosen.mapInPandas(count, "doc_id string, lang string, x binary")).limit(len(top) * per_language * 2).collect()
-    got = sorted(got, key=lambda r: (r["lang"], r["doc_id"], bytes(r["x"])))
+    counted = cut(chosen.mapInPandas(count, "lang string, h long, x binary"))
+    got = sorted(counted.dropDuplicates(["lang", "h"]).collect(), key=lambda r: (r["lang"], r["h"]))
     languages = sorted({r["lang"] for r in got})
-    if not languages:
-        return None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
-    return fit(x, np.array([languages.index(r["lang"]) for r in got]), languages)
+    place = {k: i for i, k in enumerate(languages)}
+    return fit(x, np.array([place[r["lang"]] for r in got]), languages)
 
 
 def scorer(model: Model | None, ambiguous: float):
@@ -130,9 +140,9 @@ def scorer(model: Model | None, ambiguous: float):
         n = len(text)
         pred, score, unsure = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
         at = np.nonzero(letter.to_numpy())[0] if model else np.zeros(0, int)
-        if len(at):
-            best, share, lead = model.decode(np.stack([histogram(t) for t in text.iloc[at]]))
-            pred[at], score[at], unsure[at] = np.array(model.languages, object)[best], np.minimum(share, 1.0), lead < ambiguous
+        for s in slices(len(at)):
+            best, share, lead = model.decode(np.stack([histogram(t) for t in text.iloc[at[s]]]))
+            pred[at[s]], score[at[s]], unsure[at[s]] = np.array(model.languages, object)[best], np.minimum(share, 1.0), lead < ambiguous
         return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": unsure})
 
     return run
@@ -142,9 +152,10 @@ def predict(docs: DataFrame, model: Model | None, ambiguous: float = 0.05) -> Da
     """``docs`` with a struct column ``language`` of lang_pred, score and ambiguous.
 
     Defined cases: a null text or one without a letter is ``und`` with score 0 and flagged; so is every row if there
-    was nothing to learn from. Repeated rows get the same answer; an existing column ``language`` is replaced.
+    was nothing to learn from. Repeated rows get the same answer; of languages whose codewords are equally near the
+    first by name is taken, and the row is flagged; a long text is counted whole; an empty table stays empty; an
+    existing column ``language`` is replaced, other columns are left alone.
     """
-    small_batches(docs.sparkSession)
     return docs.withColumn("language", scorer(model, ambiguous)(F.col("text"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False))))
 
 

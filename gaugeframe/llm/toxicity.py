@@ -3,8 +3,9 @@
 Each coordinate has its own learning rate, and the L1 term leaves most weights at exactly zero: what is sent to the
 executors is a list of at most ``DIM`` (bucket, weight) pairs. A feature counts once a document, whatever its length.
 
-The weights are fitted on the driver on at most ``max_rows`` labelled rows, the first by a hash of the id; the
-executors hash the texts, so the driver gets buckets and no text.
+The weights are fitted on the driver on at most ``max_rows`` labelled documents of ``max_buckets`` distinct buckets in
+all, the first by a hash of the id; the executors hash the texts, so the driver gets buckets and no text, four bytes
+each.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, labelled, small_batches
+from .common import bounded, cut, labelled, one_a_key
 
 DIM = 1 << 20
 #: Bytes that separate words: ASCII but letters and digits. Bytes of other scripts are parts of words.
@@ -81,9 +82,13 @@ def _calibrated(sums: np.ndarray, y: np.ndarray, steps: int = 25) -> tuple[float
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, float(w[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 12000) -> Model:
-    """Fit on at most ``max_rows`` rows with a toxic label outside the held fold. Without any, every score is 0."""
-    small_batches(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = 12000, max_buckets: int = 24_000_000) -> Model:
+    """Fit on at most ``max_rows`` documents with a toxic label outside the held fold. Without any, every score is 0.
+
+    An id that occurs on several rows is learned from once, from one of them; of labels that contradict each other the
+    larger holds; null ids and labels are left out. Where the documents are so long that they have more than
+    ``max_buckets`` buckets, the first of them by the hash that fit in are learned from, and one at least.
+    """
     ids = bounded(labelled(docs.select("doc_id"), labels, "toxic", folds, held).distinct(), max_rows, "doc_id")
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
 
@@ -91,7 +96,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "x": [np.unique(buckets(t)).tobytes() for t in b["text"]]})
 
-    got = sorted(cut(rows.mapInPandas(count, "doc_id string, y int, x binary")).collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    counted = cut(one_a_key(rows.mapInPandas(count, "doc_id string, y int, x binary"), "doc_id").withColumn("h", F.xxhash64("doc_id")))
+    room, last = max_buckets, None
+    for r in sorted(counted.select("h", F.octet_length("x").alias("n")).collect()):
+        room -= r["n"] // 4
+        if room < 0 and last is not None:
+            break
+        last = r["h"]
+    got = sorted(counted.where(F.col("h") <= F.lit(last)).collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     if not got:
         return Model(-30.0, np.zeros(0, np.int32), np.zeros(0, np.float32))
     return fit([np.frombuffer(r["x"], np.uint32) for r in got], np.array([r["y"] for r in got], float))
@@ -116,8 +128,8 @@ def scorer(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``toxicity`` (0 to 1).
 
-    Defined cases: null and empty texts get the score of the bias alone; repeated rows get the same score; an existing
-    column ``toxicity`` is replaced.
+    Defined cases: null and empty texts get the score of the bias alone; repeated rows get the same score, and so do
+    texts with the same set of buckets; a long text is hashed whole; an empty table stays empty; an existing column
+    ``toxicity`` is replaced, other columns are left alone.
     """
-    small_batches(docs.sparkSession)
     return docs.withColumn("toxicity", scorer(model)(F.col("text").cast("binary")))
