@@ -2,11 +2,14 @@
 
 The writer makes each record a row of text and leaves the files to Spark's own text writer, with the blank lines
 that end a record as the line separator: files appear by task commit, on any file system that Spark writes to, and a
-task that is lost and run again leaves no second copy.
-
-The reader takes whole files, plain or with gzip members. A record whose version line, header, length, end or digest
-fails is not trusted: the reader looks for the next version line or member that starts a valid record, goes on from
-there, and logs the gap in bytes.
+task that is lost and run again leaves no second copy. Records are written by classes of size, a file of a class
+holding fewer records the larger they are, so that a file has ``FILE_BYTES`` or one record.
+
+The reader takes whole files, plain or with gzip members, of up to the 2 GB that a cell can hold (Spark refuses a
+larger file with an error). A record whose version line, header, length, end or digest fails is not trusted: the
+reader looks for the next version line or member that starts a valid record, goes on from there, and logs the gap in
+bytes. It takes time in proportion to the file: what it searches for is searched for once, members are inflated piece
+by piece, and headers have a greatest length.
 """
 
 from __future__ import annotations
@@ -15,20 +18,22 @@ import contextlib
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.operators.tables import forget_on_exit
+
 from .common import cut, scratch
 
 CRLF, END = "\r\n", "\r\n\r\n"
 VERSION, MEMBER = re.compile(rb"WARC/1\.[01]\r\n"), b"\x1f\x8b\x08"
-#: Bytes of a gzip member that are read at once.
-PIECE = 1 << 16
-#: Records in a file at most, and payloads that are worth a revisit at least.
-FILE_RECORDS, LEAST = 2000, 100
+#: Bytes of a gzip member that are read at once, of a header at most, and members inside members at most.
+PIECE, HEADER_MOST, DEEPEST = 1 << 16, 1 << 20, 16
+#: Bytes of a file to aim for, records of it at most, and payloads that are worth a revisit at least.
+FILE_BYTES, FILE_RECORDS, LEAST = 128 << 20, 2000, 100
 #: Revisits up to which their list is broadcast (about 90 bytes each), so that payloads stay where they are; a longer
 #: list is joined by shuffle.
 MOST_REVISITS = 500_000
@@ -49,23 +54,30 @@ def revisits(pages: DataFrame, least: int) -> DataFrame:
     return F.broadcast(found) if found.count() <= MOST_REVISITS else found
 
 
-def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, record): one WARC record a page, without its last blank lines.
+def _id(page: Column) -> Column:
+    """A page's id in a header: any text, percent-encoded; integers as they are."""
+    return F.url_encode(page.cast("string"))
+
+
+def records(pages: DataFrame, least: int = LEAST, known: DataFrame | None = None) -> DataFrame:
+    """(page_id, record): one WARC record a page, without its last blank lines. ``known``: the revisits, if they were
+    looked for already.
 
     Of pages with equal payloads of at least ``least`` bytes that with the smallest page_id is the response and the
-    others revisit it; smaller payloads are all responses, and so are pages without an id.
+    others revisit it; smaller payloads are all responses, and so are pages without an id. Pages that share an id are
+    each written.
     """
     body = F.coalesce("html", F.lit(""))
     page = pages.select("page_id", "url", body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
-    page = page.join(revisits(pages, least), ["page_id", "digest"], "left")
+    page = page.join(revisits(pages, least) if known is None else known, ["page_id", "digest"], "left")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(END))
     block = F.when(F.col("of").isNull(), F.concat(http, F.col("body"))).otherwise(http)
     revisit = F.concat(
-        F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("of"), F.lit(">\r\n")
+        F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), _id(F.col("of")), F.lit(">\r\n")
     )
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("of").isNull(), F.lit("response")).otherwise(F.lit("revisit")),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(_id(F.col("page_id")), F.lit("")),
         F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), _plain(F.col("url")),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit(CRLF), F.coalesce(revisit, F.lit("")),
         F.lit("WARC-Block-Digest: sha256:"), F.sha2(block, 256), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(END), block,
@@ -73,9 +85,19 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return page.select("page_id", head.alias("record"))
 
 
+def size_class(pages: DataFrame) -> Column:
+    """How often a record of 64 kB must grow fourfold to hold the page."""
+    bytes_ = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + 1024
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, bytes_ / (FILE_BYTES // FILE_RECORDS)))).cast("int")
+
+
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    """Write the pages' records as plain WARC files below ``path``."""
-    records(pages, least).select("record").write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Write the pages' records as plain WARC files below ``path``, each class of sizes in a folder of its own."""
+    known = revisits(pages, least)
+    classes = [r["size"] for r in pages.select(size_class(pages).alias("size")).distinct().collect()]
+    for size in sorted(classes) or [0]:
+        of_size = records(pages.where(size_class(pages) == size), least, known)
+        of_size.select("record").write.option("lineSep", END).option("maxRecordsPerFile", max(1, FILE_RECORDS >> (2 * size))).text(f"{path}/size={size}")
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -88,7 +110,7 @@ def parse(data: bytes, at: int) -> tuple[dict, int] | str:
     m = VERSION.match(data, at)
     if not m:
         return "no version line"
-    end = data.find(b"\r\n\r\n", m.end())
+    end = data.find(b"\r\n\r\n", m.end(), m.end() + HEADER_MOST)
     if end < 0:
         return "header without end"
     head = _headers(data[m.end() : end])
@@ -103,7 +125,11 @@ def parse(data: bytes, at: int) -> tuple[dict, int] | str:
     payload, length = block, len(block)
     if "application/http" in head.get("content-type", ""):
         http, _, payload = block.partition(b"\r\n\r\n")
-        length = int(_headers(http).get("content-length", len(payload))) if head.get("warc-type") == "revisit" else len(payload)
+        length = len(payload)
+        if head.get("warc-type") == "revisit" and (said := _headers(http).get("content-length")) is not None:
+            if not re.fullmatch(r"\d{1,15}", said):
+                return "no payload length"
+            length = int(said)
     if head.get("warc-type") != "revisit" and head.get("warc-payload-digest", "").startswith("sha256:") and hashlib.sha256(payload).hexdigest() != head["warc-payload-digest"][7:]:
         return "payload digest differs"
     return {"head": head, "payload": payload, "payload_bytes": length}, stop + 4
@@ -151,20 +177,35 @@ def _used(data: bytes, at: int, size: int) -> int:
     return to
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
+class _Next:
+    """Where a pattern is found next, or the end of the data; it is searched for again only from beyond the last place."""
+
+    def __init__(self, find: Callable[[int], int]) -> None:
+        self.find, self.at = find, -1
+
+    def __call__(self, start: int) -> int:
+        if self.at < start:
+            self.at = self.find(start)
+        return self.at
+
+
+def salvage(data: bytes, depth: int = 0) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(from, to, record, None) for each record, and (from, to, None, reason) for each gap, in the order of the file.
 
     What a gzip member holds, records and gaps, has the member's place. Of a member that can't be read to its end the
     records before the error count; their place ends with the last of them, and the search goes on from there. Only a
-    record that has such a member to itself doesn't count, as the member's check is its own.
+    record that has such a member to itself doesn't count, as the member's check is its own. Members inside members
+    are opened up to ``DEEPEST`` deep; what lies deeper is a gap.
     """
     at, gap, why = 0, None, ""
+    version = _Next(lambda start: m.start() if (m := VERSION.search(data, start)) else len(data))
+    member = _Next(lambda start: z if (z := data.find(MEMBER, start)) >= 0 else len(data))
     while at < len(data):
         got: list[tuple[dict | None, str | None]] = []
         stop, error = at, None
-        if data.startswith(MEMBER, at):
+        if data.startswith(MEMBER, at) and depth < DEEPEST:
             inner, stop, error = inflate(data, at)
-            found = list(salvage(inner))
+            found = list(salvage(inner, depth + 1))
             reason = error or next((x[3] for x in found if x[3]), "empty member")
             if error:
                 found = found[: max((i + 1 for i, x in enumerate(found) if x[2]), default=0)]
@@ -191,8 +232,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
             gap, why, start = stop, str(error), stop
         else:
             start = at + 1
-        m, z = VERSION.search(data, start), data.find(MEMBER, start)
-        at = min(x for x in (m.start() if m else len(data), z if z >= 0 else len(data)))
+        at = min(version(start), member(start))
     if gap is not None and gap < len(data):
         yield gap, len(data), None, why
 
@@ -201,9 +241,9 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """A row for every record and every gap below ``path``: file, from_byte, to_byte, record_type, record_id, url,
     payload_bytes, payload_digest, refers_to, payload (if asked for) and gap (the reason, null for records).
 
-    Defined cases: an empty file has no rows; a file that holds no valid record is one gap.
+    Defined cases: an empty file has no rows; a file that holds no valid record is one gap; records that repeat are
+    each a row. Files come to Python in batches of about 64 MB, or one by one where they are larger.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     names = ["file", "from_byte", "to_byte", "record_type", "record_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload", "gap"]
 
     def row(file: str, a: int, b: int, x: dict | None, why: str | None) -> tuple:
@@ -225,18 +265,26 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                 yield pd.DataFrame(out, columns=names).astype({"payload_bytes": "Int64"})
 
     schema = "file string, from_byte long, to_byte long, record_type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary, gap string"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def page_of(uri: Column, kind: str) -> Column:
-    return F.nullif(F.regexp_extract(uri, "<urn:page:([^>]*)>", 1), F.lit("")).cast(kind)
+    return F.url_decode(F.nullif(F.regexp_extract(uri, "<urn:page:([^>]*)>", 1), F.lit(""))).cast(kind)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Write ``pages`` to a new place in the shared folder and read them back: page_id, payload_bytes,
-    payload_digest, record_type, refers_to. A gap comes back as a row without a record type."""
+    payload_digest, record_type, refers_to. A gap comes back as a row without a record type.
+
+    Defined cases: a null html is an empty payload; a null url is empty; a null page_id comes back as null and an empty
+    text as null; pages that share an id or repeat each other come back as often as they come, those that share an id
+    and a payload all as its response or all as its revisits; a payload may be as long as a cell; other columns are
+    left out; an empty table gives an empty result.
+    """
     path = scratch(pages.sparkSession)
     write(pages, path, least)
+    forget_on_exit(pages.sparkSession, path)
     kind = dict(pages.dtypes)["page_id"]
     found = read(pages.sparkSession, path)
     return cut(found.select(page_of(F.col("record_id"), kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to"), kind).alias("refers_to")))
