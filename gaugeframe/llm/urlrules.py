@@ -3,7 +3,9 @@
 A host is turned round label by label into a canonical key (``blog.example.net`` becomes ``net.example.blog.``), so
 a host with all its subdomains is an interval of keys. Addresses and rules are dealt into ranges of keys, each rule
 to every range that its interval touches; within a range both are sorted together and swept once, with a stack of
-the rules whose intervals are open. Of the open rules that the path fits, the longest wins.
+the hosts whose intervals are open. The rules of one host come in the order of their paths, and each remembers the
+longest path before it that is a beginning of its own: the rules that fit an address's path are found by one bisection
+and then from path to shorter path, however many rules a host has. Of all rules that fit, the longest wins.
 
 The bounds of the ranges come from a bounded sample (``SAMPLE`` keys); they decide about balance, not about results.
 A key that fills several ranges is spread over them.
@@ -42,22 +44,48 @@ def reversed_key(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "." if host else ""
 
 
+class Host:
+    """The rules of one host in the order of their paths, which nest like a stack: ``up`` leads from a path to the
+    longest other one that it begins with."""
+
+    def __init__(self, key: str) -> None:
+        self.key, self.paths, self.up, self.rules = key, [], [], []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        if self.paths and self.paths[-1] == path:  # the same rule again: a block wins
+            if verdict == "block":
+                self.rules[-1] = (rule, verdict)
+            return
+        at = len(self.paths) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.up[at]
+        self.paths.append(path), self.up.append(at), self.rules.append((rule, verdict))
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.up[at]
+        return self.rules[at] if at >= 0 else None
+
+
 class Sweep:
-    """One pass over (range, key)-sorted rules and addresses, a rule before the addresses that its key precedes."""
+    """One pass over rules and addresses sorted by range, key and path, a rule before the addresses that its key precedes."""
 
     def __init__(self) -> None:
         self.at, self.stack = None, []
 
     def step(self, bucket: int, key: str, kind: int, path: str, rule: str | None, verdict: str | None) -> tuple | None:
-        """The winning rule of an address, as (key, path, rule, verdict); rules only go on the stack."""
+        """The winning rule of an address and its verdict; rules only go on the stack."""
         if bucket != self.at:
             self.at, self.stack = bucket, []
-        while self.stack and not key.startswith(self.stack[-1][0]):
+        while self.stack and not key.startswith(self.stack[-1].key):
             self.stack.pop()
         if kind == 0:
-            self.stack.append((key, path, rule, verdict))
+            if not self.stack or self.stack[-1].key != key:
+                self.stack.append(Host(key))
+            self.stack[-1].add(path, rule, verdict)
             return None
-        return max((r for r in self.stack if path.startswith(r[1])), key=lambda r: (len(r[2]), r[2], r[3] == "block"), default=None)
+        return max((r for h in self.stack if (r := h.longest(path))), key=lambda r: (len(r[0]), r[0], r[1] == "block"), default=None)
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
@@ -65,8 +93,9 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
 
     ``rules`` has host, path and verdict (allow or block). Of equally long rules the greater text wins, of the same
     rule twice the block. Defined cases: a null address or one without ``://`` has an empty host and path and fits no
-    rule of a host; rules with a null field are left out; repeated addresses are judged alike; existing columns named
-    host, path, rule or verdict are replaced. An empty rule table gives the default everywhere.
+    rule of a host; rules with a null field are left out; repeated addresses are judged alike; a long address is looked at
+    whole; existing columns named host, path, rule or verdict are replaced. An empty rule table gives the default
+    everywhere.
     """
     spark = urls.sparkSession
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -97,13 +126,13 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         range_of(F.col("key"), F.pmod(F.xxhash64("row"), F.lit(1 << 30)).cast("int")).alias("bucket"), "key", F.lit(1).alias("kind"),
         "row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"),
     )
-    together = asked.select(shape).unionByName(opened.select(shape)).repartition("bucket").sortWithinPartitions("bucket", "key", "kind")
+    together = asked.select(shape).unionByName(opened.select(shape)).repartition("bucket").sortWithinPartitions("bucket", "key", "kind", "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sweep = Sweep()
         for b in batches:
             best = [sweep.step(*x) for x in zip(b["bucket"], b["key"], b["kind"], b["path"], b["rule"], b["verdict"], strict=True)]
-            found = b[["row", "host", "path"]].assign(rule=[x and x[2] for x in best], verdict=[x[3] if x else default for x in best])
+            found = b[["row", "host", "path"]].assign(rule=[x and x[0] for x in best], verdict=[x[1] if x else default for x in best])
             yield found[b["kind"] == 1]
 
     kind = kept.schema["row"].dataType.simpleString()
