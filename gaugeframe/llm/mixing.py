@@ -6,8 +6,9 @@ gives its mass in words to the other until one of them is integral, which of the
 keeps its expectation. The words of a source then differ from its target by less than one document.
 
 A source is dealt by a hash of its rows into chunks of about ``CHUNK``; every chunk leaves one residual, and residuals
-are rounded among each other ``FAN`` at a time, level by level, until one is left. Coins are hashes of the rows and a
-seed, so reruns agree whatever the partitioning.
+are rounded among each other ``FAN`` at a time, level by level, until one is left. Rows that repeat each other are
+counted first and numbered, and the number is part of the hash, so that they are spread like others. Coins are hashes
+of the rows, their numbers and a seed, so reruns agree whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut
 
 CHUNK, FAN = 1024, 64
+#: Sources at most: the driver holds a name and a size of each, about 100 bytes. More is an error, not a cut.
+MOST_SOURCES = 2_000_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, most: float) -> dict[str | None, float]:
@@ -78,13 +81,17 @@ def pivot(rows: list[tuple[int, int, float]], seed: int) -> tuple[dict[int, int]
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every row of ``docs``.
 
-    Defined cases: a null or empty text has size 0 and takes nothing; a null source is one of its own and comes last;
-    repeated rows are rounded one by one; null ids are rows like others. An empty table gives an empty result.
+    Defined cases: a null or empty text has size 0 and takes nothing; a long one counts whole; a null source is one of
+    its own and comes last; repeated rows, however many, are rounded one by one; null ids are rows like others. Other
+    columns are not looked at, whatever their names. An empty table gives an empty result; more than ``MOST_SOURCES``
+    sources are an error.
     """
     sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("h"))
-    sized = cut(sized)
+    sized = cut(numbered(sized))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    stats = totals.collect()  # a row a source
+    stats = totals.limit(MOST_SOURCES + 1).collect()  # a row a source
+    if len(stats) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = targets([(r["source"], r["source_size"]) for r in stats], weights, share, most)
     most_chunks = max((-(-r["rows"] // CHUNK) for r in stats), default=1)
     shape = "source string, source_size long, target double, chunks int"
@@ -106,6 +113,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     return every.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, size, h) with h mixed with a number where rows repeat each other, from the second on.
+
+    Equal rows are counted where they are and dealt out again ``CHUNK`` at a time, so that no task gets all of them.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    single = counted.where("n = 1").drop("n")
+    many = counted.where("n > 1").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    many = many.repartition("h", "piece").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("piece") * CHUNK) - 1)))
+    at = F.col("piece") * CHUNK + F.col("i")
+    return single.unionByName(many.withColumn("h", F.when(at > 0, F.xxhash64("h", at)).otherwise(F.col("h"))).select(*rows.columns))
+
+
 def _rounded(rows: DataFrame, seed: int, last: bool) -> DataFrame:
     """``rows`` with done: 0 or 1, or -1 for the residual of a chunk, whose p is then what is left of it. In the last
     level each chunk is a whole source and its residual falls by a coin."""
