@@ -7,12 +7,16 @@ near the boundary goes both ways and, by the triangle bound, each linked pair me
 tree goes on down to small leaves, which are compared exactly. A shard returns a forest over its linked
 fingerprints, never all pairs; the forests are joined into components by distributed rounds of minimum labels.
 
-Only a bounded sample of fingerprints (``SAMPLE``) reaches the driver, to place pivots; it decides about balance,
-not about results.
+A region so dense that no pivot splits it (near copies of near copies) is not compared pair by pair: two fingerprints
+within an even radius are linked exactly if they share a fingerprint within half of it, so those are listed and sorted.
+
+Only a bounded sample of fingerprints (``SAMPLE`` to ``MOST_SAMPLE``, 8 bytes each) reaches the driver, to place
+pivots; it decides about balance, not about results.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +24,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.operators import sampling
+
 from .common import cut
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Fingerprints for placing pivots, the size of shard to aim for, and the size of a leaf that is compared whole.
-SAMPLE, SHARD, LEAF = 8192, 8192, 192
+#: Fingerprints for placing pivots, as many as that at least and at most, with SAMPLED for each shard to come.
+SAMPLE, MOST_SAMPLE, SAMPLED = 8192, 1 << 18, 16
+#: The size of shard to aim for, of a leaf that is compared whole, of an unsplit region that is compared pair by pair,
+#: and the neighbours that are sorted at once (8 bytes each).
+SHARD, LEAF, DENSE, AT_ONCE = 8192, 192, 4096, 1 << 23
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -118,6 +127,36 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    return parent
+
+
+def neighbours(fps: np.ndarray, within: int) -> Iterator[np.ndarray]:
+    """The fps with every choice of up to ``within`` bits flipped: an array for each choice."""
+    for n in range(within + 1):
+        for bits in itertools.combinations(range(64), n):
+            yield fps ^ np.uint64(sum(1 << b for b in bits))
+
+
+def shared(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of fps that join all fps within an even radius: those that have a neighbour within half of it in
+    common. A part of all possible neighbours at a time, ``AT_ONCE`` of them or so."""
+    each = sum(1 for _ in neighbours(fps[:1], radius // 2))
+    parts = -(-len(fps) * each // AT_ONCE)
+    for part in range(parts):
+        seen, places = [], []
+        for x in neighbours(fps, radius // 2):
+            at = np.nonzero((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts) == part)[0]
+            seen.append(x[at]), places.append(at)
+        x, at = np.concatenate(seen), np.concatenate(places)
+        order = np.argsort(x, kind="stable")
+        x, at = x[order], at[order]
+        same = np.nonzero(x[1:] == x[:-1])[0]
+        yield at[same], at[same + 1]
+
+
 def link(fps: np.ndarray, radius: int) -> np.ndarray:
     """For each of the distinct fps the place of the root of its component, over all pairs within the radius."""
     parent = np.arange(len(fps))
@@ -154,66 +193,60 @@ def link(fps: np.ndarray, radius: int) -> np.ndarray:
             compare(at)
             continue
         found = _split(fps[at[[0, len(at) // 2, -1]]], fps[at], radius)
-        if found is None:
+        if found is not None:
+            todo += [at[found[2]], at[found[3]]]
+        elif len(at) <= DENSE or radius % 2:
             compare(at)
         else:
-            todo += [at[found[2]], at[found[3]]]
-    return np.fromiter((_find(parent, i) for i in range(len(fps))), np.int64, len(fps))
+            for a, b in shared(fps[at], radius):
+                for i in range(0, len(a), 1 << 16):
+                    roots = _roots(parent)
+                    x, y = roots[at[a[i : i + (1 << 16)]]], roots[at[b[i : i + (1 << 16)]]]
+                    unite(x[x != y], y[x != y])
+    return _roots(parent)
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b), a < b, of forests that join all fingerprints of ``distinct`` within the radius."""
     n = distinct.count()
+    wanted = int(min(MOST_SAMPLE, max(SAMPLE, SAMPLED * n / SHARD)))
     # Hashes are uniform: a task sends the driver its share of the sample and no more.
-    share, at = min(1.0, (1.5 * SAMPLE + 64) / max(n, 1)), F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 32))
-    few = distinct.where(at < share * float(1 << 32)).orderBy(at, "fp").limit(SAMPLE).collect()
+    share, at = min(1.0, (1.5 * wanted + 64) / max(n, 1)), F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 32))
+    few = distinct.where(at < share * float(1 << 32)).orderBy(at, "fp").limit(wanted).collect()
     sample = np.array([r["fp"] for r in few], np.int64).view(np.uint64)
     tree = top_tree(sample, n / max(1, len(sample)), radius)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = b["fp"].to_numpy()
-            for shard, at in route(tree, fps.view(np.uint64), radius):
-                yield pd.DataFrame({"shard": shard, "fp": fps[at]})
+            names, places = zip(*route(tree, fps.view(np.uint64), radius), strict=True) if len(fps) else ([], [])
+            if places:
+                yield pd.DataFrame({"shard": np.repeat(np.array(names, object), [len(at) for at in places]), "fp": fps[np.concatenate(places)]})
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(b["fp"].to_numpy())
         root = fps[link(fps.view(np.uint64), radius)]
         return pd.DataFrame({"a": np.minimum(fps, root), "b": np.maximum(fps, root)})[fps != root]
 
-    # A partitioning asked for by number isn't merged again: shards are small in bytes and long in work.
+    # A partitioning asked for by number isn't merged again: fingerprints and shards are small in bytes and long in work.
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.mapInPandas(deal, "shard string, fp long").repartition(parts, "shard")
+    dealt = distinct.repartition(parts, "fp").mapInPandas(deal, "shard string, fp long").repartition(parts, "shard")
     return dealt.groupBy("shard").applyInPandas(join, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of the component of every node that has an edge.
-
-    Rounds of taking the smallest label among the neighbours, then the label of the label, until none changes; each
-    round's labels are a written table. Edges and labels stay distributed.
-    """
-    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))))
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), "root"), "other").select("node", "root")
-        near = seen.unionByName(labels).groupBy("node").agg(F.min("root").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = near.join(up, "root").select("node", F.least("root", "up").alias("root"))
-        was = labels.select("node", F.col("root").alias("was"))
-        step = cut(jumped.join(was, "node").select("node", "root", (F.col("root") != F.col("was")).alias("moved")))
-        labels = step.select("node", "root")
-        if step.where("moved").isEmpty():
-            return labels
+    """(node, root): the smallest node of the component of every node that has an edge."""
+    return sampling.components(edges, "a", "b")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach) and root of every row of ``docs``.
 
     ``root`` is the smallest fingerprint of the component and tells components apart where an id is on rows of
-    several. Defined cases: null and empty texts have fingerprint 0 and link like any other; repeated rows come back
-    as often as they come; null ids get the component of their fingerprint and never name one, unless no member has
-    an id.
+    several. Defined cases: null and empty texts have fingerprint 0 and link like any other; a long text is hashed
+    whole; repeated rows come back as often as they come; null ids get the component of their fingerprint and never
+    name one: a component without any id has none; other columns are left out, whatever their names; an empty table
+    gives an empty result.
     """
     fps = cut(fingerprints(docs))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
