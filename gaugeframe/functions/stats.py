@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +33,10 @@ def sign_swap_tail(n1: int, n2: int, n3: int, observed: int) -> tuple[int, int]:
     tail = 1
     for k in range(1, (weight - observed) // 2 + 1):
         c = sum(b * x for b, x in zip(by, before, strict=True)) - (k - 2) * before[1] - (k - 3) * before[2] - (k - 5) * before[4]
-        before.appendleft(c // k)
+        c, rest = divmod(c, k)
+        if rest:
+            raise ArithmeticError("the recurrence must divide without rest")
+        before.appendleft(c)
         tail += before[0]
     return 2 * tail, total
 
@@ -47,7 +51,13 @@ def exact_row(n1: int | None, n2: int | None, n3: int | None, difference: int |
 def exact_test(*counts: str) -> Column:
     """Two-sided exact test of paired differences (n1, n2, n3, difference). Big integers are text; significance is
     20 * numerator < denominator, in integers."""
-    return F.udf(exact_row, EXACT)(*counts)
+
+    @F.pandas_udf(EXACT)
+    def run(n1: pd.Series, n2: pd.Series, n3: pd.Series, difference: pd.Series) -> pd.DataFrame:
+        rows = [exact_row(*(None if pd.isna(x) else int(x) for x in r)) or (None,) * 4 for r in zip(n1, n2, n3, difference, strict=True)]
+        return pd.DataFrame(rows, columns=["numerator", "denominator", "p", "significant"]).astype({"p": float})
+
+    return run(*counts)
 
 
 def sem(value: Column) -> Column:

@@ -7,6 +7,9 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.operators.reshape import MOST_VALUES
+from gaugeframe.operators.tables import cut
+
 
 def asserted(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """An inner join in which every left row must find its one partner. The check rides along as a column
@@ -42,7 +45,10 @@ def up_hierarchy(df: DataFrame, node: str, value: Column, parents: DataFrame, ro
 def grid_difference(found: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """The cells of rows x columns that are missing and those that don't belong, each with its status."""
     key = [*rows.columns, *columns.columns]
-    grid = rows.distinct().join(F.broadcast(columns.distinct()))
+    side = cut(columns.distinct())
+    if side.count() > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} columns")
+    grid = rows.distinct().join(F.broadcast(side))
     have = found.select(*key).distinct()
     return grid.join(have, key, "left_anti").withColumn("status", F.lit("missing")).unionByName(have.join(grid, key, "left_anti").withColumn("status", F.lit("extra")))
 

@@ -7,6 +7,9 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeframe.operators.sampling import ranged
+from gaugeframe.operators.tables import cut
+
 
 def tagged_union(parts: dict[str, DataFrame], tag: str) -> DataFrame:
     """All parts by name, missing columns null, each row tagged with its part."""
@@ -25,11 +28,17 @@ def circular_variants(df: DataFrame, options: list[str], answer: str, index: str
 
 
 def merge_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals of each group joined (gaps and islands)."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", (F.coalesce(F.col(start) > reach, F.lit(True))).cast("int"))
-    island = flagged.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Overlapping or touching intervals of each group joined (gaps and islands). Rows are looked at in ranges of
+    their start; how far the ranges before reach, and how many islands they open, is added from a row a range."""
+    rows = ranged(df.select(*by, start, end), *by, start, end)
+    inner = Window.partitionBy(*by, "_piece").orderBy(start, end)
+    outer = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*by, "_piece").agg(F.max(end).alias("_far")).select(*by, "_piece", F.max("_far").over(outer).alias("_reach"))
+    seen = F.greatest("_reach", F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    flagged = cut(rows.join(reach, [*by, "_piece"]).withColumn("_new", F.coalesce(F.col(start) > seen, F.lit(True)).cast("int")))
+    opened = flagged.groupBy(*by, "_piece").agg(F.sum("_new").alias("_o")).select(*by, "_piece", F.coalesce(F.sum("_o").over(outer), F.lit(0)).alias("_start"))
+    island = flagged.withColumn("_in", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(opened, [*by, "_piece"])
+    island = island.withColumn("_i", F.col("_in") + F.col("_start"))
     return island.groupBy(*by, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("_i")
 
 
@@ -49,14 +58,24 @@ def offset_running_sum(df: DataFrame, bucket: Column, order: list[str], value: C
     return rows.withColumn("_in", inner).join(before, "_b").withColumn(into, F.col("_in") + F.col("_before")).drop("_b", "_v", "_in", "_before")
 
 
+#: Values of a dimension up to which they are broadcast; beyond, the grid is refused.
+MOST_VALUES = 1_000_000
+
+
 def missing_grid(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs of dimension values that have no row."""
-    grid = df.select(a).distinct().join(F.broadcast(df.select(b).distinct()))
+    """The pairs of dimension values that have no row. ``b`` must have at most ``MOST_VALUES`` values."""
+    columns = cut(df.select(b).distinct())
+    if columns.count() > MOST_VALUES:
+        raise ValueError(f"{b} has more than {MOST_VALUES} values")
+    grid = df.select(a).distinct().join(F.broadcast(columns))
     return grid.join(df.select(a, b).distinct(), [a, b], "left_anti")
 
 
 def self_reference(df: DataFrame, index: str, payload: str, longest: int = 64) -> DataFrame:
-    """A short payload is the index of the row that holds the real one."""
-    source = df.select(F.col(index).cast("string").alias("_i"), F.col(payload).alias("_p"))
-    joined = df.join(source, (F.length(payload) <= longest) & (F.col(payload) == F.col("_i")), "left")
-    return joined.withColumn(payload, F.coalesce("_p", payload)).drop("_i", "_p")
+    """A short payload is the index of the row that holds the real one. Long payloads aren't join keys: they meet
+    nothing and are moved only to the rows that point at them."""
+    pointing = F.when(F.length(payload) <= longest, F.col(payload))
+    wanted = df.select(pointing.alias("_i")).where("_i IS NOT NULL").distinct()
+    source = df.select(F.col(index).cast("string").alias("_i"), F.col(payload).alias("_p")).join(wanted, "_i", "left_semi")
+    joined = df.withColumn("_to", pointing).join(source, F.col("_to") == F.col("_i"), "left")
+    return joined.withColumn(payload, F.coalesce("_p", payload)).drop("_i", "_p", "_to")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +22,49 @@ def hash_top_k(df: DataFrame, key: str, k: int, seed: object, by: list[str] | No
     return top(thinned, by).drop("_h", "_r")
 
 
+def sliced_rank(df: DataFrame, by: list[str], piece: str, order: list, into: str) -> DataFrame:
+    """The rank from 0 of each row within its group ``by``, without a task for a whole group. ``piece`` must not decrease
+    along the order: rows are numbered within (group, piece), and the rows of the pieces before are added from a table
+    with a row a piece. Nulls in ``by`` are a group."""
+    counts = df.groupBy(*by, piece).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*by, piece])], before.alias("_before"))
+    inner = df.withColumn("_in", F.row_number().over(Window.partitionBy(*by, piece).orderBy(*order)) - 1)
+    on = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate([*by, piece])])
+    return inner.join(starts, on).withColumn(into, (F.col("_in") + F.col("_before")).cast("int")).drop("_in", "_before", *starts.columns)
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in ranges of ``order``, numbered upwards in ``_piece`` and written, so that the ranges stay what they are.
+    Equal values share a range."""
+    return cut(df.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id()))
+
+
 def fold_of_rank(df: DataFrame, task: str, key: str, folds: int, seed: object, locked: str | None = None) -> DataFrame:
-    """Rank in hash order within the task, modulo folds; a locked fold holds but its row still takes a rank."""
-    r = F.row_number().over(Window.partitionBy(task).orderBy(rank_digest(seed, F.col(key)), key)) - 1
-    fold = r % folds
-    return df.withColumn("fold", F.coalesce(F.col(locked), fold) if locked else fold)
+    """Rank in hash order within the task, modulo folds; a locked fold holds but its row still takes a rank. Slices of
+    the digest are ranked on their own, so no task sorts a whole large group."""
+    ranked = df.withColumn("_h", rank_digest(seed, F.col(key))).withColumn("_piece", F.coalesce(F.substring("_h", 1, 2), F.lit("")))
+    ranked = sliced_rank(ranked, [task], "_piece", ["_h", key], "_rank").withColumn("_fold", F.col("_rank") % folds)
+    return ranked.withColumn("fold", F.coalesce(F.col(locked), F.col("_fold")) if locked else F.col("_fold")).drop("_h", "_piece", "_rank", "_fold")
 
 
 def occurrence(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """How often the key came before, in order."""
-    return df.withColumn("repeat_index", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    """How often the key came before, in order; a key with any number of rows is counted in ranges."""
+    return sliced_rank(ranged(df, *key, *order), key, "_piece", order, "repeat_index").drop("_piece")
 
 
 def average_rank(df: DataFrame, value: str, into: str, by: list[str] | None = None) -> DataFrame:
     """Ranks from 0, ties sharing their mean. Computed on distinct values with their counts, which partial
-    aggregation makes smaller than the rows, and joined back."""
+    aggregation makes smaller than the rows, in ranges of the values, and joined back; null values have no rank."""
     by = by or []
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(into, F.coalesce(before, F.lit(0)) + (F.col("_n") - 1) / 2).drop("_n")
-    return df.join(ranks, [*by, value])
+    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), *by, value)
+    sums = counts.groupBy(*by, "_piece").agg(F.sum("_n").alias("_all"))
+    earlier = F.coalesce(F.sum("_all").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*by, "_piece", earlier.alias("_start"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.withColumn("_before", before).join(starts, [*by, "_piece"])
+    ranks = ranks.select(*by, value, (F.col("_start") + F.col("_before") + (F.col("_n") - 1) / 2).alias(into))
+    return df.join(ranks, [*by, value], "left")
 
 
 def strided(ordinal: Column, world: int) -> Column:

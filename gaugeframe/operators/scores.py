@@ -91,14 +91,16 @@ def first_mode(df: DataFrame, value: str, order: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), "_first").limit(1).drop("_first")
 
 
-def bootstrap_ci(df: DataFrame, score: str, category: str | None = None, draws: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+def bootstrap_ci(df: DataFrame, score: str, category: str | None = None, draws: int = 1000, level: float = 0.95, seed: int = 0, key: str | None = None) -> DataFrame:
     """Percentile interval of the mean (or of the mean of category means) over resamples.
 
     A resample gives each row a Poisson(1) count from a hash of row and draw, so the rows stay where they are and only
-    sums by draw are shuffled: the usual distributed form of drawing with replacement.
+    sums by draw are shuffled: the usual distributed form of drawing with replacement. A row is known by ``key``, or by
+    all its values, so the result doesn't depend on how the rows are dealt. Rows are exploded by draw but never shuffled
+    so: sums by draw and category are combined first.
     """
     cat = F.col(category) if category else F.lit("")
-    rows = df.select(cat.alias("_c"), F.col(score).cast("double").alias("_s"), F.monotonically_increasing_id().alias("_id"))
+    rows = df.select(cat.alias("_c"), F.col(score).cast("double").alias("_s"), F.xxhash64(*([key] if key else df.columns)).alias("_id"))
     u = F.pmod(F.xxhash64("_id", "_d", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     cdf, count = 0.0, F.lit(0)
     for k in range(9):
@@ -110,9 +112,10 @@ def bootstrap_ci(df: DataFrame, score: str, category: str | None = None, draws:
     return means.agg(F.percentile("_m", alpha).alias("low"), F.percentile("_m", 1 - alpha).alias("high"))
 
 
-def permutation_p(df: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """Two-sided Monte-Carlo test of paired scores: signs of the differences are flipped by a hash of row and draw."""
-    rows = df.select((F.col(a) - F.col(b)).cast("double").alias("_x"), F.monotonically_increasing_id().alias("_id"))
+def permutation_p(df: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 0, key: str | None = None) -> DataFrame:
+    """Two-sided Monte-Carlo test of paired scores: signs of the differences are flipped by a hash of row and draw.
+    A row is known by ``key``, or by all its values."""
+    rows = df.select((F.col(a) - F.col(b)).cast("double").alias("_x"), F.xxhash64(*([key] if key else df.columns)).alias("_id"))
     flipped = rows.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("_y", F.when((F.col("_d") == 0) | (F.pmod(F.xxhash64("_id", "_d", F.lit(seed)), F.lit(2)) == 0), F.col("_x")).otherwise(-F.col("_x")))
     sums = flipped.groupBy("_d").agg(F.abs(F.sum("_y")).alias("_y"))
     seen = F.broadcast(sums.where("_d = 0").select(F.col("_y").alias("_o")))  # one row

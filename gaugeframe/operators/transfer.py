@@ -24,7 +24,8 @@ def scopes_and_nodes(df: DataFrame) -> DataFrame:
 
 def per_seed(facts: DataFrame, baseline: str, benchmarks: list[str] | None = None) -> DataFrame:
     """A1: scope, level, node, model, seed, correct, total, accuracy and gain (percentage points over the same seed's
-    baseline). The grid is dense: a scope has every node; a cell without questions has null measures."""
+    baseline). The grid is dense: a scope has every node; a cell without questions has null measures. A cell with an
+    accuracy whose seed the baseline lacks fails the query when it is read."""
     base = facts.groupBy("benchmark", "family", "capability", "model", "seed").agg(F.sum("hit").alias("correct"), F.count("hit").alias("total"))
     cells = scopes_and_nodes(base).groupBy("scope", "level", "node", "model", "seed").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
     runs = cells.select("model", "seed").distinct()
@@ -37,7 +38,12 @@ def per_seed(facts: DataFrame, baseline: str, benchmarks: list[str] | None = Non
     dense = dense.withColumn("accuracy", F.try_divide(100.0 * F.col("correct"), F.col("total").cast("double")))
     first = F.max(F.when(F.col("model") == baseline, F.col("accuracy")))
     against = dense.groupBy("scope", "level", "node", "seed").agg(first.alias("base"))
-    return dense.join(against, ["scope", "level", "node", "seed"]).withColumn("gain", F.col("accuracy") - F.col("base")).drop("base")
+    return dense.join(against, ["scope", "level", "node", "seed"]).withColumn("gain", F.col("accuracy") - _paired("base")).drop("base")
+
+
+def _paired(base: str) -> Column:
+    lacks = F.concat(F.lit("the baseline has no run with seed "), F.col("seed").cast("string"))
+    return F.when(F.col("accuracy").isNull() | F.col(base).isNotNull(), F.col(base)).otherwise(F.raise_error(lacks).cast("double"))
 
 
 def summary(cells: DataFrame) -> DataFrame:
@@ -46,14 +52,43 @@ def summary(cells: DataFrame) -> DataFrame:
     return cells.groupBy("scope", "level", "node", "model").agg(F.count("accuracy").alias("seeds"), *stats)
 
 
+MOST_PAIRED_SEEDS = 3
+
+
+def runs_of(facts: DataFrame, baseline: str, paired: bool = True) -> dict[str, list[int]]:
+    """The seeds of each model. They must be whole, not negative and the baseline's own, and at most three for
+    exact tests. A row a run reaches the driver."""
+    found: dict[str, list] = {}
+    for r in facts.select("model", "seed").distinct().collect():
+        found.setdefault(r["model"], []).append(r["seed"])
+    if baseline not in found:
+        raise ValueError(f"no run of {baseline}")
+    for model, seeds in found.items():
+        if any(not isinstance(s, int) or s < 0 for s in seeds):
+            raise ValueError(f"seeds of {model} must be whole and not negative: {seeds}")
+        if set(seeds) != set(found[baseline]):
+            raise ValueError(f"{model} has the seeds {sorted(seeds)}, {baseline} has {sorted(found[baseline])}")
+    if paired and len(found[baseline]) > MOST_PAIRED_SEEDS:
+        raise ValueError(f"exact paired tests take 1 to {MOST_PAIRED_SEEDS} seeds, not {len(found[baseline])}")
+    return found
+
+
 def difference_counts(facts: DataFrame, baseline: str) -> DataFrame:
     """A4: of each (scope, node, model): questions whose seed-summed difference to the baseline is 1, 2 or 3 in size,
-    and the sum of differences. Seeds cancel within a question before anything is counted."""
+    and the sum of differences. Seeds cancel within a question before anything is counted.
+
+    Every model must answer every question once with every seed: a question that doesn't fails the query when it is
+    read. Facts are shuffled once, by question: models are compared where their question lies.
+    """
+    runs = runs_of(facts, baseline)
     key = ["uid", "benchmark", "family", "capability"]
-    base = F.col("model") == baseline
-    per_question = facts.where(~base).groupBy(*key, "model").agg(F.sum(F.col("hit").cast("long")).alias("hits"))
-    own = facts.where(base).groupBy(*key).agg(F.sum(F.col("hit").cast("long")).alias("base_hits"))
-    d = per_question.join(own, key).withColumn("d", F.col("hits") - F.col("base_hits"))
+    by_model = facts.repartition(*key).groupBy(*key, "model").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("hit").alias("n"), F.size(F.collect_set("seed")).alias("seeds"))
+    full = (F.col("n") == len(runs[baseline])) & (F.col("seeds") == len(runs[baseline]))
+    each = by_model.groupBy(*key).agg(F.max(F.when(F.col("model") == baseline, F.col("hits"))).alias("base_hits"), F.bool_and(full).alias("full"), F.collect_list(F.struct("model", "hits")).alias("m"))
+    lacks = F.concat(F.lit("a run is missing or repeated for question "), F.col("uid").cast("string"))
+    checked = F.when(F.col("full") & (F.size("m") == len(runs)), F.col("base_hits")).otherwise(F.raise_error(lacks).cast("long"))
+    d = each.withColumn("base_hits", checked).select(*key[1:], "base_hits", F.explode("m").alias("m")).where(F.col("m.model") != baseline)
+    d = d.select(*key[1:], "m.model", (F.col("m.hits") - F.col("base_hits")).alias("d"))
     counts = [F.sum((F.abs("d") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3)]
     small = d.groupBy("benchmark", "family", "capability", "model").agg(*counts, F.sum("d").alias("difference"), F.count("*").alias("questions"))
     sums = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "difference", "questions")]

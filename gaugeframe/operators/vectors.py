@@ -1,7 +1,9 @@
-"""Gradient vectors: norms, cosines, Gram matrices, stratified dual PCA, minibatch alignment."""
+"""Gradient vectors: norms, cosines, Gram matrices in blocks, stratified PCA on them, minibatch alignment."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,61 +26,196 @@ def mean_vectors(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
 
 
 def alignment(sources: DataFrame, targets: DataFrame, vector: str) -> DataFrame:
-    """Cosine of every source and target mean; both sides are small (a row a task)."""
+    """Cosine of every source and target mean: a matrix with a row a task on both sides, checked."""
     s, t = sources.withColumnRenamed(vector, "_s"), targets.withColumnRenamed(vector, "_t")
+    if t.count() > MOST_POOL:
+        raise ValueError(f"more than {MOST_POOL} targets")
     return s.join(F.broadcast(t)).withColumn("alignment", N.cosine(F.col("_s"), F.col("_t"))).drop("_s", "_t")
 
 
+#: Rows and coordinates of a block, and rows of a pool of which a Gram matrix is asked for at most: the matrix of a pool
+#: is held by one task (8 bytes a pair), so more is an error.
+BLOCK, WIDTH, MOST_POOL = 512, 2048, 8192
+
+
+def _pool(df: DataFrame, key: str, *more: str) -> list:
+    """The keys of a pool in order, with further columns; the driver holds a few numbers a row."""
+    rows = df.select(key, *more).limit(MOST_POOL + 1).collect()
+    if len(rows) > MOST_POOL:
+        raise ValueError(f"a pool of more than {MOST_POOL} rows")
+    rows = sorted(rows, key=lambda r: r[key])
+    if len({r[key] for r in rows}) < len(rows):
+        raise ValueError(f"repeated {key} in a pool")
+    return rows
+
+
+def gram_blocks(df: DataFrame, key: str, vector: str, keys: list) -> DataFrame:
+    """(bi, bj, dots): the blocks bi <= bj of the Gram matrix of the rows in the order of ``keys``, as bytes of doubles.
+
+    Vectors are cut into pieces of ``WIDTH`` coordinates. The pieces of two row blocks meet in a task, which multiplies
+    them as matrices; products are summed over the pieces. A piece is sent once for each row block, never once a row.
+    """
+    place = {k: i for i, k in enumerate(keys)}
+    blocks = -(-len(keys) // BLOCK) or 1
+
+    @F.pandas_udf("int")
+    def number(k: pd.Series) -> pd.Series:
+        return k.map(place).astype("int32")
+
+    rows = df.select(number(F.col(key)).alias("r"), F.col(vector).cast("array<double>").alias("x")).withColumn("b", F.floor(F.col("r") / BLOCK).cast("int"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / WIDTH).cast("int")), lambda c: F.struct(c.alias("c"), F.slice("x", c * WIDTH + 1, WIDTH).alias("x")))
+    pieces = rows.where(F.size("x") > 0).select("r", "b", F.explode(cuts).alias("p")).select("r", "b", "p.c", "p.x")
+    met = pieces.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "c", "r", "b", "x")
+
+    def multiply(g: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(g["bi"].iloc[0]), int(g["bj"].iloc[0])
+        side = lambda b: g[g["b"] == b]
+        out = np.zeros((min(BLOCK, len(keys) - bi * BLOCK), min(BLOCK, len(keys) - bj * BLOCK)))
+        left, right = side(bi), side(bj)
+        if len(left) and len(right):
+            out[np.ix_(left["r"] - bi * BLOCK, right["r"] - bj * BLOCK)] = np.stack(left["x"].to_numpy()) @ np.stack(right["x"].to_numpy()).T
+        return pd.DataFrame({"bi": [bi], "bj": [bj], "dots": [out.tobytes()]})
+
+    def total(g: pd.DataFrame) -> pd.DataFrame:
+        return g.iloc[:1].assign(dots=[sum(np.frombuffer(x) for x in g["dots"]).tobytes()])
+
+    schema = "bi int, bj int, dots binary"
+    return met.groupBy("bi", "bj", "c").applyInPandas(multiply, schema).groupBy("bi", "bj").applyInPandas(total, schema)
+
+
+def _assembled(blocks: pd.DataFrame, n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    for bi, bj, dots in zip(blocks["bi"], blocks["bj"], blocks["dots"], strict=True):
+        i, j = slice(bi * BLOCK, min(n, (bi + 1) * BLOCK)), slice(bj * BLOCK, min(n, (bj + 1) * BLOCK))
+        out[i, j] = np.frombuffer(dots).reshape(i.stop - i.start, j.stop - j.start)
+        out[j, i] = out[i, j].T
+    return out
+
+
 def gram(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """V1: the Gram matrix as (i, j, dot), i <= j, by coordinate: elements meet on their position, so no side is
-    copied whole. For the few thousand rows of a reference pool."""
-    cells = df.select(F.col(key).alias("_k"), F.posexplode(vector).alias("_c", "_x")).withColumn("_x", F.col("_x").cast("double"))
-    left, right = cells.select("_c", F.col("_k").alias("i"), F.col("_x").alias("_a")), cells.select("_c", F.col("_k").alias("j"), F.col("_x").alias("_b"))
-    return left.join(right, "_c").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("dot"))
+    """V1: the Gram matrix as (i, j, dot), i <= j, of a pool of at most ``MOST_POOL`` rows with distinct keys."""
+    keys = [r[0] for r in _pool(df, key)]
+    kind = dict(df.dtypes)[key]
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for bi, bj, dots in zip(b["bi"], b["bj"], b["dots"], strict=True):
+                i, j = keys[bi * BLOCK : (bi + 1) * BLOCK], keys[bj * BLOCK : (bj + 1) * BLOCK]
+                at = np.triu_indices(len(i), 0, len(j)) if bi == bj else np.indices((len(i), len(j))).reshape(2, -1)
+                yield pd.DataFrame({"i": [i[x] for x in at[0]], "j": [j[x] for x in at[1]], "dot": np.frombuffer(dots).reshape(len(i), len(j))[tuple(at)]})
+
+    return gram_blocks(df, key, vector, keys).mapInPandas(spelled, f"i {kind}, j {kind}, dot double")
+
+
+def zero_rows(df: DataFrame, vector: str, least: float = 1e-24) -> DataFrame:
+    """Rows whose squared norm isn't above ``least``: a gradient that is structurally zero."""
+    return df.where(N.dot(F.col(vector), F.col(vector)) <= least)
 
 
-def fit_pca(x: np.ndarray, strata: list, energy: float = 0.99, rcond: float = 1e-7, tie: float = 1e-6) -> dict:
-    """V3: uncentred PCA of unit rows in which each stratum weighs alike, by the eigenvectors of the small Gram matrix.
+class DualBasis:
+    """V3: the leading directions of weighted unit rows, found in the space of examples.
 
-    Enough directions are kept for the energy, and then all that tie with the last one. d_eff is the participation
-    ratio of the projected unit rows.
+    Rows x_i of norm n_i, weight w_i: with s_i = sqrt(w_i) / n_i the matrix K = s_i s_j <x_i, x_j> has the eigenvalues
+    of the rows' second moment. A direction is given by ``mix``, its coefficients over the raw rows, so the Gram matrix
+    alone projects: coordinates of a vector y are <y, x_i> times ``mix``. Kept are the fewest directions with the energy
+    asked for, and all that tie with the last of them.
     """
-    norms = np.linalg.norm(x, axis=1)
-    if (norms <= 1e-12).any():
-        raise ValueError("a zero vector has no direction")
-    names, at, n = np.unique(np.array(strata, dtype=str), return_inverse=True, return_counts=True)
-    weight = 1 / (len(names) * n[at])
-    rows = x / norms[:, None]
-    scaled = rows * np.sqrt(weight)[:, None]
-    values, vectors = np.linalg.eigh(scaled @ scaled.T)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    rank = int((values > values[0] * rcond).sum())
-    total = values.sum()
-    k = int(np.searchsorted(np.cumsum(values[:rank]), energy * total)) + 1
-    if k > rank:
-        raise ValueError("the spectrum can't hold the energy asked for")
-    edge = values[k - 1]
-    while k < rank and edge - values[k] <= max(tie * edge, 10 * np.finfo(float).eps * values[0]):
-        k += 1
-    basis = scaled.T @ vectors[:, :k] / np.sqrt(values[:k])
-    unit = rows @ basis
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    moment = (unit * weight[:, None]).T @ unit
-    return {"k": k, "values": values[:k], "captured": float(values[:k].sum() / total), "d_eff": float(np.trace(moment) ** 2 / (moment**2).sum()), "basis": basis}
-
-
-def pca_by_fold(df: DataFrame, vector: str, fold: str, strata: list[str], folds: int, energy: float = 0.99) -> DataFrame:
-    """V3: of each held-out fold, the fit over all other folds. A reference pool is bounded (thousands of rows); each
-    fold's fit is a task of its own."""
-    rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.col(fold).cast("int").alias("own"), F.concat_ws("|", *[F.col(s).cast("string") for s in strata]).alias("stratum"))
-    spread = rows.withColumn("held_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("held_out <> own")
+
+    def __init__(self, dots: np.ndarray, weights: np.ndarray, energy: float, rcond: float = 1e-7, tie: float = 1e-6) -> None:
+        squares = np.diag(dots)
+        if not np.isfinite(dots).all() or not 0 < energy <= 1:
+            raise ValueError("dot products must be finite and the energy in (0, 1]")
+        if (squares <= 1e-24).any():
+            raise ValueError("a zero vector has no direction")
+        scale = np.sqrt(weights / squares)
+        spectrum, axes = np.linalg.eigh(dots * np.outer(scale, scale))
+        spectrum, axes = spectrum[::-1], axes[:, ::-1]
+        lost = -spectrum[spectrum < 0].sum()
+        whole = spectrum[spectrum > 0].sum()
+        if lost > 1e-10 * whole:
+            raise ValueError("not a Gram matrix: its spectrum is negative")
+        stable = spectrum[spectrum > rcond * spectrum[0]]
+        held = np.cumsum(stable)
+        if held[-1] < energy * whole:
+            raise ValueError("the spectrum can't hold the energy asked for")
+        edge = stable[np.argmax(held >= energy * whole)]
+        self.k = int((stable >= edge - max(tie * edge, 10 * np.finfo(float).eps * spectrum[0])).sum())
+        self.values, self.captured = stable[: self.k], float(stable[: self.k].sum() / whole)
+        self.mix = scale[:, None] * axes[:, : self.k] / np.sqrt(self.values)
+        cosines = self.directions(dots) @ self.directions(dots).T
+        #: The participation ratio of the projected directions: 1 over the mean squared cosine of two weighted draws.
+        self.d_eff = float(1 / (weights @ (cosines * cosines) @ weights))
+
+    def directions(self, dots: np.ndarray) -> np.ndarray:
+        """Unit coordinates of vectors given by their dot products with the rows."""
+        at = dots @ self.mix
+        size = np.linalg.norm(at, axis=1, keepdims=True)
+        if not (size > 1e-12).all():
+            raise ValueError("a projection without a direction")
+        return at / size
+
+
+def even_weights(strata: list) -> np.ndarray:
+    """Each stratum weighs alike, and so does each row in it."""
+    _, at, n = np.unique(np.array(strata, dtype=str), return_inverse=True, return_counts=True)
+    return 1 / (len(n) * n[at])
+
+
+def fit_pca(x: np.ndarray, strata: list, energy: float = 0.99) -> dict:
+    """V3 for rows at hand: k, values, captured, d_eff and the basis in the space of coordinates."""
+    fit = DualBasis(x @ x.T, even_weights(strata), energy)
+    return {"k": fit.k, "values": fit.values, "captured": fit.captured, "d_eff": fit.d_eff, "basis": x.T @ fit.mix}
+
+
+def by_fold(df: DataFrame, key: str, vector: str, fold: str, strata: list[str], folds: int, energy: float, out: Callable, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``out`` of (held-out fold, Gram matrix, places of the training rows, fit, metadata) for every fold: the Gram matrix
+    is made once, in blocks; each fold's fit is a task of its own over the matrix of a bounded pool."""
+    rows = _pool(df, key, fold, *strata, *more)
+    keys, own = [r[key] for r in rows], np.array([r[fold] for r in rows])
+    names = ["|".join(str(r[s]) for s in strata) for r in rows]
+    for f in range(folds):
+        if {n for n, o in zip(names, own, strict=True) if o != f} != set(names):
+            raise ValueError(f"the training rows of fold {f} lack a stratum")
+    spread = gram_blocks(df, key, vector, keys).withColumn("held_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("stratum", kind="stable")
-        m = fit_pca(np.stack(b["x"].to_numpy()), b["stratum"].tolist(), energy)
-        return pd.DataFrame({"held_out": [int(b["held_out"].iloc[0])], "rows": [len(b)], "k": [m["k"]], "captured": [m["captured"]], "d_eff": [m["d_eff"]], "first_value": [float(m["values"][0])]})
+        f, dots = int(b["held_out"].iloc[0]), _assembled(b, len(keys))
+        train = np.nonzero(own != f)[0]
+        fit = DualBasis(dots[np.ix_(train, train)], even_weights([names[i] for i in train]), energy)
+        return out(f, dots, train, fit, rows)
+
+    return spread.groupBy("held_out").applyInPandas(run, schema)
+
 
-    return spread.groupBy("held_out").applyInPandas(run, "held_out int, rows long, k long, captured double, d_eff double, first_value double")
+def pca_by_fold(df: DataFrame, vector: str, fold: str, strata: list[str], folds: int, energy: float = 0.99, key: str = "vec_id") -> DataFrame:
+    """V3: of each held-out fold, the fit over all other folds."""
+
+    def line(f: int, dots: np.ndarray, train: np.ndarray, fit: DualBasis, rows: list) -> pd.DataFrame:
+        return pd.DataFrame({"held_out": [f], "rows": [len(train)], "k": [fit.k], "captured": [fit.captured], "d_eff": [fit.d_eff], "first_value": [float(fit.values[0])]})
+
+    return by_fold(df, key, vector, fold, strata, folds, energy, line, "held_out int, rows long, k long, captured double, d_eff double, first_value double")
+
+
+def projected_pairs(df: DataFrame, vector: str, fold: str, strata: list[str], folds: int, pair: str, side: str, energy: float = 0.99, key: str = "vec_id") -> DataFrame:
+    """Of each pair in the fold that holds it out, the cosine in that fold's basis, the same times the root
+    of the effective dimension, and the raw cosine. Pairs with another number of sides than two are left out."""
+
+    def lines(f: int, dots: np.ndarray, train: np.ndarray, fit: DualBasis, rows: list) -> pd.DataFrame:
+        held: dict = {}
+        for i, r in enumerate(rows):
+            if r[fold] == f:
+                held.setdefault(r[pair], {})[r[side]] = i
+        both = {p: tuple(sides[k] for k in sorted(sides)) for p, sides in held.items() if len(sides) == 2}
+        unit = dict(zip(at := [i for ij in both.values() for i in ij], fit.directions(dots[np.ix_(at, train)]) if at else [], strict=True))
+        out = [(f, p, float(unit[i] @ unit[j]), float(unit[i] @ unit[j]) * fit.d_eff**0.5, float(dots[i, j] / np.sqrt(dots[i, i] * dots[j, j]))) for p, (i, j) in both.items()]
+        return pd.DataFrame(out, columns=["fold", "pair", "cosine", "normalised", "raw"])
+
+    return by_fold(df, key, vector, fold, strata, folds, energy, lines, "fold int, pair long, cosine double, normalised double, raw double", tuple({pair, side} - set(strata)))
+
+
+def blocks_of(parameters: DataFrame, module: str = "module", name: str = "name") -> DataFrame:
+    """Each parameter once with its module and once by itself: (module, parameter or null, name)."""
+    return parameters.select(F.col(module).alias("module"), F.explode(F.array(F.lit(None).cast("string"), F.col(name))).alias("parameter"), F.col(name).alias("name"))
 
 
 def draws(seed: int, key: str, n: int, repeats: int, width: int = 128) -> np.ndarray:
@@ -90,36 +227,39 @@ def draws(seed: int, key: str, n: int, repeats: int, width: int = 128) -> np.nda
 
 
 def minibatch_directions(x: np.ndarray, tokens: np.ndarray, schedule: np.ndarray, batch: int) -> np.ndarray:
-    """V9: of each draw the unit vector of its token-weighted sum."""
-    if (tokens <= 0).any():
-        raise ValueError("token weights must be positive")
-    counts = np.zeros((len(schedule), len(x)))
-    np.add.at(counts, (np.arange(len(schedule))[:, None], schedule[:, :batch]), 1)
-    out = counts @ (x * tokens[:, None])
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+    """V9: of each draw the unit vector of its token-weighted sum: how often a row was drawn, times its tokens, times it."""
+    n, repeats = len(x), len(schedule)
+    if not (np.isfinite(tokens).all() and (tokens > 0).all()) or not 1 <= batch <= schedule.shape[1]:
+        raise ValueError("token weights must be positive, and a batch no wider than the schedule")
+    flat = schedule[:, :batch] + n * np.arange(repeats)[:, None]
+    drawn = np.bincount(flat.ravel(), minlength=n * repeats).reshape(repeats, n)
+    sums = (drawn * tokens) @ x
+    return sums / np.linalg.norm(sums, axis=1)[:, None]
 
 
 def minibatch_alignment(df: DataFrame, vector: str, task: str, side: str, fold: str, tokens: str, key: str, repeats: int = 200, batch: int = 16, seed: int = 7) -> DataFrame:
-    """Cosine of source ('i2i') and target ('i2t') directions over draws, fold by fold, then the mean over
-    folds weighted by the target's share, with its Monte-Carlo standard error. A fold is a task; pools are bounded."""
+    """Cosine of source ('i2i') and target ('i2t') directions over draws, fold by fold, then the mean over
+    folds weighted by the target's share, its Monte-Carlo standard error, and how far the first half of the draws is off.
+    A fold is a task; its pool has at most ``MOST_POOL`` rows, checked."""
+    for r in df.groupBy(fold).count().where(F.col("count") > MOST_POOL).limit(1).collect():
+        raise ValueError(f"a pool of {r['count']} rows in fold {r[fold]}")
     rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.col(task).cast("string").alias("task"), F.col(side).alias("side"), F.col(fold).cast("int").alias("fold"), F.col(tokens).cast("double").alias("tokens"), F.col(key).cast("string").alias("key"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        f, means = int(b["fold"].iloc[0]), {}
-        for (t, s), g in b.groupby(["task", "side"]):
-            g = g.sort_values("key")
-            means[t, s] = minibatch_directions(np.stack(g["x"].to_numpy()), g["tokens"].to_numpy(), draws(seed, f"point:{t}:{s}:fold:{f}", len(g), repeats), batch), len(g)
-        out = []
-        for (s, side_s), (u, _) in means.items():
-            for (t, side_t), (v, n) in means.items():
-                if side_s == "i2i" and side_t == "i2t":
-                    c = (u * v).sum(1)
-                    out.append((s, t, f, float(c.mean()), float(c.var(ddof=1)), n))
-        return pd.DataFrame(out, columns=["source", "target", "fold", "mean", "variance", "n"])
-
-    each = rows.groupBy("fold").applyInPandas(run, "source string, target string, fold int, mean double, variance double, n long")
-    weighted = each.groupBy("source", "target").agg(F.sum(F.col("mean") * F.col("n")).alias("_m"), F.sum(F.col("variance") * F.col("n") * F.col("n") / repeats).alias("_v"), F.sum("n").alias("n"))
-    return weighted.select("source", "target", "n", ratio(F.col("_m"), F.col("n")).alias("alignment"), (F.sqrt("_v") / F.col("n")).alias("mcse"))
+        f, drawn = int(b["fold"].iloc[0]), {"i2i": {}, "i2t": {}}
+        for (t, s), g in b.sort_values("key").groupby(["task", "side"]):
+            if s in drawn:
+                schedule = draws(seed, f"point:{t}:{s}:fold:{f}", len(g), repeats)
+                drawn[s][t] = minibatch_directions(np.stack(g["x"].to_numpy()), g["tokens"].to_numpy(), schedule, batch), len(g)
+        each = {(s, t): ((u * v).sum(1), n) for s, (u, _) in drawn["i2i"].items() for t, (v, n) in drawn["i2t"].items()}
+        out = [(s, t, f, c.mean(), c.var(ddof=1), c[: repeats // 2].mean(), n) for (s, t), (c, n) in each.items()]
+        return pd.DataFrame(out, columns=["source", "target", "fold", "mean", "variance", "half", "n"])
+
+    each = rows.groupBy("fold").applyInPandas(run, "source string, target string, fold int, mean double, variance double, half double, n long")
+    sums = {"_m": F.col("mean") * F.col("n"), "_v": F.col("variance") * F.col("n") * F.col("n") / repeats, "_h": F.col("half") * F.col("n")}
+    weighted = each.groupBy("source", "target").agg(*[F.sum(c).alias(k) for k, c in sums.items()], F.sum("n").alias("n"))
+    mean = ratio(F.col("_m"), F.col("n"))
+    return weighted.select("source", "target", "n", mean.alias("alignment"), (F.sqrt("_v") / F.col("n")).alias("mcse"), (mean - ratio(F.col("_h"), F.col("n"))).alias("prefix_difference"))
 
 
 def count_sketch(vector: Column, buckets: int, seed: int = 0) -> Column:
