@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +23,22 @@ def stable_seed(seed: object, key: Column, modulus: int = 2**63 - 1) -> Column:
 
 
 def ordered_digest(order: Column, uid: Column) -> Column:
-    """An aggregate, the digest of the uids in order, a newline after each. For manifests of bounded size."""
+    """An aggregate, the digest of the uids in order, a newline after each. It holds a group's uids at once: for
+    groups of bounded size. ``table_digest`` streams those of a whole table."""
     rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), uid.cast("string").alias("u"))))
     return F.sha2(F.concat(F.array_join(F.transform(rows, lambda r: r["u"]), "\n"), F.lit("\n")), 256)
+
+
+def table_digest(df: DataFrame, order: str, uid: str) -> DataFrame:
+    """H3: (count, ordered_uid_sha256) of a whole table. The digest is one chain by its definition, so one task reads the
+    sorted uids, but it holds a batch of them only, and the sort spills."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, n = hashlib.sha256(), 0
+        for b in batches:
+            digest.update("".join(f"{u}\n" for u in b["uid"]).encode())
+            n += len(b)
+        yield pd.DataFrame({"count": [n], "ordered_uid_sha256": [digest.hexdigest()]})
+
+    rows = df.select(F.col(order).alias("o"), F.col(uid).cast("string").alias("uid")).repartition(1).sortWithinPartitions("o", "uid")
+    return rows.select("uid").mapInPandas(run, "count long, ordered_uid_sha256 string")

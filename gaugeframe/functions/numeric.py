@@ -137,3 +137,9 @@ def resized(width: Column, height: Column, most: int, least: int, stride: int) -
     scale = F.greatest(scale, F.lit(least) / F.least(width, height))
     side = lambda x: F.greatest(F.lit(stride), (F.round(x * scale / stride) * stride).cast("int"))
     return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def angle_error(a: Column, b: Column) -> Column:
+    """degrees between two angles, the short way round."""
+    turn = F.abs(a - b) % 360
+    return F.least(turn, 360 - turn)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.operators.sampling import ranged, sliced_rank
+
 
 def budget_rounded(samples: Column, batch: int) -> Column:
     """Up to whole updates."""
@@ -109,3 +111,15 @@ def phase(drawn_before: Column, budgets: list[int]) -> Column:
         total += b
         out = F.when(drawn_before < total, i) if out is None else out.when(drawn_before < total, i)
     return F.lit(0) if out is None else out.otherwise(len(budgets) - 1)
+
+
+def fixed_draws(df: DataFrame, group: str, order: str, fits: Column, plan: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """B2: the micro-batch of each row that fits, when every group gives a fixed number of rows to a batch. ``plan`` has the
+    number, the interval and the offset of each group: it takes part in the batches whose number leaves the offset over
+    the interval. Rows that don't fit are skipped and take no place; groups without a plan give nothing."""
+    known = df.where(fits & F.col(group).isin(list(plan)))
+    placed = sliced_rank(ranged(known, group, order), [group], "_piece", [order], "_i")
+    batch = F.when(F.lit(False), F.lit(None).cast("long"))
+    for name, (number, interval, offset) in plan.items():
+        batch = batch.when(F.col(group) == name, F.floor(F.col("_i") / number) * interval + offset)
+    return placed.withColumn("batch", batch).drop("_i", "_piece")

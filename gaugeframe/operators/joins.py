@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.reshape import MOST_VALUES
+from gaugeframe.operators.reshape import MOST_VALUES, tagged_union
 from gaugeframe.operators.tables import cut
 
 
@@ -105,3 +105,9 @@ def json_rank(seed: int, key: Column) -> Column:
     """The digest of the JSON list [seed, "key"] in compact form."""
     quoted = F.regexp_replace(F.to_json(F.struct(key.alias("k"))), r"^\{\"k\":(.*)\}$", "$1")
     return F.sha2(F.concat(F.lit(f"[{seed},"), quoted, F.lit("]")), 256)
+
+
+def original_rows(asked: DataFrame, parts: dict[str, DataFrame], tag: str, place: str, key: str) -> DataFrame:
+    """``asked`` with the row of its part that it came from; a tag without a part has none."""
+    every = tagged_union(parts, "_part").withColumnRenamed(key, "_key")
+    return asked.join(every, (F.col(tag) == F.col("_part")) & (F.col(place) == F.col("_key")), "left").drop("_part", "_key")

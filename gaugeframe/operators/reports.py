@@ -10,7 +10,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.stats import ratio
+from gaugeframe.functions.stats import ratio, sem
 
 OVERALL = "Overall"
 
@@ -158,3 +158,54 @@ def flatten_metrics(df: DataFrame, split: str, metrics: list[str]) -> DataFrame:
     long = df.unpivot([split], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value").where("value IS NOT NULL AND NOT isnan(value)")
     checked = F.when(F.abs("value") == float("inf"), F.raise_error(F.lit("a metric is infinite"))).otherwise(F.col("value"))
     return long.select(F.concat(F.lit("split="), F.col(split).cast("string"), F.lit("|"), F.col("metric")).alias("key"), checked.alias("value"))
+
+
+def by_metric(df: DataFrame, metric: str, metrics: dict, response: Column, truth: Column) -> DataFrame:
+    """``df`` with the score of each row by the measure that its column ``metric`` names; null for another name."""
+    score = functools.reduce(lambda c, k: c.when(F.col(metric) == k, metrics[k](response, truth)), metrics, F.when(F.lit(False), F.lit(None).cast("double")))
+    return df.withColumn("score", score)
+
+
+def ngram_overlap(df: DataFrame, key: str, truth: str, found: str, most: int = 4) -> DataFrame:
+    """GLEU (matches of up to ``most`` words over the larger number of n-grams) and unigram recall, precision and F1.
+    N-grams are counted in groups; no text is collected."""
+    gram = lambda ws, n: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(ws, i, n), " ").alias("g"))))
+
+    def side(c: str, own: str, other: str) -> DataFrame:
+        ws = F.array_remove(F.split(F.lower(c), r"\s+"), "")
+        grams = F.flatten(F.array_compact(F.array(*[gram(ws, n) for n in range(1, most + 1)])))
+        return df.select(key, F.explode(grams).alias("x")).select(key, "x.n", "x.g", F.lit(1).alias(own), F.lit(0).alias(other))
+
+    counts = side(truth, "a", "b").unionByName(side(found, "b", "a")).groupBy(key, "n", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = counts.withColumn("m", F.least("a", "b"))
+    one = lambda c: F.sum(F.when(F.col("n") == 1, F.col(c)))
+    sums = counts.groupBy(key).agg(F.sum("m").alias("m"), F.sum("a").alias("a"), F.sum("b").alias("b"), one("m").alias("m1"), one("a").alias("a1"), one("b").alias("b1"))
+    f1 = F.coalesce(ratio(2 * F.col("m1"), F.col("a1") + F.col("b1")), F.lit(0.0))
+    return sums.select(key, ratio(F.col("m"), F.greatest("a", "b")).alias("gleu"), ratio(F.col("m1"), F.col("a1")).alias("recall"), ratio(F.col("m1"), F.col("b1")).alias("precision"), f1.alias("f1"))
+
+
+def listed_splits(df: DataFrame, split: str, hit: Column, value: Column, listed: list[str]) -> DataFrame:
+    """Precision (of 100), mean value and rows of each split, and a row Average: the plain mean over the listed splits
+    that have rows and their number of rows, or over all rows where none of them has any."""
+    base = df.groupBy(F.col(split).alias("split")).agg(F.sum(hit.cast("long")).alias("h"), F.sum(value).alias("v"), F.count("*").alias("samples"))
+    each = base.select("split", ratio(100 * F.col("h"), F.col("samples")).alias("precision"), ratio(F.col("v"), F.col("samples")).alias("mean_iou"), "samples", "h", "v")
+    own = lambda c: F.when(F.col("split").isin(listed), F.col(c))
+    total = lambda c: F.try_divide(F.sum(c).cast("double"), F.sum("samples"))
+    average = each.agg(
+        F.lit("Average").alias("split"), F.coalesce(F.avg(own("precision")), 100 * total("h")).alias("precision"),
+        F.coalesce(F.avg(own("mean_iou")), total("v")).alias("mean_iou"), F.coalesce(F.sum(own("samples")), F.sum("samples")).alias("samples"),
+    )
+    return each.drop("h", "v").unionByName(average)
+
+
+def merged_means(df: DataFrame, subject: str, category: str, measures: list[str]) -> DataFrame:
+    """Means of the measures by subject, by category (named CATEGORY_...) and overall, from one grouping."""
+    base = df.groupBy(subject, category).agg(*[f(m).alias(f"{k}_{m}") for m in measures for k, f in (("s", F.sum), ("n", F.count))])
+    names = F.array(F.col(subject), F.concat(F.lit("CATEGORY_"), F.col(category)), F.lit(OVERALL))
+    spread = base.withColumn("_subject", F.explode(names)).where(F.col("_subject").isNotNull())
+    return spread.groupBy(F.col("_subject").alias("subject")).agg(*[ratio(F.sum(f"s_{m}"), F.sum(f"n_{m}")).alias(m) for m in measures])
+
+
+def value_summary(df: DataFrame, by: str, value: str) -> DataFrame:
+    """F54"""
+    return df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sample_std"), sem(F.col(value)).alias("sem"))

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.sampling import ranged
+from gaugeframe.operators.sampling import ranged, sliced_rank
 from gaugeframe.operators.tables import cut
 
 
@@ -79,3 +79,32 @@ def self_reference(df: DataFrame, index: str, payload: str, longest: int = 64) -
     source = df.select(F.col(index).cast("string").alias("_i"), F.col(payload).alias("_p")).join(wanted, "_i", "left_semi")
     joined = df.withColumn("_to", pointing).join(source, F.col("_to") == F.col("_i"), "left")
     return joined.withColumn(payload, F.coalesce("_p", payload)).drop("_i", "_p", "_to")
+
+
+def pairs_in_order(df: DataFrame, value: str) -> DataFrame:
+    """F64: (pair, front, back): the distinct values in order, two by two; an odd last one is left out."""
+    placed = sliced_rank(ranged(df.select(value).where(F.col(value).isNotNull()).distinct(), value), [], "_piece", [value], "_i")
+    side = lambda k: F.max(F.when(F.col("_i") % 2 == k, F.col(value)))
+    return placed.groupBy(F.floor(F.col("_i") / 2).cast("int").alias("pair")).agg(side(0).alias("front"), side(1).alias("back"), F.count("*").alias("_n")).where("_n = 2").drop("_n")
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """Names in lower case, but for single letters from A to Z."""
+    return df.toDF(*[n if len(n) == 1 and "A" <= n <= "Z" else n.lower() for n in df.columns])
+
+
+def choice_map(columns: list[str]) -> Column:
+    """Letter to text of the columns A to Z that a row has a value for."""
+    letters = [n for n in columns if len(n) == 1 and "A" <= n <= "Z"]
+    pairs = [x for n in letters for x in (F.lit(n), F.col(n).cast("string"))]
+    return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+
+
+def open_questions(df: DataFrame, answer: str) -> DataFrame:
+    """A question without option A becomes one of two options: its answer, and any other."""
+    return df.withColumns({"A": F.coalesce("A", answer), "B": F.when(F.col("A").isNull(), F.lit("Other Answers")).otherwise(F.col("B"))})
+
+
+def carried_over(items: DataFrame, results: DataFrame, key: list[str], order: Column) -> DataFrame:
+    """Of each item its newest result, nulls where there is none yet."""
+    return items.join(latest(results, key, order), key, "left")

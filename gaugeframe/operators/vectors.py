@@ -218,6 +218,26 @@ def blocks_of(parameters: DataFrame, module: str = "module", name: str = "name")
     return parameters.select(F.col(module).alias("module"), F.explode(F.array(F.lit(None).cast("string"), F.col(name))).alias("parameter"), F.col(name).alias("name"))
 
 
+# What a weight's name holds, and the module that it belongs to.
+NORMS = {"input_layernorm": "input_ln", "post_attention_layernorm": "post_attn_ln", "q_norm": "q_norm", "k_norm": "k_norm", "embed_tokens": "embed_tokens"}
+PROJECTIONS = r"\.(self_attn\.[qkvo]_proj|mlp\.(?:gate|up|down)_proj)\.weight$"
+VISION = r"^vit_model\.vision_model\.(?:encoder\.layers\.\d+\.|embeddings\.)?"
+
+
+def module_of(name: Column) -> Column:
+    """The module of a parameter by its name; null for parameters that aren't looked at."""
+    weight = F.endswith(name, F.lit("weight"))
+    language = F.when(name == "language_model.model.norm.weight", F.lit("llm.final_norm.weight"))
+    for part, family in NORMS.items():
+        language = language.when(F.contains(name, F.lit(part)), F.lit(f"llm.{family}.weight"))
+    projection = F.regexp_extract(name, PROJECTIONS, 1)
+    language = language.when(projection != "", F.concat(F.lit("llm."), projection, F.lit(".weight")))
+    found = F.when(F.startswith(name, F.lit("language_model.")) & weight, language)
+    found = found.when(F.startswith(name, F.lit("vit_model.")) & weight, F.concat(F.lit("vit."), F.regexp_replace(name, VISION, "")))
+    found = found.when(F.startswith(name, F.lit("connector.")), name).when(name == "vit_pos_embed.pos_embed", F.lit("connector.vit_pos_embed"))
+    return F.when(~F.contains(name, F.lit("_moe_gen")), found)
+
+
 def draws(seed: int, key: str, n: int, repeats: int, width: int = 128) -> np.ndarray:
     """With-replacement row numbers, the same for every prefix of the width."""
     import hashlib

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from gaugeframe.functions import pytext
 from gaugeframe.functions.text import collapse, normal_index
+from gaugeframe.operators.sampling import ranged, sliced_rank
 from gaugeframe.operators.validation import assert_empty, binary_hit, duplicates
 
 LETTERS = [chr(65 + i) for i in range(26)]
+#: Rows of a list that is shuffled on the driver at most.
+MOST_SHUFFLED = 5_000_000
 
 
-def score_sheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def score_sheet(spark: SparkSession, path: str, sep: str = ",", sha256: str | None = None) -> DataFrame:
     """Index, hit, question, answer, options (map) and log of a CSV sheet. Every column is read as text, so that
-    ids such as 001 and NA stay what they are; only the columns that exist are read."""
+    ids such as 001 and NA stay what they are; only the columns that exist are read. With ``sha256`` the file must have
+    that digest."""
+    if sha256 is not None and [r["sha256"] for r in file_digests(spark, path).collect()] != [sha256]:
+        raise ValueError(f"{path} isn't the file that was pinned")
     header = spark.read.option("sep", sep).csv(path).limit(1).first()
     names = [str(x) for x in header] if header else []
     schema = StructType([StructField(n, StringType()) for n in names])
@@ -36,14 +44,22 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, schema: str, ordinal: str = "ordinal") -> DataFrame:
-    """A manifest with its written order; uids must be unique."""
+    """A manifest with its written order: files by name, and in a file line by line; uids must be unique."""
     rows = json_lines(spark, path, schema)
     assert_empty(duplicates(rows, ["uid"]), "repeated uid")
-    return rows if ordinal in rows.columns else rows.withColumn(ordinal, F.monotonically_increasing_id())
-
-
-def shards(spark: SparkSession, paths: list[str], columns: list[str] | None = None, key: str | None = None, expected: int | None = None) -> DataFrame:
-    """Parts of one table, with only the columns asked for; keys unique and the count right, if given."""
+    if ordinal in rows.columns:
+        return rows
+    at = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}
+    return sliced_rank(ranged(rows.withColumns(at), *at), [], "_piece", list(at), ordinal).drop("_piece", *at)
+
+
+def shards(spark: SparkSession, paths: list[str], columns: list[str] | None = None, key: str | None = None, expected: int | None = None, sha256: dict[str, str] | None = None) -> DataFrame:
+    """Parts of one table, with only the columns asked for; digests of the files by name, uniqueness of the
+    key and the count are checked, if given."""
+    if sha256 is not None:
+        found = {r["path"].rpartition("/")[2]: r["sha256"] for p in paths for r in file_digests(spark, p).collect()}
+        if found != sha256:
+            raise ValueError(f"digests differ: {sorted(n for n in found.keys() | sha256.keys() if found.get(n) != sha256.get(n))[:5]}")
     rows = spark.read.parquet(*paths)
     rows = rows.select(*columns) if columns else rows
     if key:
@@ -82,3 +98,45 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     if suffix not in READERS:
         raise ValueError(f"no reader for {path}")
     return READERS[suffix](spark, path)
+
+
+def frozen(rows: DataFrame, key: str, pattern: str, expected: int) -> DataFrame:
+    """A frozen selection: ids of one form, none twice, as many as expected."""
+    assert_empty(rows.where(~F.coalesce(F.col(key).rlike(f"^(?:{pattern})$"), F.lit(False))), f"bad {key}")
+    assert_empty(duplicates(rows, [key]), f"repeated {key}")
+    if (n := rows.count()) != expected:
+        raise ValueError(f"{n} rows, not {expected}")
+    return rows
+
+
+def selected(rows: DataFrame, record: str, wanted: DataFrame, digest: str = "digest") -> DataFrame:
+    """The rows whose JSON record has a wanted digest in canonical form; what isn't found is an error."""
+    canonical = F.sha2(pytext.column(pytext.canonical_json, "string", F.col(record)), 256)
+    found = rows.withColumn(digest, canonical).join(wanted.select(digest).distinct(), digest, "left_semi")
+    assert_empty(wanted.select(digest).join(found.select(digest), digest, "left_anti"), "selected records are missing")
+    return found
+
+
+def artifact(spark: SparkSession, path: str) -> DataFrame:
+    """(uid, fold, name, values) of a gradient artifact. Every row has every vector, all of a name are as long and
+    finite, and losses and token counts are positive."""
+    rows, vectors = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/vectors")
+    finite = F.forall("values", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    assert_empty(rows.where("loss IS NULL OR isnan(loss) OR abs(loss) = double('inf') OR loss_tokens <= 0"), "bad loss or token count")
+    assert_empty(vectors.where(~F.coalesce(finite, F.lit(False))), "vectors that aren't finite")
+    assert_empty(vectors.groupBy("name").agg(F.count_distinct(F.size("values")).alias("n")).where("n > 1"), "vectors of several lengths")
+    counts = vectors.groupBy("uid").agg(F.count_distinct("name").alias("n"))
+    names = vectors.select("name").distinct().count()
+    assert_empty(rows.select("uid").join(counts, "uid", "left").where(~(F.coalesce("n", F.lit(0)) == names)), "rows without all vectors")
+    return vectors.join(rows.select("uid", "fold"), "uid")
+
+
+def shuffled_take(df: DataFrame, ordinal: str, n: int, k: int, seed: int) -> DataFrame:
+    """The first ``k`` of ``n`` rows in the Mersenne Twister's order of this seed, with their ``place``. The order
+    is made on the driver, 8 bytes a row of a bounded list; the rows stay where they are."""
+    if n > MOST_SHUFFLED:
+        raise ValueError(f"more than {MOST_SHUFFLED} rows to shuffle on the driver")
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    places = df.sparkSession.createDataFrame([(o, i) for i, o in enumerate(order[:k])], f"{ordinal} long, place int")
+    return df.join(places, ordinal)

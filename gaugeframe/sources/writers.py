@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.hashing import ordered_digest
+from gaugeframe.functions.hashing import table_digest
 from gaugeframe.operators.validation import assert_empty, duplicates
 
 
@@ -22,7 +24,7 @@ def manifest(rows: DataFrame, path: str, ordinal: str = "ordinal") -> DataFrame:
     """
     assert_empty(duplicates(rows, ["uid"]), "repeated uid")
     rows.repartitionByRange(ordinal).sortWithinPartitions(ordinal).write.mode("errorifexists").json(f"{path}/rows")
-    meta = rows.agg(F.count("*").alias("count"), ordered_digest(F.col(ordinal), F.col("uid")).alias("ordered_uid_sha256"))
+    meta = table_digest(rows, ordinal, "uid")
     meta.write.mode("errorifexists").json(f"{path}/metadata")
     return meta
 
@@ -47,3 +49,25 @@ def derived_path(path: str, suffix: str, kind: str | None = None) -> str:
     """K9: ``a/b.xlsx`` with suffix ``_acc`` and kind ``csv`` is ``a/b_acc.csv``."""
     stem, _, own = path.rpartition(".")
     return f"{stem}{suffix}.{kind or own}"
+
+
+WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
+    "csv": lambda df, p: df.write.mode("errorifexists").option("header", True).csv(p),
+    "tsv": parquet_to_tsv,
+    "jsonl": lambda df, p: df.write.mode("errorifexists").json(p),
+    "parquet": lambda df, p: df.write.mode("errorifexists").parquet(p),
+}
+
+
+def dump(df: DataFrame, path: str) -> None:
+    """K5: by suffix. A suffix without a writer is an error: a pickle can't be read safely and holds one machine's rows."""
+    suffix = path.rpartition(".")[2]
+    if suffix not in WRITERS:
+        raise ValueError(f"no writer for {path}")
+    WRITERS[suffix](df, path)
+
+
+def artifact(rows: DataFrame, vectors: DataFrame, path: str) -> None:
+    """K8: the rows of a gradient artifact (uid, fold, loss, loss_tokens, ...) and its vectors (uid, name, values)."""
+    rows.write.mode("errorifexists").parquet(f"{path}/rows")
+    vectors.write.mode("errorifexists").parquet(f"{path}/vectors")
