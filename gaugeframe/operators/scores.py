@@ -182,7 +182,8 @@ def corpus_cider(df: DataFrame, key: str, truth: str, found: str, most: int = 4)
     total = df.count()
 
     def side(c: str) -> DataFrame:
-        every = F.flatten(F.array(*[F.transform(grams(F.col(c), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, most + 1)]))
+        named = lambda n: F.transform(grams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+        every = F.flatten(F.array(*[named(n) for n in range(1, most + 1)]))
         return rows.select(key, F.explode(every).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("c"))
 
     t, f = side("_t"), side("_f")

@@ -226,6 +226,10 @@ SQL = {
     "event_tumbling_window": "SELECT epoch_us(ts) // 3600000000 * 3600000000 AS \"start\", event_type, count(*) n, round(sum(value), 6) total FROM events GROUP BY ALL",
     "event_sessions": """WITH g AS (SELECT user_id, epoch_us(ts) t, CAST(coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY ts) >= 1800000000, true) AS INTEGER) b FROM events),
         s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) i FROM g) SELECT user_id, min(t) AS "start", count(*) n FROM s GROUP BY user_id, i""",
-    "connected_components_folds": None,
+    #: The digest's first eight bytes in turned order, as text digits: 2^64 times what a double holds exactly.
+    "stable_seeds": """WITH h AS (SELECT n_nationkey, n_name, sha256('7:' || n_name) h FROM nation), b AS (SELECT n_nationkey, n_name, i, CAST(('0x' || h[2 * i + 1 : 2 * i + 2]) AS INTEGER) b FROM h, range(8) t(i))
+        SELECT n_nationkey, sha256('7' || chr(0) || n_name) "rank", CAST(sum(b * CAST(pow(2::HUGEINT, 8 * i) AS HUGEINT)) % 9223372036854775807::HUGEINT AS BIGINT) seed FROM b GROUP BY n_nationkey, n_name""",
+    "connected_components_folds": """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey a, 'p' || CAST(floor(o_totalprice) AS BIGINT) b FROM orders), both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        l(node, root) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM both_ GROUP BY a UNION SELECT x.a, min(n.root) FROM both_ x JOIN l n ON n.node = x.b JOIN recurring.l o ON o.node = x.a WHERE n.root < o.root GROUP BY x.a)
+        SELECT root, count(*) members FROM l GROUP BY 1""",
 }
-SQL = {k: v for k, v in SQL.items() if v}

@@ -59,12 +59,12 @@ def duration_buckets(spark, d):
 
 def bootstrap_interval(spark, d):
     rows = hits(spark, d).where("model = 'm3'").groupBy("uid", "family").agg(F.avg("hit").alias("score"))
-    return rounded(S.bootstrap_ci(rows, "score", "family", draws=100), 4)
+    return rounded(S.bootstrap_ci(rows, "score", "family", draws=100, key="uid"), 4)
 
 
 def permutation_test(spark, d):
     rows = hits(spark, d).groupBy("uid").pivot("model", ["baseline", "m3"]).agg(F.sum("hit"))
-    return rounded(S.permutation_p(rows, "m3", "baseline", draws=100), 4)
+    return rounded(S.permutation_p(rows, "m3", "baseline", draws=100, key="uid"), 4)
 
 
 def stream_groups(spark, d):
@@ -80,20 +80,26 @@ def geo_scores(spark, d):
 def caption_cider(spark, d):
     rows = read(spark, d, "benchmark")
     other = rows.select((F.col("item_id") - 1).alias("item_id"), F.concat(F.col("text")).alias("other"))
-    mixed = rows.join(other, "item_id").withColumn("found", F.concat_ws(" ", F.substring_index("text", " ", 12), F.substring_index("other", " ", 12)))
+    mixed = rows.join(other, "item_id").withColumn("found", F.concat_ws(" ", "text", "other"))
     return rounded(S.corpus_cider(mixed, "item_id", "text", "found"), 4)
 
 
 def spoken_numbers(spark, d):
-    """F19 over part names with a number in words."""
+    """F19 over parts, each of which says a number in one of six ways."""
     said = F.element_at(F.array(*map(F.lit, ["there are two", "twenty one of them", "one or 2", "no number", "three hundred and five", "12"])), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return read(spark, d, "part").select(said.alias("said")).groupBy("said").agg(F.count("*").alias("n")).withColumn("number", P.column(P.spoken_number, "int", F.col("said")))
+    said = F.concat(said, F.when(F.col("p_partkey") % 6 == 3, F.concat(F.lit(" "), F.col("p_name"))).otherwise(""))
+    return read(spark, d, "part").select("p_partkey", P.column(P.spoken_number, "int", said).alias("number"))
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _FIELDS = "f AS (SELECT l_suppkey % 40 task, l_orderkey, l_quantity / 50 - 0.05 s, l_linenumber w FROM lineitem WHERE l_quantity / 50 - 0.05 >= 0), i AS (SELECT task, l_orderkey, {one} x FROM f GROUP BY ALL), t AS (SELECT task, avg(x) x FROM i GROUP BY 1) SELECT count(*) tasks, round(avg(x), 6) macro, (SELECT round(avg(x), 6) FROM i) micro FROM t"
 SQL = {
+    "spoken_numbers": "SELECT p_partkey, [2, 21, NULL, NULL, 305, 12][p_partkey % 6 + 1] number FROM part",
+    "caption_cider": r"""WITH p AS (SELECT a.item_id, regexp_split_to_array(lower(a.text), '\s+') t, regexp_split_to_array(lower(a.text || ' ' || b.text), '\s+') f FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+        s AS (SELECT item_id, 1 side, t w FROM p UNION ALL SELECT item_id, 2, f FROM p), g AS (SELECT item_id, side, n, array_to_string(w[i : i + n - 1], ' ') g FROM (SELECT item_id, side, n, w, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) i FROM s, (VALUES (1), (2), (3), (4)) t(n))),
+        c AS (SELECT item_id, n, g, count_if(side = 1) a, count_if(side = 2) b FROM g GROUP BY ALL), d AS (SELECT n, g, count_if(a > 0) df FROM c GROUP BY ALL), x AS (SELECT item_id, n, a * ln((SELECT count(*) FROM p) / CAST(greatest(df, 1) AS DOUBLE)) a, b * ln((SELECT count(*) FROM p) / CAST(greatest(df, 1) AS DOUBLE)) b FROM c JOIN d USING (n, g)),
+        o AS (SELECT item_id, n, coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0) c FROM x GROUP BY ALL) SELECT item_id, round(10 * avg(c), 4) cider FROM o GROUP BY 1""",
     "natural_group_scores": """WITH r AS (SELECT o_orderkey * 3 % 11 < 6 a, o_orderkey * 5 % 11 >= 6 b, o_orderkey * 7 % 11 >= 6 c, o_orderkey * 13 % 11 < 6 e FROM orders)
         SELECT round(sum(CAST(a AND b AS INTEGER) + CAST(c AND e AS INTEGER)) / (2 * count(*)), 6) "Q_Acc", round(sum(CAST(a AND c AS INTEGER) + CAST(b AND e AS INTEGER)) / (2 * count(*)), 6) "I_Acc",
         round(sum(CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) + CAST(e AS INTEGER)) / (4 * count(*)), 6) "Acc", round(avg(CAST(a AND b AND c AND e AS INTEGER)), 6) "G_Acc" FROM r""",

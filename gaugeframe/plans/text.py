@@ -84,19 +84,25 @@ def relative_accuracy(spark, d):
 
 
 def answer_normalisation(spark, d):
-    """F9, F10, F11, F12"""
-    rows = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    """F9, F10, F11 over the texts of all roles."""
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "text")
     return rows.select("conv_id", "turn", P.column(P.plain_answer, "string", F.col("text")).alias("plain"))
 
 
+def _whole_pairs(spark, d):
+    """Benchmark items with the next but one, as they are."""
+    items = read(spark, d, "benchmark")
+    return items.join(items.select((F.col("item_id") - 2).alias("item_id"), F.col("text").alias("other")), "item_id")
+
+
 def near_string_match(spark, d):
-    """F46"""
-    return _pairs(spark, d).select("item_id", P.column(P.damerau, "int", F.col("text"), F.col("other")).alias("distance"))
+    """F46 over whole texts, code point by code point."""
+    return _whole_pairs(spark, d).select("item_id", P.column(P.damerau, "int", F.col("text"), F.col("other")).alias("distance"))
 
 
 def bleu_scores(spark, d):
-    """F50"""
-    return _pairs(spark, d).select("item_id", F.round(P.column(lambda a, b: P.bleu(a.split(), b.split()), "double", F.col("text"), F.col("other")), 6).alias("bleu"))
+    """F50 over whole texts."""
+    return _whole_pairs(spark, d).select("item_id", F.round(P.column(lambda a, b: P.bleu(a.split(), b.split()), "double", F.col("text"), F.col("other")), 6).alias("bleu"))
 
 
 def failed_predictions(spark, d):
@@ -110,7 +116,20 @@ QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and ge
 _PAIRS = r"items AS (SELECT item_id, regexp_replace(text, '[^ -~\n]', '?', 'g') AS text FROM benchmark), pairs AS (SELECT a.item_id, a.text, b.text other FROM items a JOIN items b ON b.item_id = a.item_id + 2)"
 _TRIM = r"trim(regexp_replace(lower({c}), '\s+', ' ', 'g'))"
 _SAID = """said AS (SELECT p_partkey, p_brand, p_type, CASE p_partkey % 4 WHEN 0 THEN 'The answer is (' || ['A', 'B', 'C', 'D'][p_size % 4 + 1] || ').' WHEN 1 THEN 'It is ' || p_brand WHEN 2 THEN 'A or B, I can''t say' ELSE 'B is a thing that one may well see here' END s, p_size FROM part)"""
+_SPELLED = "MAP {" + ", ".join(f"'{a.replace(chr(39), chr(39) * 2)}': '{b.replace(chr(39), chr(39) * 2)}'" for a, b in {**P.DIGITS, **P.CONTRACTIONS}.items()) + "}"
+_MARKS = ", ".join("'" + p + "'" for p in P.PUNCTUATION)
 SQL = {
+    #: Marks go or become spaces, lone dots go (the first 32), then words are looked up.
+    "answer_normalisation": f"""WITH c AS (SELECT conv_id, turn, trim(replace(replace(text, chr(10), ' '), chr(9), ' ')) t FROM conversations), m AS (SELECT conv_id, turn, t, regexp_matches(t, '[0-9],[0-9]') g, string_split(t, '') s FROM c),
+        p AS (SELECT conv_id, turn, array_to_string(list_transform(s, lambda x: CASE WHEN x NOT IN ({_MARKS}) THEN x WHEN g OR contains(t, x || ' ') OR contains(t, ' ' || x) THEN '' ELSE ' ' END), '') t FROM m),
+        d AS (SELECT conv_id, turn, string_split(t, '') s FROM p), e AS (SELECT conv_id, turn, s, list_filter(range(1, len(s) + 1), lambda i: s[i] = '.' AND NOT coalesce(regexp_matches(s[i - 1], '[0-9]') AND i > 1, false) AND NOT coalesce(regexp_matches(s[i + 1], '[0-9]'), false))[1:32] h FROM d),
+        f AS (SELECT conv_id, turn, regexp_extract_all(lower(array_to_string(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN list_contains(h, i) THEN '' ELSE s[i] END), '')), '\\S+') w FROM e)
+        SELECT conv_id, turn, array_to_string(list_transform(list_filter(w, lambda x: x NOT IN ('a', 'an', 'the')), lambda x: coalesce({_SPELLED}[x], x)), ' ') "plain" FROM f""",
+    "bleu_scores": r"""WITH p AS (SELECT a.item_id, regexp_extract_all(a.text, '\S+') t, regexp_extract_all(b.text, '\S+') f FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 2), s AS (SELECT item_id, 1 side, t w FROM p UNION ALL SELECT item_id, 2, f FROM p),
+        g AS (SELECT item_id, side, n, array_to_string(w[i : i + n - 1], ' ') g FROM (SELECT item_id, side, n, w, unnest(range(1, len(w) - n + 2)) i FROM s, (VALUES (1), (2), (3), (4)) t(n))), c AS (SELECT item_id, n, g, count_if(side = 1) a, count_if(side = 2) b FROM g GROUP BY ALL),
+        o AS (SELECT item_id, n, sum(least(a, b)) m, sum(b) t FROM c GROUP BY ALL), k AS (SELECT *, sum(CAST(m = 0 AS INTEGER)) OVER (PARTITION BY item_id ORDER BY n) z FROM o),
+        l AS (SELECT item_id, sum(ln(CASE WHEN m > 0 THEN m / t ELSE 1 / (pow(2, z) * t) END)) / 4 l, count_if(t > 0) k FROM k GROUP BY 1)
+        SELECT item_id, round(CASE WHEN k < 4 THEN 0 ELSE exp(l) * CASE WHEN len(f) >= len(t) THEN 1 ELSE exp(1 - len(t) / CAST(len(f) AS DOUBLE)) END END, 6) bleu FROM l JOIN p USING (item_id)""",
     "text_normalise": r"SELECT p_partkey, CAST(p_size AS VARCHAR) AS \"index\", trim(regexp_replace(p_name || ' x', '\s+', ' ', 'g')) AS \"text\" FROM part".replace('\\"', '"'),
     "anls_score": f"WITH {_PAIRS} SELECT item_id, CAST(levenshtein(text, other) AS INTEGER) distance, round(levenshtein({_TRIM.format(c='text')}, {_TRIM.format(c='other')}) / greatest(length(text), length(other)), 6) anls FROM pairs",
     "relaxed_numeric_match": """WITH r AS (SELECT p_partkey, p_size t, CASE p_partkey % 3 WHEN 0 THEN 'dot' WHEN 1 THEN 'percent' ELSE p_brand END s FROM part)
