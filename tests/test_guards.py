@@ -45,7 +45,7 @@ def test_contractions():
 
 
 def test_numerical_answers():
-    for said, want in {"x\n#### 18": 18, "Final answer: $1/4": 0.25, "The answer is 3.5.\nthe ANSWER IS 2": 2, "the answer is -2": 2, "Thus we get = 7": 7, "a\n$ 1,200": 1200, "so\n\n2 + 3 = 5 things\nand more": 5, "none": None, "5/0": 0, "it costs 3 and 4": 4}.items():
+    for said, want in {"x\n#### 18": 18, "Final answer: $1/4": 0.25, "The answer is 3.5.\nthe ANSWER IS 2": 2, "the answer is -2": 2, "Thus we get = 7": 7, "a\n$ 1,200": 1200, "so\n\n2 + 3 = 5 things\nand more": 5, "none": None, "5/0": 0, "it costs 3 and 4": 3}.items():
         assert pytext.numerical_answer(said) == want, said
 
 
