@@ -143,3 +143,36 @@ def angle_error(a: Column, b: Column) -> Column:
     """degrees between two angles, the short way round."""
     turn = F.abs(a - b) % 360
     return F.least(turn, 360 - turn)
+
+
+def quantile(sorted_values: Column, share: float) -> Column:
+    """The linear quantile of a sorted array; null for an empty one."""
+
+    def at(place: Column) -> Column:
+        low = F.floor(place).cast("int")
+        a, b = F.get(sorted_values, low), F.get(sorted_values, F.least(low + 1, F.size(sorted_values) - 1))
+        return a + (b - a) * (place - low)
+
+    return F.element_at(F.transform(F.array((F.size(sorted_values) - 1) * F.lit(share)), at), 1)
+
+
+def stretched(pixels: Column, lowest: float | None = None, highest: float | None = None, missing: float | None = None, fewest: int = 16) -> Column:
+    """pixels as whole numbers 0 to 255 between two quantiles, or between the least and the greatest where none are
+    named. Pixels of the missing value don't count for the quantiles, unless fewer than ``fewest`` others are left."""
+    values = F.transform(pixels, lambda x: x.cast("double"))
+    valid = F.filter(values, lambda x: x < missing) if missing is not None else values
+    valid = F.when(F.size(valid) < fewest, values).otherwise(valid) if missing is not None else valid
+
+    def scale(ends: Column) -> Column:
+        lo, hi = ends["lo"], ends["hi"]
+        if lowest is None:
+            level = lambda x: F.when(hi > lo, (x - lo) / (hi - lo) * 255.0).otherwise(0.0)
+        else:
+            top = F.when(hi > lo, hi).otherwise(lo + 1.0)
+            level = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - lo) / (top - lo))) * 255.0
+        return F.transform(values, lambda x: F.floor(level(x)).cast("int"))
+
+    def ends(s: Column) -> Column:
+        return F.struct(quantile(s, lowest or 0.0).alias("lo"), quantile(s, 1.0 if highest is None else highest).alias("hi"))
+
+    return F.element_at(F.transform(F.array(F.element_at(F.transform(F.array(F.array_sort(valid)), ends), 1)), scale), 1)

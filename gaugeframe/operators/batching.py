@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.operators.sampling import ranged, sliced_rank
@@ -123,3 +123,16 @@ def fixed_draws(df: DataFrame, group: str, order: str, fits: Column, plan: dict[
     for name, (number, interval, offset) in plan.items():
         batch = batch.when(F.col(group) == name, F.floor(F.col("_i") / number) * interval + offset)
     return placed.withColumn("batch", batch).drop("_i", "_piece")
+
+
+def attended(splits: DataFrame, sample: str, place: str, length: str, mode: str) -> DataFrame:
+    """Which spans of a packed sample see which: (sample, queries from, to, keys from, to, causal). A split sees
+    itself, token by token if it is causal, and what stands before it but for noise; nothing else sees noise. Spans, not
+    pairs of tokens: a mask is made of them where it is needed."""
+    w = Window.partitionBy(sample).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    at = splits.select(sample, place, mode, F.coalesce(F.sum(length).over(w), F.lit(0)).cast("int").alias("start"), F.col(length).alias("_n"))
+    at = at.withColumn("end", (F.col("start") + F.col("_n")).cast("int")).drop("_n")
+    q, k = at.alias("q"), at.alias("k")
+    seen = q.join(k, (F.col(f"q.{sample}") == F.col(f"k.{sample}")) & ((F.col(f"q.{place}") == F.col(f"k.{place}")) | ((F.col(f"k.{place}") < F.col(f"q.{place}")) & (F.col(f"k.{mode}") != "noise"))))
+    own = F.col(f"q.{place}") == F.col(f"k.{place}")
+    return seen.select(F.col(f"q.{sample}").alias(sample), F.col("q.start").alias("q_start"), F.col("q.end").alias("q_end"), F.col("k.start").alias("k_start"), F.col("k.end").alias("k_end"), (own & (F.col(f"q.{mode}") == "causal")).alias("causal"))

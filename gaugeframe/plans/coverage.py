@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeframe.functions import denotation as D
 from gaugeframe.functions import numeric as N
 from gaugeframe.functions import pytext as P
 from gaugeframe.operators import batching, joins, reports, reshape, sampling, validation, vectors
@@ -256,6 +257,48 @@ def frame_samples(spark, d):
     return rows.select("p_partkey", F.array_join(readers.frame_indices("frames", 4), ",").alias("even"))
 
 
+def denotation_matches(spark, d):
+    """lists of answers by what they denote, amounts by any reading."""
+    truth = F.concat(c("p_size"), F.lit("|"), c("p_brand"))
+    found = F.when(c("p_partkey") % 3 == 0, F.concat(F.lit("“"), F.lower("p_brand"), F.lit("” (a brand)|"), c("p_size"), F.lit(".0"))).when(c("p_partkey") % 3 == 1, F.concat(c("p_size"), F.lit("|"), c("p_size"))).otherwise(c("p_size").cast("string"))
+    said = F.concat(F.lit("$"), c("p_size"), F.element_at(F.array(*map(F.lit, [" million dollars", "%", " shares", " thousand"])), (c("p_partkey") % 4 + 1).cast("int")))
+    same = P.column(lambda a, b: D.same_denotation(D.unescaped(a), D.unescaped(b)), "boolean", truth.cast("string"), found.cast("string"))
+    return read(spark, d, "part").select("p_partkey", same.alias("same"), P.column(D.same_amount, "boolean", c("p_size").cast("string"), said).alias("bare"), P.column(D.same_amount, "boolean", (c("p_size") * 1000).cast("string"), said).alias("thousands"))
+
+
+def puzzle_rules(spark, d):
+    """a sudoku by its rules, four numbers that make 24, and a ladder of words."""
+    base = [[(3 * r + r // 3 + k) % 9 + 1 for k in range(9)] for r in range(9)]
+    solved, swapped = str(base), str([base[1], base[0], *base[2:]])
+    broken = str([[base[0][1], base[0][0], *base[0][2:]], *base[1:]])
+    given = str([[x if (r + k) % 2 else 0 for k, x in enumerate(row)] for r, row in enumerate(base)])
+    grid = F.element_at(F.array(*map(F.lit, [solved, swapped, broken])), (c("p_partkey") % 3 + 1).cast("int"))
+    text = F.concat_ws(" ", F.concat(c("p_size"), F.lit(" * 1")), F.lit("+ ("), F.lit(24) - c("p_size"), F.lit(")"))
+    made = P.column(lambda n, t: D.makes([n, 1, abs(24 - n)], t), "boolean", c("p_size"), text)
+    ladder = P.column(lambda s: D.word_ladder("cold", "warm", list(s)), "boolean", F.when(c("p_partkey") % 2 == 0, F.array(*map(F.lit, ["cold", "cord", "word", "ward", "warm"]))).otherwise(F.array(*map(F.lit, ["cold", "warm"]))))
+    return read(spark, d, "part").select("p_partkey", P.column(lambda a: D.sudoku(given, a), "boolean", grid).alias("sudoku"), made.alias("made"), ladder.alias("ladder"))
+
+
+def depth_images(spark, d):
+    """rows of pixels stretched between quantiles, and between least and greatest."""
+    rows = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000, 0)).alias("p"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    return rows.select("vec_id", total(N.stretched(c("p"), 0.02, 0.98, 65535.0)).alias("depth"), total(N.stretched(c("p"))).alias("plain"))
+
+
+def attention_spans(spark, d):
+    """B14"""
+    mode = F.when(c("role") == "assistant", "full").when(c("turn") % 3 == 1, "noise").otherwise("causal")
+    splits = read(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 50 + 1).alias("n"), mode.alias("mode"))
+    return batching.attended(splits, "conv_id", "turn", "n", "mode")
+
+
+def base64_contents(spark, d):
+    """S12"""
+    rows = read(spark, d, "part").select("p_partkey", F.base64(F.col("p_name").cast("binary")).alias("image"))
+    return writers.localised(rows, "p_partkey", "image").select("p_partkey", "path", F.octet_length("content").alias("bytes"))
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 SQL = {
@@ -310,5 +353,12 @@ SQL = {
     "score_sheets": "SELECT CAST(p_partkey AS VARCHAR) \"index\", CAST(p_size % 2 AS INTEGER) hit, trim(p_name) question, CASE WHEN p_size > 25 THEN CASE WHEN p_brand < p_type THEN p_brand || '|' || p_type ELSE p_type || '|' || p_brand END ELSE p_brand END options FROM part",
     "checked_shards": "SELECT o_orderstatus, count(*) n, CAST(sum(o_orderkey) AS BIGINT) \"keys\" FROM orders GROUP BY 1",
     "frozen_selection": "SELECT 'p_' || p_partkey id, sha256('{\"a\":\"' || p_brand || '\",\"b\":' || p_size || '}') digest FROM part WHERE p_size > 40",
+    "denotation_matches": """SELECT p_partkey, p_partkey % 3 = 0 same, true AS bare, (p_partkey % 4 = 3) thousands FROM part""",
+    "puzzle_rules": "SELECT p_partkey, p_partkey % 3 = 0 sudoku, p_size <= 24 AS made, p_partkey % 2 = 0 ladder FROM part",
+    "depth_images": """WITH e AS (SELECT vec_id, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 1000, 0) AS DOUBLE) x FROM embeddings), q AS (SELECT vec_id, quantile_cont(x, 0.02) lo, quantile_cont(x, 0.98) hi, min(x) a, max(x) b FROM e GROUP BY 1)
+        SELECT vec_id, CAST(sum(CAST(floor(greatest(0, least(1, (x - lo) / (hi - lo))) * 255) AS INTEGER)) AS INTEGER) depth, CAST(sum(CAST(floor((x - a) / (b - a) * 255) AS INTEGER)) AS INTEGER) plain FROM e JOIN q USING (vec_id) GROUP BY 1""",
+    "attention_spans": """WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'full' WHEN turn % 3 = 1 THEN 'noise' ELSE 'causal' END m, length(text) % 50 + 1 n FROM conversations), a AS (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) e FROM s)
+        SELECT q.conv_id, CAST(q.e - q.n AS INTEGER) q_start, q.e q_end, CAST(k.e - k.n AS INTEGER) k_start, k.e k_end, q.turn = k.turn AND q.m = 'causal' causal FROM a q JOIN a k ON q.conv_id = k.conv_id AND (q.turn = k.turn OR (k.turn < q.turn AND k.m <> 'noise'))""",
+    "base64_contents": "SELECT p_partkey, left(sha256(p_name), 2) || '/' || sha256(p_name) \"path\", strlen(p_name) bytes FROM part",
     "frame_samples": "SELECT p_partkey, array_to_string([(i * p_size * 13) // 5 FOR i IN [1, 2, 3, 4]], ',') even FROM part",
 }

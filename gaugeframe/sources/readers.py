@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import random
-from collections.abc import Callable
+import tarfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,6 +21,8 @@ from gaugeframe.operators.validation import assert_empty, binary_hit, duplicates
 LETTERS = [chr(65 + i) for i in range(26)]
 #: Rows of a list that is shuffled on the driver at most.
 MOST_SHUFFLED = 5_000_000
+#: Names that are looked for in archives at most; each task holds them.
+MOST_WANTED = 5_000_000
 
 
 def score_sheet(spark: SparkSession, path: str, sep: str = ",", sha256: str | None = None) -> DataFrame:
@@ -140,3 +146,29 @@ def shuffled_take(df: DataFrame, ordinal: str, n: int, k: int, seed: int) -> Dat
     random.Random(seed).shuffle(order)
     places = df.sparkSession.createDataFrame([(o, i) for i, o in enumerate(order[:k])], f"{ordinal} long, place int")
     return df.join(places, ordinal)
+
+
+def verified(spark: SparkSession, path: str, md5: str) -> str:
+    """The path of a file whose MD5 is as published; another one is an error."""
+    found = [r[0] for r in spark.read.format("binaryFile").load(path).select(F.md5("content")).collect()]
+    if found != [md5]:
+        raise ValueError(f"{path} has the digest {found}, not {md5}")
+    return path
+
+
+def tar_members(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(archive, name, content) of the members of tar archives whose name is in ``wanted`` (column ``name``). Archives
+    are read one a row and streamed member by member; a damaged one gives what stands before the damage."""
+    names = {r["name"] for r in wanted.select("name").distinct().limit(MOST_WANTED + 1).collect()}
+    if len(names) > MOST_WANTED:
+        raise ValueError(f"more than {MOST_WANTED} wanted names")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for archive, content in zip(b["path"], b["content"], strict=True):
+                with contextlib.suppress(tarfile.TarError), tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
+                    for member in tar:
+                        if member.isfile() and member.name in names:
+                            yield pd.DataFrame({"archive": [archive], "name": [member.name], "content": [tar.extractfile(member).read()]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, content binary")

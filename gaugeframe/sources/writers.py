@@ -71,3 +71,11 @@ def artifact(rows: DataFrame, vectors: DataFrame, path: str) -> None:
     """K8: the rows of a gradient artifact (uid, fold, loss, loss_tokens, ...) and its vectors (uid, name, values)."""
     rows.write.mode("errorifexists").parquet(f"{path}/rows")
     vectors.write.mode("errorifexists").parquet(f"{path}/vectors")
+
+
+def localised(df: DataFrame, index: str, payload: str) -> DataFrame:
+    """base64 payloads as contents with a place by their digest, and the rows that point there: (index, path, content).
+    Spark writes tables, not loose files, so the store is a table of contents by place."""
+    content = F.unbase64(F.col(payload))
+    digest = F.sha2(content, 256)
+    return df.select(index, F.concat(F.substring(digest, 1, 2), F.lit("/"), digest).alias("path"), content.alias("content"))

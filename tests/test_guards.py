@@ -217,3 +217,47 @@ def test_broadcasts_are_checked(spark, monkeypatch):
         reshape.missing_grid(pairs, "a", "id")
     with pytest.raises(ValueError):
         joins.grid_difference(pairs, pairs.select("a"), pairs.select("id"))
+
+
+def test_denotations_and_puzzles():
+    from gaugeframe.functions import denotation as D
+
+    assert D.same_denotation(["3", "May [1]"], ["3.0", "“may”"]) and not D.same_denotation(["3"], ["3", "4"])
+    assert D.same_denotation(["2001-05-xx"], ["2001-5-xx"]) and D.value("2001-xx-xx") == ("number", 2001.0) and D.value("x-1-2")[0] == "text"
+    assert D.unescaped("a\\pb|c\\n\\\\") == ["a|b", "c\n\\"]
+    assert D.same_amount("1,500", "$1.5 thousand") and D.same_amount("5%", "0.05") and not D.same_amount("5", "6 million")
+    assert D.grid("1 . \n. 2") == [[1, 0], [0, 2]] and D.grid("x") is None and not D.sudoku("[[1]]", "[[1]]")
+    assert D.makes([1, 5, 5, 5], "5 * (5 - 1 / 5) = 24") and not D.makes([1, 5, 5, 5], "5 * 5 - 1") and not D.makes([1], "__import__('os')")
+    assert D.solvable([1, 5, 5, 5]) and not D.solvable([1, 1, 1, 1])
+    assert D.word_ladder("cold", "warm", ["cold", "cord", "word", "ward", "warm"]) and not D.word_ladder("a", "b", [])
+
+
+def test_archives(spark, tmp_path):
+    import hashlib
+    import io
+    import tarfile
+
+    for i in range(3):
+        with tarfile.open(tmp_path / f"{i}.tar.gz", "w:gz") as tar:
+            for j in range(4):
+                info = tarfile.TarInfo(f"{i}/{j}.txt")
+                info.size = 3
+                tar.addfile(info, io.BytesIO(f"{i}-{j}".encode()))
+    (tmp_path / "9.tar").write_bytes(b"nothing")
+    wanted = spark.createDataFrame([("0/1.txt",), ("2/3.txt",), ("none",)], "name string")
+    assert sorted((r.name, bytes(r.content)) for r in readers.tar_members(spark, str(tmp_path), wanted).collect()) == [("0/1.txt", b"0-1"), ("2/3.txt", b"2-3")]
+    with pytest.raises(ValueError, match="digest"):
+        readers.verified(spark, str(tmp_path / "9.tar"), "0")
+    assert readers.verified(spark, str(tmp_path / "9.tar"), hashlib.md5(b"nothing").hexdigest())
+
+
+def test_stretched_pixels(spark):
+    from gaugeframe.functions import numeric
+
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40):
+        x = np.append(rng.integers(0, 5000, n), [65535] * 3).astype(float)
+        got = spark.range(1).select(numeric.stretched(F.array(*map(F.lit, x.tolist())), 0.02, 0.98, 65535.0).alias("p")).first().p
+        valid = x[x < 65535] if n >= 16 else x
+        lo, hi = np.percentile(valid, 2), np.percentile(valid, 98)
+        assert got == (np.clip((x - lo) / ((hi if hi > lo else lo + 1) - lo), 0, 1) * 255).astype(np.uint8).tolist()
