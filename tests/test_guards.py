@@ -261,3 +261,20 @@ def test_stretched_pixels(spark):
         valid = x[x < 65535] if n >= 16 else x
         lo, hi = np.percentile(valid, 2), np.percentile(valid, 98)
         assert got == (np.clip((x - lo) / ((hi if hi > lo else lo + 1) - lo), 0, 1) * 255).astype(np.uint8).tolist()
+
+
+def test_command_line(spark, tmp_path):
+    from gaugeframe.__main__ import parser, run
+
+    at = lambda name: str(tmp_path / name)
+    do = lambda *args: run(spark, parser().parse_args([*map(str, args)]))
+    (tmp_path / "q.csv").write_text("index,A,B,answer,prediction,hit,split\n1,x,y,A,A,1,s\n2,x,y,B,Failed to obtain answer via API,0,s\n")
+    (tmp_path / "m.csv").write_text("model\nm\nn\n")
+    (tmp_path / "d.csv").write_text("dataset\nd\ne\n")
+    (tmp_path / "r.csv").write_text("model,dataset\nm,d\nn,d\nn,e\n")
+    assert do("circular", at("q.csv"), at("c.jsonl"), "--options", "AB").count() == 4
+    assert do("merge", at("q.csv"), at("m.csv"), at("u.parquet")).count() == 4
+    assert [tuple(r) for r in do("missing", at("r.csv"), at("m.csv"), at("d.csv"), at("g.csv")).collect()] == [("m", "e")]
+    assert tuple(do("scan", at("q.csv")).first()) == (2, 1, 0.5)
+    assert {r.name: r.accuracy for r in do("report", at("q.csv"), at("a.csv"), "--split", "split", "--by", "answer").collect()} == {"Overall": 0.5, "A": 1.0, "B": 0.0}
+    assert do("convert", at("q.csv"), at("q.tsv")).count() == 2 and readers.load(spark, at("q.tsv")).count() == 2
