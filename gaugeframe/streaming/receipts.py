@@ -11,7 +11,10 @@ from gaugeframe.operators.receipts import latest_status
 
 def upsert(batch: DataFrame, path: str, key: list[str], at: Column) -> None:
     """The last row of each key over the stored table and a batch. Versions are folders ``v=N``; a reader takes the
-    greatest, so a failed write leaves the former table as it is."""
+    greatest, so a failed write leaves the former table as it is. The version before the new one stays for readers that
+    have begun; older ones go. An empty batch writes nothing."""
+    if batch.isEmpty():
+        return
     spark = batch.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -19,6 +22,8 @@ def upsert(batch: DataFrame, path: str, key: list[str], at: Column) -> None:
     done = sorted(int(n[2:]) for n in found if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
     rows = batch.unionByName(spark.read.parquet(f"{path}/v={done[-1]}")) if done else batch
     latest_status(rows, key, at).write.mode("overwrite").parquet(f"{path}/v={done[-1] + 1 if done else 0}")
+    for n in done[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}"), True)
 
 
 def current(spark, path: str) -> DataFrame:
