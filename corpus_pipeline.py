@@ -42,14 +42,22 @@ def without_keys(docs: DataFrame, of: Column, keys: DataFrame, how: str = "left_
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: those without a letter (``und``) and those between two languages go."""
+    """Keeps documents with a language: those without a letter (``und``) and those between two languages go.
+
+    So null and empty texts go; long texts are judged whole; rows that repeat each other are judged alike, ids may be
+    null, and an empty table stays empty. Where no row names a language, none can be told and all go.
+    """
     found = docs.withColumn("_stage_language", langid.scorer(langid.train(docs), AMBIGUOUS)(F.col("text"), F.coalesce(F.col("text").rlike(langid.LETTER), F.lit(False))))
     kept = (F.col("_stage_language.lang_pred") != langid.UNKNOWN) & ~F.col("_stage_language.ambiguous")
     return found.where(kept).select(docs.columns)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the additive model scores at ``QUALITY`` or more."""
+    """Keeps documents that the additive model scores at ``QUALITY`` or more.
+
+    Null and empty texts get the score of all-zero features; long texts are measured whole; rows that repeat each other
+    are judged alike, ids may be null, and an empty table stays empty. Without any label all stay.
+    """
     model = gam.train(docs, table(spark, sf_dir, "labels"))
     return docs.withColumn("_stage_score", gam.scorer(model)(F.col("text").cast("binary"))).where(F.col("_stage_score") >= QUALITY).select(docs.columns)
 
@@ -112,13 +120,21 @@ def _fingerprint():
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no passage of a benchmark item: rows go by their text, not by their id alone."""
+    """Keeps documents that hold no passage of a benchmark item: rows go by their text, not by their id alone.
+
+    Null and empty texts and items leak nothing; long texts are looked at whole; rows that repeat a leaking one go with
+    it, whatever else shares their id or their lack of one stays; an empty table stays empty.
+    """
     leaking = decontaminate.leaks_by_text(docs, table(spark, sf_dir, "benchmark"))
     return without_keys(docs, F.xxhash64("text"), leaking.select("doc_id", F.col("text_hash").alias("key")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, copies and taken of each document."""
+    """The mix: doc_id, source, size, source_size, target, copies and taken of each document.
+
+    A null or empty text takes nothing; a null source is one of its own; rows that repeat each other are rounded one by
+    one; ids may be null; an empty table gives an empty mix.
+    """
     return mixing.mix(docs)
 
 
