@@ -162,7 +162,7 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     asked = found.select(*KEY, "item", "k", "n", F.explode("starts").alias("start"))
 
     # Only texts with anchors enough are cut into windows; items of the same size share windows.
-    listed = cut(found.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).distinct())
+    listed = found.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).distinct()
     listed = F.broadcast(listed) if listed.count() <= MOST_TEXTS else listed
     few = texts.join(listed, _same_text(texts, listed), "left_semi")
     starts = asked.groupBy(*KEY, "k", "n").agg(F.array_sort(F.collect_set("start")).alias("starts")).withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
@@ -176,7 +176,8 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     place = ["k", "n", "start"]
     window = windows.withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash", **{c: f"w_{c}" for c in place}, "set": "w_set"})
     of_window = lambda rows: functools.reduce(Column.__and__, [rows[c] == window[f"w_{c}"] for c in place], _same_text(rows, window))
-    prints = asked.join(window.drop("w_set"), of_window(asked)).select(*KEY, "item", *place, "fp", F.explode(blocks(F.col("fp"))).alias("b")).select("*", "b.*").drop("b")
+    # A file of start lists is small beside its rows: its size must not make them a broadcast.
+    prints = asked.hint("merge").join(window.drop("w_set"), of_window(asked)).select(*KEY, "item", *place, "fp", F.explode(blocks(F.col("fp"))).alias("b")).select("*", "b.*").drop("b")
     there = items.select("item", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"))).alias("b")).select("*", "b.*").drop("b")
     pairs = prints.join(near(there), ["item", "block", "value"])
     pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (_first_equal(F.col("fp"), F.col("item_fp")) == F.col("block")))
