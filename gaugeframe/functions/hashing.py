@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,3 +42,19 @@ def table_digest(df: DataFrame, order: str, uid: str) -> DataFrame:
 
     rows = df.select(F.col(order).alias("o"), F.col(uid).cast("string").alias("uid")).repartition(1).sortWithinPartitions("o", "uid")
     return rows.select("uid").mapInPandas(run, "count long, ordered_uid_sha256 string")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once: a lambda's variable isn't inlined again by the optimizer."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def run_hashes(values: Column, size: int) -> Column:
+    """64-bit hashes of the runs of ``size`` neighbours in an array, in order; none if it has fewer.
+
+    Each value is hashed once, and a run's hash is taken of its values' hashes by place. Cutting out each run as an array
+    would copy the whole array for every run.
+    """
+    last = F.size(values) - size
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(size)]))
+    return F.when(last >= 0, bound(F.transform(values, lambda x: F.xxhash64(x)), runs)).otherwise(F.array().cast("array<bigint>"))

@@ -10,6 +10,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.functions.hashing import run_hashes
 from gaugeframe.functions.stats import ratio, sem
 
 OVERALL = "Overall"
@@ -168,12 +169,12 @@ def by_metric(df: DataFrame, metric: str, metrics: dict, response: Column, truth
 
 def ngram_overlap(df: DataFrame, key: str, truth: str, found: str, most: int = 4) -> DataFrame:
     """GLEU (matches of up to ``most`` words over the larger number of n-grams) and unigram recall, precision and F1.
-    N-grams are counted in groups; no text is collected."""
-    gram = lambda ws, n: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(ws, i, n), " ").alias("g"))))
+    N-grams are counted in groups by a 64-bit hash; no text is collected."""
+    gram = lambda ws, n: F.transform(run_hashes(ws, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
 
     def side(c: str, own: str, other: str) -> DataFrame:
         ws = F.array_remove(F.split(F.lower(c), r"\s+"), "")
-        grams = F.flatten(F.array_compact(F.array(*[gram(ws, n) for n in range(1, most + 1)])))
+        grams = F.flatten(F.array(*[gram(ws, n) for n in range(1, most + 1)]))
         return df.select(key, F.explode(grams).alias("x")).select(key, "x.n", "x.g", F.lit(1).alias(own), F.lit(0).alias(other))
 
     counts = side(truth, "a", "b").unionByName(side(found, "b", "a")).groupBy(key, "n", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))

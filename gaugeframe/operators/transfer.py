@@ -7,6 +7,8 @@ are shuffled as partial sums only.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,22 +75,42 @@ def runs_of(facts: DataFrame, baseline: str, paired: bool = True) -> dict[str, l
     return found
 
 
+def question_differences(facts: DataFrame, baseline: str, models: list[str], seeds: list[int]) -> DataFrame:
+    """benchmark, family, capability, model and d, the seed-summed difference to the baseline, of every question and model.
+
+    A question's facts are summed where they are, a column a model, before they are shuffled. Beside the hits each column
+    counts every seed in bits of its own, so that a missing or repeated run shows.
+    """
+    key = ["uid", "benchmark", "family", "capability"]
+    place = functools.reduce(lambda c, i: c.when(F.col("seed") == seeds[i], F.lit(1 << 20 * i)), range(1, len(seeds)), F.when(F.col("seed") == seeds[0], F.lit(1)))
+    whole = sum(1 << 20 * i for i in range(len(seeds)))
+    own = lambda m, c: F.sum(F.when((F.col("model") == m) & F.col("hit").isNotNull(), c.cast("long")))
+    sums = {m: (f"h{i}", f"s{i}") for i, m in enumerate([baseline, *models])}
+    each = facts.groupBy(*key).agg(*[x for m, (h, n) in sums.items() for x in (own(m, F.col("hit")).alias(h), own(m, place).alias(n))])
+    full = functools.reduce(Column.__and__, [F.coalesce(F.col(n) == whole, F.lit(False)) for _, n in sums.values()])
+    lacks = F.concat(F.lit("a run is missing or repeated for question "), F.col("uid").cast("string"))
+    base = F.when(full, F.col("h0")).otherwise(F.raise_error(lacks).cast("long"))
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), (F.col(sums[m][0]) - F.col("base")).alias("d")) for m in models])
+    return each.withColumn("base", base).select(*key[1:], F.explode(pairs).alias("p")).select(*key[1:], "p.model", "p.d")
+
+
+#: Models that are compared with the baseline in one pass over the facts.
+AT_ONCE = 32
+
+
 def difference_counts(facts: DataFrame, baseline: str) -> DataFrame:
     """A4: of each (scope, node, model): questions whose seed-summed difference to the baseline is 1, 2 or 3 in size,
     and the sum of differences. Seeds cancel within a question before anything is counted.
 
     Every model must answer every question once with every seed: a question that doesn't fails the query when it is
-    read. Facts are shuffled once, by question: models are compared where their question lies.
+    read.
     """
     runs = runs_of(facts, baseline)
-    key = ["uid", "benchmark", "family", "capability"]
-    by_model = facts.repartition(*key).groupBy(*key, "model").agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count("hit").alias("n"), F.size(F.collect_set("seed")).alias("seeds"))
-    full = (F.col("n") == len(runs[baseline])) & (F.col("seeds") == len(runs[baseline]))
-    each = by_model.groupBy(*key).agg(F.max(F.when(F.col("model") == baseline, F.col("hits"))).alias("base_hits"), F.bool_and(full).alias("full"), F.collect_list(F.struct("model", "hits")).alias("m"))
-    lacks = F.concat(F.lit("a run is missing or repeated for question "), F.col("uid").cast("string"))
-    checked = F.when(F.col("full") & (F.size("m") == len(runs)), F.col("base_hits")).otherwise(F.raise_error(lacks).cast("long"))
-    d = each.withColumn("base_hits", checked).select(*key[1:], "base_hits", F.explode("m").alias("m")).where(F.col("m.model") != baseline)
-    d = d.select(*key[1:], "m.model", (F.col("m.hits") - F.col("base_hits")).alias("d"))
+    models, seeds = sorted(m for m in runs if m != baseline), sorted(runs[baseline])
+    parts = [question_differences(facts, baseline, models[i : i + AT_ONCE], seeds) for i in range(0, max(len(models), 1), AT_ONCE) if models]
+    if not parts:
+        raise ValueError(f"no model but {baseline}")
+    d = functools.reduce(DataFrame.unionByName, parts)
     counts = [F.sum((F.abs("d") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3)]
     small = d.groupBy("benchmark", "family", "capability", "model").agg(*counts, F.sum("d").alias("difference"), F.count("*").alias("questions"))
     sums = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "difference", "questions")]

@@ -278,3 +278,12 @@ def test_command_line(spark, tmp_path):
     assert tuple(do("scan", at("q.csv")).first()) == (2, 1, 0.5)
     assert {r.name: r.accuracy for r in do("report", at("q.csv"), at("a.csv"), "--split", "split", "--by", "answer").collect()} == {"Overall": 0.5, "A": 1.0, "B": 0.0}
     assert do("convert", at("q.csv"), at("q.tsv")).count() == 2 and readers.load(spark, at("q.tsv")).count() == 2
+
+
+def test_run_hashes(spark):
+    rng = random.Random(6)
+    words = [rng.choice("abcd") for _ in range(200)]
+    for n, size in itertools.product((0, 1, 4, 5, 200), (1, 2, 5, 8)):
+        got = spark.range(1).select(hashing.run_hashes(F.array(*map(F.lit, words[:n])) if n else F.array().cast("array<string>"), size).alias("h")).first().h
+        runs = [tuple(words[i : i + size]) for i in range(n - size + 1)]
+        assert len(got) == len(runs) and len({*zip(got, runs)}) == len(set(got)) == len(set(runs))
