@@ -35,7 +35,7 @@ def merge_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataF
     outer = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     reach = rows.groupBy(*by, "_piece").agg(F.max(end).alias("_far")).select(*by, "_piece", F.max("_far").over(outer).alias("_reach"))
     seen = F.greatest("_reach", F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-    flagged = cut(rows.join(reach, [*by, "_piece"]).withColumn("_new", F.coalesce(F.col(start) > seen, F.lit(True)).cast("int")))
+    flagged = rows.join(reach, [*by, "_piece"]).withColumn("_new", F.coalesce(F.col(start) > seen, F.lit(True)).cast("int"))
     opened = flagged.groupBy(*by, "_piece").agg(F.sum("_new").alias("_o")).select(*by, "_piece", F.coalesce(F.sum("_o").over(outer), F.lit(0)).alias("_start"))
     island = flagged.withColumn("_in", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(opened, [*by, "_piece"])
     island = island.withColumn("_i", F.col("_in") + F.col("_start"))

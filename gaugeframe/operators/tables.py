@@ -28,6 +28,15 @@ def forget_on_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(where)
 
 
+def place(spark: SparkSession) -> str:
+    """A path in a new scratch folder that goes when the driver ends, for writers that make their own files."""
+    folder = scratch(spark)
+    fs, where = _at(spark, folder)
+    fs.mkdirs(where)
+    forget_on_exit(spark, folder)
+    return f"{folder}/table"
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete ``path`` now; for tables that nothing reads any more."""
     fs, where = _at(spark, path)

@@ -9,7 +9,7 @@ from gaugeframe.functions import numeric as N
 from gaugeframe.functions import pytext as P
 from gaugeframe.operators import batching, joins, reports, reshape, sampling, validation, vectors
 from gaugeframe.operators import scores as S
-from gaugeframe.operators.tables import scratch
+from gaugeframe.operators.tables import place
 from gaugeframe.sources import readers, writers
 
 from .facts import read, rounded
@@ -195,7 +195,7 @@ def structural_zeros(spark, d):
 
 def jsonl_round_trip(spark, d):
     """Gzipped JSON lines written and read with their schema."""
-    path = scratch(spark)
+    path = place(spark)
     read(spark, d, "conversations").write.option("compression", "gzip").json(path)
     return readers.json_lines(spark, path, "conv_id long, turn long, role string, text string")
 
@@ -203,12 +203,12 @@ def jsonl_round_trip(spark, d):
 def manifest_digest(spark, d):
     """K1, H3: count and digest of a manifest's ordered uids."""
     rows = read(spark, d, "documents").select((-c("doc_id")).alias("ordinal"), F.concat(F.lit("d"), c("doc_id")).alias("uid"))
-    return writers.manifest(rows, scratch(spark)).select("count", "ordered_uid_sha256")
+    return writers.manifest(rows, place(spark)).select("count", "ordered_uid_sha256")
 
 
 def manifest_order(spark, d):
     """The written order of a manifest, taken from its files."""
-    path = scratch(spark)
+    path = place(spark)
     writers.manifest(read(spark, d, "part").select(((c("p_partkey") * 7919) % 100_003).alias("ordinal"), F.concat(F.lit("p"), c("p_partkey")).alias("uid")), path)
     return readers.manifest(spark, f"{path}/rows", "uid string").select("uid", c("ordinal").cast("int").alias("place"))
 
@@ -220,16 +220,16 @@ def content_places(spark, d):
 
 def group_files(spark, d):
     """A folder of tab-separated files a group, read back by suffix."""
-    path = scratch(spark)
+    path = place(spark)
     writers.by_group(read(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", path)
-    tsv = f"{scratch(spark)}.tsv"
+    tsv = f"{place(spark)}.tsv"
     writers.dump(spark.read.parquet(path).groupBy("c_mktsegment").agg(F.count("*").alias("n")), tsv)
     return readers.load(spark, tsv).select("c_mktsegment", c("n").cast("long").alias("n"))
 
 
 def score_sheets(spark, d):
     """A sheet written as CSV and read as text, with its options."""
-    path = f"{scratch(spark)}.csv"
+    path = f"{place(spark)}.csv"
     rows = read(spark, d, "part").select(F.concat(c("p_partkey"), F.lit(".0")).alias("index"), (c("p_size") % 2).alias("hit"), F.concat(F.lit("  "), c("p_name")).alias("question"), F.lit("A").alias("answer"), c("p_brand").alias("A"), F.when(c("p_size") > 25, c("p_type")).alias("B"))
     writers.dump(rows, path)
     return readers.score_sheet(spark, path).select("index", c("hit").cast("int").alias("hit"), "question", F.array_join(F.array_sort(F.map_values("options")), "|").alias("options"))
@@ -237,7 +237,7 @@ def score_sheets(spark, d):
 
 def checked_shards(spark, d):
     """Shards with their digests and count checked, two columns read."""
-    path = scratch(spark)
+    path = place(spark)
     read(spark, d, "orders").repartition(3).write.parquet(path)
     known = {r["path"].rpartition("/")[2]: r["sha256"] for r in readers.file_digests(spark, path).collect()}
     rows = readers.shards(spark, [path], ["o_orderkey", "o_orderstatus"], "o_orderkey", read(spark, d, "orders").count(), known)
@@ -299,6 +299,33 @@ def base64_contents(spark, d):
     return writers.localised(rows, "p_partkey", "image").select("p_partkey", "path", F.octet_length("content").alias("bytes"))
 
 
+def seeded_pool(spark, d):
+    """The first rows of a seeded shuffle, with their places."""
+    rows = read(spark, d, "part").select("p_partkey", "p_name")
+    return readers.shuffled_take(rows, "p_partkey", rows.count(), 50, 20260826).select("p_partkey", "p_name", "place")
+
+
+def seeded_prompts(spark, d):
+    """H8: the wording that each seed picks."""
+    return read(spark, d, "part").select("p_partkey", P.column(P.seeded_choice, "string", c("p_partkey"), F.array(*map(F.lit, ["Count them.", "How many are there?", "Give the number."]))).alias("prompt"))
+
+
+def artifact_round_trip(spark, d):
+    """Gradient rows and vectors stored, checked and read back."""
+    path, rows = place(spark), read(spark, d, "embeddings")
+    meta = rows.select(c("vec_id").alias("uid"), (c("vec_id") % 5).alias("fold"), (c("vec_id") / 7).alias("loss"), (c("vec_id") % 11 + 1).alias("loss_tokens"))
+    half = lambda name, at: rows.select(c("vec_id").alias("uid"), F.lit(name).alias("name"), F.slice("embedding", at, 32).alias("values"))
+    writers.artifact(meta, half("first", 1).unionByName(half("second", 33)), path)
+    got = readers.artifact(spark, path).select("fold", "name", F.aggregate("values", F.lit(0.0), lambda n, x: n + x.cast("double")).alias("s"))
+    return rounded(got.groupBy("fold", "name").agg(F.count("*").alias("n"), F.sum("s").alias("total")))
+
+
+def projected_cosines(spark, d):
+    """Cosines of pairs in the basis of the other folds, by label."""
+    rows = read(spark, d, "embeddings").withColumns({"pair": F.floor(c("vec_id") / 2), "fold": F.floor(c("vec_id") / 2) % 5, "objective": F.when(c("vec_id") % 2 == 0, "i2i").otherwise("i2t")})
+    return rounded(vectors.projected_pairs(rows, "embedding", "fold", ["objective"], 5, "pair", "objective"))
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 SQL = {
@@ -360,5 +387,7 @@ SQL = {
     "attention_spans": """WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'full' WHEN turn % 3 = 1 THEN 'noise' ELSE 'causal' END m, length(text) % 50 + 1 n FROM conversations), a AS (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) e FROM s)
         SELECT q.conv_id, CAST(q.e - q.n AS INTEGER) q_start, q.e q_end, CAST(k.e - k.n AS INTEGER) k_start, k.e k_end, q.turn = k.turn AND q.m = 'causal' causal FROM a q JOIN a k ON q.conv_id = k.conv_id AND (q.turn = k.turn OR (k.turn < q.turn AND k.m <> 'noise'))""",
     "base64_contents": "SELECT p_partkey, left(sha256(p_name), 2) || '/' || sha256(p_name) \"path\", strlen(p_name) bytes FROM part",
+    "artifact_round_trip": """WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) i, CAST(unnest(embedding) AS DOUBLE) v FROM embeddings), s AS (SELECT vec_id, CASE WHEN i <= 32 THEN 'first' ELSE 'second' END "name", sum(v) s FROM x GROUP BY ALL)
+        SELECT vec_id % 5 fold, "name", count(*) n, round(sum(s), 6) total FROM s GROUP BY ALL""",
     "frame_samples": "SELECT p_partkey, array_to_string([(i * p_size * 13) // 5 FOR i IN [1, 2, 3, 4]], ',') even FROM part",
 }
