@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.functions.hashing import bound, run_hashes
+
 from .common import SPACE, WORD, cut, words
 
 # Common words of each language.
@@ -39,14 +41,7 @@ def repeated_words(ws: Column, size: int = WINDOW) -> Column:
     Windows are compared by a 64-bit hash. Only a text that has equal windows at all is looked at further: its
     (hash, place) pairs are sorted, those equal to a neighbour kept, and the words that these places cover counted.
     """
-    n = F.size(ws)
-    hashes = F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, size)))).otherwise(F.array().cast("array<bigint>"))
-    return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h, size)))
-
-
-def bound(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once: a lambda's variable isn't inlined again by the optimizer."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return bound(run_hashes(ws, size), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h, size)))
 
 
 def _covered(hashes: Column, size: int) -> Column:
