@@ -6,8 +6,8 @@ are the mean histograms of all documents of that language in the table itself. A
 near enough to any language. Each test has a least length below which it doesn't speak: short texts are noise.
 
 Defined cases: null and empty texts have no words, so they fail the base rule and aren't kept. Ties and repeated
-rows are judged alike, row by row. Where no row names a language of ``COMMON`` there is no reference, and the
-base rule alone decides. Further columns of the input are not looked at, whatever their names.
+rows are judged alike, row by row; long texts are judged whole. Where no row names a language of ``COMMON`` there is
+no reference, and the base rule alone decides. Further columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ COMMON = {
 #: Runs of characters of each class, as Java and RE2 both read them; what is left over is the last class.
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:'\"()\-", "mark": r"!?#*$%&|<>@\[\]{}^_~=+/"}
 VOCABULARY = sorted({w for ws in COMMON.values() for w in ws})
-#: One letter for each common word: a document's common words become a short string in which letters are counted.
-CODES = "".join(chr(0x100 + i) for i in range(len(VOCABULARY)))
 LONGEST = max(len(w.encode()) for w in VOCABULARY)
 WINDOW = 8
 
@@ -65,7 +63,7 @@ def features(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"left_{name}", F.regexp_replace(left, f"[{chars}]+", ""))
         left, counts[name], size = F.col(f"left_{name}"), size - F.length(f"left_{name}"), F.length(f"left_{name}")
     known = F.filter("ws", lambda w: (F.octet_length(w) <= LONGEST) & F.lower(w).isin(VOCABULARY))
-    code = F.transform(known, lambda w: F.substring(F.lit(CODES), F.array_position(F.array(*map(F.lit, VOCABULARY)), F.lower(w)).cast("int"), F.lit(1)))
+    listed = F.lower(F.concat(F.lit(" "), F.array_join(known, "  "), F.lit(" ")))  # " the  and ": each word has spaces of its own
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     out = out.select(
         "doc_id",
@@ -76,10 +74,10 @@ def features(docs: DataFrame) -> DataFrame:
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("ws")).cast("long").alias("n_repeat_words"),
         F.array(*counts.values(), size).alias("classes"),
-        F.array_join(code, "").alias("coded"),
+        listed.alias("listed"),
     )
-    count = lambda c: F.length("coded") - F.length(F.replace(F.col("coded"), c, F.lit("")))
-    return out.withColumn("common", F.transform(F.array(*map(F.lit, CODES)), count)).drop("coded")
+    left = lambda w: F.octet_length("listed") - F.octet_length(F.replace(F.col("listed"), F.lit(f" {w} "), F.lit("")))
+    return out.withColumn("common", F.array(*[F.call_function("div", left(w), F.lit(len(w) + 2)).cast("int") for w in VOCABULARY])).drop("listed")
 
 
 def references(stats: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
