@@ -25,8 +25,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.functions.hashing import bound, run_hashes
+
 from .common import cut
-from .divergence import bound
 
 TOKEN = r"([\p{L}\p{M}\p{N}]+)"
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 27
@@ -44,8 +45,7 @@ def tokens(text: Column) -> Column:
 
 def shingles(ws: Column, k: int) -> Column:
     """64-bit hashes of the k-word shingles of ``ws``, in order; none if there are fewer words."""
-    n = F.size(ws) - (k - 1)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, k)))).otherwise(F.array().cast("array<bigint>"))
+    return run_hashes(ws, k)
 
 
 def simhash(hashes: Column) -> Column:
