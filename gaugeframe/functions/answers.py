@@ -178,3 +178,45 @@ def box_set_iou(truth: Column, found: Column) -> Column:
     corners = lambda b: [F.get(b, F.lit(i)) for i in range(4)]
     best = F.transform(truth, lambda t: F.coalesce(F.array_max(F.transform(found, lambda f: N.box_iou(corners(t), corners(f)))), F.lit(0.0)))
     return F.try_divide(F.aggregate(best, F.lit(0.0), lambda a, x: a + x), F.size(truth))
+
+
+def xml_point(text: Column) -> Column:
+    """the numbers (x, y) of the one point tag of a text; null where there is none, several, or no two numbers."""
+    found = F.regexp_extract_all(text, F.lit(r"<point>(.*?)</point>"))
+    parts = F.transform(F.split(F.get(found, F.lit(0)), ","), lambda x: F.trim(x).try_cast("double"))
+    fine = (F.size(found) == 1) & (F.size(parts) == 2) & ~F.exists(parts, lambda x: x.isNull())
+    return F.when(fine, F.struct(parts[0].alias("x"), F.get(parts, F.lit(1)).alias("y")))
+
+
+def point_closeness(response: Column, truth: Column) -> Column:
+    """1 minus the distance of two tagged points in the unit square, at least 0; 0 for one that can't be read or lies
+    outside."""
+    a, b = xml_point(response), xml_point(truth)
+    inside = lambda p: p["x"].between(0, 1) & p["y"].between(0, 1)
+    distance = F.sqrt(F.pow(a["x"] - b["x"], F.lit(2)) + F.pow(a["y"] - b["y"], F.lit(2)))
+    return F.when(F.coalesce(inside(a) & inside(b), F.lit(False)), F.greatest(F.lit(0.0), 1 - distance)).otherwise(0.0)
+
+
+def point_in_boxes(response: Column, boxes: Column) -> Column:
+    """the first box (x1, y1, x2, y2 arrays) that holds the tagged point, from 0; null if none does."""
+    p = xml_point(response)
+    hits = F.transform(boxes, lambda b: p["x"].between(b[0], F.get(b, F.lit(2))) & p["y"].between(F.get(b, F.lit(1)), F.get(b, F.lit(3))))
+    at = F.array_position(hits, F.lit(True))
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def keypoint_score(found: Column, truth: Column, decay: float = 10.0) -> Column:
+    """the mean over keypoints (x, y arrays) of exp(-decay times the distance over the unit square's diagonal); 0
+    where there are not as many."""
+    apart = lambda a, b: F.sqrt(F.pow(a[0] - b[0], F.lit(2)) + F.pow(F.get(a, F.lit(1)) - F.get(b, F.lit(1)), F.lit(2)))
+    each = F.zip_with(found, truth, lambda a, b: F.exp(F.lit(-decay) * apart(a, b) / F.sqrt(F.lit(2.0))))
+    mean = F.try_divide(F.aggregate(each, F.lit(0.0), lambda n, x: n + x), F.size(truth))
+    return F.when(F.size(found) == F.size(truth), F.coalesce(mean, F.lit(0.0))).otherwise(0.0)
+
+
+def tracked_boxes_iou(found: Column, truth: Column) -> Column:
+    """the mean overlap of boxes taken two by two; 0 where there are not as many."""
+    corners = lambda b: [F.get(b, F.lit(i)) for i in range(4)]
+    each = F.zip_with(found, truth, lambda a, b: N.box_iou(corners(a), corners(b)))
+    mean = F.try_divide(F.aggregate(each, F.lit(0.0), lambda n, x: n + x), F.size(truth))
+    return F.when(F.size(found) == F.size(truth), F.coalesce(mean, F.lit(0.0))).otherwise(0.0)

@@ -183,10 +183,29 @@ def sentence_overlap(spark, d):
     return rounded(reports.ngram_overlap(rows, "item_id", "text", "other"))
 
 
+def point_scores(spark, d):
+    """tagged points against points and boxes, keypoints, and boxes of a track."""
+    n, q = F.col("l_linenumber") / 8, F.col("l_quantity") / 50
+    tag = lambda x, y: F.concat(F.lit("at <point>"), x, F.lit(" , "), y, F.lit("</point>"))
+    said = F.when(F.col("l_linenumber") == 7, F.concat(tag(n, q), tag(n, q))).when(F.col("l_linenumber") == 6, F.lit("<point>a,b</point>")).otherwise(tag(n, q))
+    xy, box = lambda x, y: F.array(x, y), lambda x, y, s: F.array(x, y, x + s, y + s)
+    track = F.when(F.col("l_linenumber") == 1, F.array(box(n, q, 0.5))).otherwise(F.array(box(n, q, 0.5), box(q, n, 0.25)))
+    rows = read(spark, d, "lineitem").select(
+        "l_linenumber", A.point_closeness(said, tag(F.lit(0.5), F.lit(0.5))).alias("close"), A.point_in_boxes(said, F.array(box(F.lit(0.0), F.lit(0.0), 0.3), box(F.lit(0.2), F.lit(0.1), 0.4))).alias("box"),
+        A.keypoint_score(F.array(xy(n, q), xy(q, n)), F.array(xy(q, q), xy(n, n))).alias("keypoints"), A.tracked_boxes_iou(track, F.array(box(q, q, 0.5), box(n, n, 0.25))).alias("track"),
+    )
+    return rounded(rows.groupBy("l_linenumber", "box").agg(F.count("*").alias("n"), F.avg("close").alias("close"), F.avg("keypoints").alias("keypoints"), F.avg("track").alias("track")))
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _W1 = "string_split(p_name, ' ')[1]"
 SQL = {
+    "point_scores": """WITH r AS (SELECT l_linenumber l, CAST(l_linenumber AS DOUBLE) / 8 n, l_quantity / 50 q FROM lineitem), i AS (SELECT *, greatest(least(n, q) + 0.5 - greatest(n, q), 0) a, greatest(least(n, q) + 0.25 - greatest(n, q), 0) b FROM r),
+        x AS (SELECT l, CASE WHEN l < 6 AND n BETWEEN 0 AND 1 AND q BETWEEN 0 AND 1 THEN greatest(0, 1 - sqrt(pow(n - 0.5, 2) + pow(q - 0.5, 2))) ELSE 0 END c,
+          CASE WHEN l < 6 AND n BETWEEN 0 AND 0.3 AND q BETWEEN 0 AND 0.3 THEN 0 WHEN l < 6 AND n BETWEEN 0.2 AND 0.2::DOUBLE + 0.4::DOUBLE AND q BETWEEN 0.1 AND 0.1::DOUBLE + 0.4::DOUBLE THEN 1 END b, exp(-10 * abs(n - q) / sqrt(2)) k,
+          CASE WHEN l = 1 THEN 0 ELSE (a * 0.5 / (0.5 - a * 0.5) + b * 0.25 / (0.125 - b * 0.25)) / 2 END t FROM i)
+        SELECT l l_linenumber, b box, count(*) n, round(avg(c), 6) "close", round(avg(k), 6) keypoints, round(avg(t), 6) track FROM x GROUP BY ALL""",
     "multi_choice_parse": f"""WITH s AS (SELECT p_partkey, p_brand, upper(p_type) t, p_name, {_sql_case('p_partkey', _CHOICES)} || CASE WHEN p_partkey % 8 = 4 THEN p_type || ' not the ' || p_brand ELSE '' END s FROM part),
         r AS (SELECT p_partkey, ' ' || trim(trim(trim(trim(trim(trim(trim(s, ','), '.'), '!'), '?'), ';'), ':'), '''') || ' ' r, [('A', p_brand), ('B', t), ('C', 'zzz'), ('E', p_name)] o FROM s),
         e AS (SELECT p_partkey, r, unnest(o) x, generate_subscripts(o, 1) i FROM r), f AS (SELECT p_partkey, r, i, x[1] k, x[2] v, '(' || x[1] || ')' m, ' ' || x[1] || ' ' w FROM e),
