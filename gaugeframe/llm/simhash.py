@@ -17,7 +17,7 @@ pivots; it decides about balance, not about results.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,27 +36,114 @@ SAMPLE, MOST_SAMPLE, SAMPLED = 8192, 1 << 18, 16
 SHARD, LEAF, DENSE, AT_ONCE = 8192, 192, 4096, 1 << 23
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The fingerprint as a signed 64-bit integer: the majority of the bits of the shingles' XXH64, repeats included."""
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Bytes up to which pieces are hashed together, and pieces at once (a row of 64 bits each).
+TOGETHER, PIECES = 1024, 1 << 17
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _mix(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _turn(acc + lane * P2, 31) * P1
+
+
+def _hash_equal(data: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """XXH64 of the pieces of ``n`` bytes that start ``at`` places of ``data``, all at once."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    four = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
+    start, pos = np.full(len(at), seed, np.uint64), 0
+    if n >= 32:
+        lanes = [start + P1 + P2, start + P2, start, start - P1]
+        while pos + 32 <= n:
+            lanes = [_mix(v, eight[at + (pos + 8 * i)]) for i, v in enumerate(lanes)]
+            pos += 32
+        h = sum((_turn(v, by) for v, by in zip(lanes, (1, 7, 12, 18), strict=True)), np.zeros(len(at), np.uint64))
+        for v in lanes:
+            h = (h ^ _mix(np.uint64(0), v)) * P1 + P4
+    else:
+        h = start + P5
+    h = h + np.uint64(n)
+    for pos in range(pos, n - 7, 8):
+        h = _turn(h ^ _mix(np.uint64(0), eight[at + pos]), 27) * P1 + P4
+    pos = n - n % 8
+    if n % 8 >= 4:
+        h, pos = _turn(h ^ four[at + pos].astype(np.uint64) * P1, 23) * P2 + P3, pos + 4
+    for pos in range(pos, n):
+        h = _turn(h ^ data[at + pos].astype(np.uint64) * P5, 11) * P1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of ``data[start:end]`` for many pieces. Pieces of one length are hashed together by array operations; those
+    longer than ``TOGETHER`` one by one."""
     import xxhash
 
+    out, n = np.empty(len(starts), np.uint64), ends - starts
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    order = np.argsort(n, kind="stable")
+    for group in np.split(order, np.nonzero(np.diff(n[order]))[0] + 1):
+        size = int(n[group[0]]) if len(group) else 0
+        if size <= TOGETHER:
+            out[group] = _hash_equal(padded, starts[group], size, seed)
+        else:
+            out[group] = [xxhash.xxh64_intdigest(data[s:e], seed) for s, e in zip(starts[group].tolist(), ends[group].tolist(), strict=True)]
+    return out
+
+
+def _shingles(text: bytes | None, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text joined by spaces, and where its shingles start and end."""
     ws = text.translate(LOWER).split() if text else []
-    n = len(ws) - shingle + 1
-    if not ws:
-        return 0
-    hash_ = xxhash.xxh64_intdigest
-    joined = b" ".join(ws)
-    if n <= 1:
-        return int(np.uint64(hash_(joined, seed)).astype(np.int64))
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = [0, *(ends[: n - 1] + 1).tolist()]
-    view = memoryview(joined)
-    hashes = np.array([hash_(view[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        block = hashes[at : at + (1 << 14)]
-        counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    if len(ws) <= size:
+        return b" ".join(ws), np.zeros(min(len(ws), 1), np.int64), ends[-1:]
+    return b" ".join(ws), np.concatenate([[0], ends[: len(ws) - size] + 1]), ends[size - 1 :]
+
+
+def _ones(hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set in the runs of hashes that begin at ``starts``, none of them empty. Bits are added
+    as bytes, eight at once, over up to 255 hashes, and those sums as numbers."""
+    bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    parts = -(-np.diff(np.append(starts, len(hashed))) // 255)
+    first = np.cumsum(parts) - parts
+    within = np.arange(parts.sum()) - np.repeat(first, parts)
+    sums = np.add.reduceat(bits, np.repeat(starts, parts) + 255 * within, axis=0).view(np.uint8)
+    return np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+
+
+def many_fingerprints(texts: Iterable[bytes | None], shingle: int = 3, seed: int = 42) -> Iterator[int]:
+    """The fingerprint of each text as a signed 64-bit integer: the majority of the bits of the shingles' XXH64, repeats
+    included; 0 without words. Texts are hashed together up to ``PIECES`` shingles, longer ones in parts."""
+
+    def flush(found: list[tuple[bytes, np.ndarray, np.ndarray]]) -> Iterator[int]:
+        shift = np.cumsum([0, *(len(d) for d, _, _ in found)])
+        sizes = np.array([len(s) for _, s, _ in found], np.int64)
+        starts = np.concatenate([s + at for (_, s, _), at in zip(found, shift, strict=False)])
+        ends = np.concatenate([e + at for (_, _, e), at in zip(found, shift, strict=False)])
+        data, at = b"".join(d for d, _, _ in found), np.cumsum(sizes) - sizes
+        ones = np.zeros((len(found), 64), np.int64)
+        for i in range(0, len(starts), PIECES):
+            own = np.nonzero((sizes > 0) & (at < i + PIECES) & (at + sizes > i))[0]
+            ones[own] += _ones(hashes(data, starts[i : i + PIECES], ends[i : i + PIECES], seed), np.maximum(at[own] - i, 0))
+        yield from np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+    held, pieces = [], 0
+    for text in texts:
+        held.append(_shingles(text, shingle))
+        pieces += len(held[-1][1])
+        if pieces >= PIECES or len(held) >= 4096:
+            yield from flush(held)
+            held, pieces = [], 0
+    if held:
+        yield from flush(held)
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    return next(many_fingerprints([text], shingle, seed))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -64,7 +151,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.fromiter(map(fingerprint, b["text"]), np.int64, len(b))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.fromiter(many_fingerprints(b["text"]), np.int64, len(b))})
 
     kind = dict(docs.dtypes)["doc_id"]
     ids = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -151,6 +151,27 @@ def test_near_duplicates_by_brute_force(spark, sf, docs):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == [(i, f"{fps[i]:016x}", find(i)) for i in ids]
 
 
+def test_hashes_of_many_pieces(monkeypatch):
+    import xxhash
+
+    rng = np.random.default_rng(7)
+    data = rng.bytes(5000)
+    starts = rng.integers(0, 3000, 3000)
+    ends = starts + np.concatenate([np.arange(300).repeat(9), rng.integers(0, 1900, 300)])
+    assert simhash.hashes(data, starts, ends).tolist() == [xxhash.xxh64_intdigest(data[s:e], 42) for s, e in zip(starts, ends)]
+    words = ["alpha", "be", "c", "Dé", "e" * 1100]
+    texts = [None, b"", b" \n", *[" ".join(rng.choice(words, rng.integers(0, 60))).encode() for _ in range(200)], " ".join(rng.choice(words, 3000)).encode(), b""]
+    whole = list(simhash.many_fingerprints(texts))
+    for pieces in (1, 7, 64):
+        monkeypatch.setattr(simhash, "PIECES", pieces)
+        assert list(simhash.many_fingerprints(texts)) == whole
+    assert whole == [simhash.fingerprint(t) for t in texts] and whole[:3] == [0, 0, 0]
+    for t, got in zip(texts, whole):
+        ws = (t or b"").translate(simhash.LOWER).split()
+        hs = [xxhash.xxh64_intdigest(b" ".join(ws[i : i + 3]), 42) for i in range(max(1, len(ws) - 2))] if ws else []
+        assert got & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
 def test_a_dense_region_is_linked_exactly(monkeypatch):
     monkeypatch.setattr(simhash, "DENSE", 64)
     monkeypatch.setattr(simhash, "AT_ONCE", 5000)
@@ -272,3 +293,18 @@ def test_conversations_by_hand(spark, sf, duck):
         said = "".join(text for _, role, text in turns if role == "assistant")
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in turns).encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_held_out_accuracy(spark):
+    """On rows that no model has learned from, at the next larger tables."""
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    right = lambda pairs: np.mean([a == b for a, b in pairs])
+    rows = [r for r in queries.op2_additive_quality(spark, d).collect() if r.held_out and r.doc_id in labels]
+    assert len(rows) > 50 and right([(r.predicted, labels[r.doc_id].quality) for r in rows]) > 0.95
+    rows = [r for r in queries.op10_ftrl_toxicity(spark, d).collect() if r.held_out and r.doc_id in labels]
+    assert right([(r.predicted, labels[r.doc_id].toxic) for r in rows]) > 0.9
+    assert not [r for r in rows if r.predicted and not labels[r.doc_id].toxic]
+    rows = [r for r in queries.op3_output_code_langid(spark, d).collect() if r.held_out and r.lang_pred != "und" and langs[r.doc_id]]
+    assert len(rows) > 200 and right([(r.lang_pred, langs[r.doc_id]) for r in rows]) > 0.97
