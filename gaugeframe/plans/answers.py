@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import answers as A
+from gaugeframe.functions import documents as O
 from gaugeframe.functions import pytext as P
 from gaugeframe.functions import text as T
 from gaugeframe.operators import reports
@@ -197,10 +198,22 @@ def point_scores(spark, d):
     return rounded(rows.groupBy("l_linenumber", "box").agg(F.count("*").alias("n"), F.avg("close").alias("close"), F.avg("keypoints").alias("keypoints"), F.avg("track").alias("track")))
 
 
+_FORMULAS = ["so \\[ \\mathbf{X} = \\frac{a}{b} \\tag{1} \\]", "\\begin{array}A \\quad b\\end{array}.", "x_1 + Y"]
+
+
+def document_normalisation(spark, d):
+    """formulas, words alone, and full-width characters."""
+    formula = F.concat(_case("p_partkey", _FORMULAS), F.when(F.col("p_partkey") % 3 == 2, F.col("p_brand")).otherwise(""))
+    wide = F.translate(F.col("p_name"), "abcdefghijklmnopqrstuvwxyz ", "".join(chr(ord(x) + 0xFEE0) for x in "abcdefghijklmnopqrstuvwxyz") + "\u3000")
+    said = F.concat(F.col("p_name"), F.lit("\t, "), F.col("p_brand"), F.lit(" é/n\\t图."))
+    return read(spark, d, "part").select("p_partkey", O.plain_formula(formula).alias("formula"), O.bare(said).alias("bare"), O.half_width(wide).alias("narrow"))
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _W1 = "string_split(p_name, ' ')[1]"
 SQL = {
+    "document_normalisation": """SELECT p_partkey, ['{x}=\\frac{a}{b}', 'ab', 'x_1+y' || lower(p_brand)][p_partkey % 3 + 1] formula, regexp_replace(p_name || p_brand, '[^a-zA-Z0-9_]', '', 'g') || 'é图' bare, p_name narrow FROM part""",
     "point_scores": """WITH r AS (SELECT l_linenumber l, CAST(l_linenumber AS DOUBLE) / 8 n, l_quantity / 50 q FROM lineitem), i AS (SELECT *, greatest(least(n, q) + 0.5 - greatest(n, q), 0) a, greatest(least(n, q) + 0.25 - greatest(n, q), 0) b FROM r),
         x AS (SELECT l, CASE WHEN l < 6 AND n BETWEEN 0 AND 1 AND q BETWEEN 0 AND 1 THEN greatest(0, 1 - sqrt(pow(n - 0.5, 2) + pow(q - 0.5, 2))) ELSE 0 END c,
           CASE WHEN l < 6 AND n BETWEEN 0 AND 0.3 AND q BETWEEN 0 AND 0.3 THEN 0 WHEN l < 6 AND n BETWEEN 0.2 AND 0.2::DOUBLE + 0.4::DOUBLE AND q BETWEEN 0.1 AND 0.1::DOUBLE + 0.4::DOUBLE THEN 1 END b, exp(-10 * abs(n - q) / sqrt(2)) k,

@@ -287,3 +287,12 @@ def test_run_hashes(spark):
         got = spark.range(1).select(hashing.run_hashes(F.array(*map(F.lit, words[:n])) if n else F.array().cast("array<string>"), size).alias("h")).first().h
         runs = [tuple(words[i : i + size]) for i in range(n - size + 1)]
         assert len(got) == len(runs) and len({*zip(got, runs)}) == len(set(got)) == len(set(runs))
+
+
+def test_documents(spark):
+    from gaugeframe.functions import documents as O
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(O.squeezed(F.lit("a______b" + "-" * 12 + "     " + "z" * 12))) == "a____b----    " + "z" * 12
+    assert one(O.unfenced(F.lit("```markdown\n# T\n```\n"))) == "# T\n" and one(O.half_width(F.lit("Ａ１！　ｚ"))) == "A1! z"
+    assert one(O.plain_formula(F.lit(r"\[ \mathrm{A} \hspace{1em} + B. \] x"))) == "{a}+b" and one(O.bare(F.lit("a-b\tc/td é"))) == "abcdé"
