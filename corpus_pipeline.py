@@ -87,7 +87,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     is one document in several versions: it stays in one group, and each other group keeps its row with the next id,
     or one without an id. So a text goes without a copy that stays only if all its copies have the id of that document.
     """
-    found = simhash.near_duplicates(docs)
+    found = cut(simhash.near_duplicates(docs))  # so that rows of a hot fingerprint are joined in parts, and counted where they are
     keys = cut(found.groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n")))
     kept = survivors(keys).select(F.col("doc_id").alias("_stage_id"), F.col("fp").alias("_stage_fp"))
     same = F.col("doc_id").eqNullSafe(F.col("_stage_id")) & (F.col("fp") == F.col("_stage_fp"))
@@ -114,7 +114,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def _fingerprint():
     @F.pandas_udf("long")
     def run(text: pd.Series) -> pd.Series:
-        return text.map(simhash.fingerprint)
+        return pd.Series(list(simhash.many_fingerprints(text)), dtype="int64")
 
     return run
 
