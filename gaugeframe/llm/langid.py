@@ -117,7 +117,7 @@ def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 60
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, (2.0 * most + 64.0) / n)) for k, n in sorted(counts.items())], "lang string, share double")
     ids = rows.select("lang", "_h").join(F.broadcast(shares) if len(counts) <= MOST_BROADCAST else shares, "lang").where(hash_below(F.col("_h"), F.col("share"))).select("lang", "_h").distinct()
     near = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("r") <= most)
-    near = cut(near.select(F.col("_h").alias("_key")))
+    near = near.select(F.col("_h").alias("_key"))
     chosen = rows.select("lang", "text", "_h").join(F.broadcast(near), F.col("_h") == F.col("_key"), "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
