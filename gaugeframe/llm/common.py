@@ -58,8 +58,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
 
 def bounded(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """At most ``rows`` rows, the first by a hash of ``by``: the same ones on every run. Hashes are uniform, so a task
-    passes on its share of a little more than that and no more."""
-    h = F.xxhash64(*by)
+    passes on its share of a little more than that and no more. ``df`` is written first, as it is counted and read."""
+    df, h = cut(df), F.xxhash64(*by)
     return df.where(hash_below(h, min(1.0, (1.5 * rows + 64) / max(df.count(), 1)))).orderBy(h, *by).limit(rows)
 
 
