@@ -296,15 +296,16 @@ def test_conversations_by_hand(spark, sf, duck):
 
 
 def test_held_out_accuracy(spark):
-    """On rows that no model has learned from, at the next larger tables."""
-    d = "/root/testdata/sf0.01"
+    """On rows that no model has learned from, of the tables for which the README gives figures: 825 labelled and 3358
+    named ones. Quality 99.5 % right, toxicity 98.3 % without a false alarm, language 99.9 %."""
+    d = "/root/testdata/sf0.1"
     labels = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
     right = lambda pairs: np.mean([a == b for a, b in pairs])
     rows = [r for r in queries.op2_additive_quality(spark, d).collect() if r.held_out and r.doc_id in labels]
-    assert len(rows) > 50 and right([(r.predicted, labels[r.doc_id].quality) for r in rows]) > 0.95
+    assert len(rows) == 825 and right([(r.predicted, labels[r.doc_id].quality) for r in rows]) > 0.99
     rows = [r for r in queries.op10_ftrl_toxicity(spark, d).collect() if r.held_out and r.doc_id in labels]
-    assert right([(r.predicted, labels[r.doc_id].toxic) for r in rows]) > 0.9
+    assert right([(r.predicted, labels[r.doc_id].toxic) for r in rows]) > 0.98
     assert not [r for r in rows if r.predicted and not labels[r.doc_id].toxic]
     rows = [r for r in queries.op3_output_code_langid(spark, d).collect() if r.held_out and r.lang_pred != "und" and langs[r.doc_id]]
-    assert len(rows) > 200 and right([(r.lang_pred, langs[r.doc_id]) for r in rows]) > 0.97
+    assert len(rows) == 3358 and right([(r.lang_pred, langs[r.doc_id]) for r in rows]) > 0.998
