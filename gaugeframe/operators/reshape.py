@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.sampling import ranged, sliced_rank
+from gaugeframe.operators.sampling import joined, ranged, sliced_rank
 from gaugeframe.operators.tables import cut
 
 
@@ -28,18 +28,24 @@ def circular_variants(df: DataFrame, options: list[str], answer: str, index: str
 
 
 def merge_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals of each group joined (gaps and islands). Rows are looked at in ranges of
-    their start; how far the ranges before reach, and how many islands they open, is added from a row a range."""
-    rows = ranged(df.select(*by, start, end), *by, start, end)
+    """Overlapping or touching intervals of each group joined (gaps and islands).
+
+    Rows are joined in ranges of their start first, so no task has a whole large group. What is left is written, and an
+    island that the ranges before it reach goes on from theirs; the rows themselves are looked at once.
+    """
+    rows = df.select(*by, start, end).repartitionByRange(*by, start, end).withColumn("_piece", F.spark_partition_id())
     inner = Window.partitionBy(*by, "_piece").orderBy(start, end)
-    outer = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    reach = rows.groupBy(*by, "_piece").agg(F.max(end).alias("_far")).select(*by, "_piece", F.max("_far").over(outer).alias("_reach"))
-    seen = F.greatest("_reach", F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-    flagged = rows.join(reach, [*by, "_piece"]).withColumn("_new", F.coalesce(F.col(start) > seen, F.lit(True)).cast("int"))
-    opened = flagged.groupBy(*by, "_piece").agg(F.sum("_new").alias("_o")).select(*by, "_piece", F.coalesce(F.sum("_o").over(outer), F.lit(0)).alias("_start"))
-    island = flagged.withColumn("_in", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(opened, [*by, "_piece"])
-    island = island.withColumn("_i", F.col("_in") + F.col("_start"))
-    return island.groupBy(*by, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("_i")
+    opens = F.coalesce(F.col(start) > F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    local = rows.withColumn("_new", opens.cast("int")).withColumn("_in", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut(local.groupBy(*by, "_piece", "_in").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")))
+
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    reach = parts.groupBy(*by, "_piece").agg(F.max(end).alias("_far")).select(*by, "_piece", F.max("_far").over(before).alias("_reach"))
+    flagged = joined(parts, reach, [*by, "_piece"]).withColumn("_new", F.coalesce(F.col(start) > F.col("_reach"), F.lit(True)).cast("int"))
+    opened = flagged.groupBy(*by, "_piece").agg(F.sum("_new").alias("_o")).select(*by, "_piece", F.coalesce(F.sum("_o").over(before), F.lit(0)).alias("_start"))
+    place = F.sum("_new").over(Window.partitionBy(*by, "_piece").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0))
+    island = joined(flagged.withColumn("_at", place), opened, [*by, "_piece"]).withColumn("_i", F.col("_at") + F.col("_start"))
+    return island.groupBy(*by, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("merged").alias("merged")).drop("_i")
 
 
 def latest(df: DataFrame, key: list[str], order: Column) -> DataFrame:

@@ -22,16 +22,22 @@ def hash_top_k(df: DataFrame, key: str, k: int, seed: object, by: list[str] | No
     return top(thinned, by).drop("_h", "_r")
 
 
+def joined(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``key`` in which nulls are equal."""
+    names = {k: f"_of_{i}" for i, k in enumerate(key)}
+    on = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
 def sliced_rank(df: DataFrame, by: list[str], piece: str, order: list, into: str) -> DataFrame:
     """The rank from 0 of each row within its group ``by``, without a task for a whole group. ``piece`` must not decrease
     along the order: rows are numbered within (group, piece), and the rows of the pieces before are added from a table
     with a row a piece. Nulls in ``by`` are a group."""
     counts = df.groupBy(*by, piece).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*by, piece])], before.alias("_before"))
+    starts = counts.select(*by, piece, before.alias("_before"))
     inner = df.withColumn("_in", F.row_number().over(Window.partitionBy(*by, piece).orderBy(*order)) - 1)
-    on = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate([*by, piece])])
-    return inner.join(starts, on).withColumn(into, (F.col("_in") + F.col("_before")).cast("int")).drop("_in", "_before", *starts.columns)
+    return joined(inner, starts, [*by, piece]).withColumn(into, (F.col("_in") + F.col("_before")).cast("int")).drop("_in", "_before")
 
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:
@@ -62,9 +68,9 @@ def average_rank(df: DataFrame, value: str, into: str, by: list[str] | None = No
     earlier = F.coalesce(F.sum("_all").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*by, "_piece", earlier.alias("_start"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("_before", before).join(starts, [*by, "_piece"])
+    ranks = joined(counts.withColumn("_before", before), starts, [*by, "_piece"])
     ranks = ranks.select(*by, value, (F.col("_start") + F.col("_before") + (F.col("_n") - 1) / 2).alias(into))
-    return df.join(ranks, [*by, value], "left")
+    return joined(df, ranks, [*by, value], "left")
 
 
 def strided(ordinal: Column, world: int) -> Column:

@@ -147,6 +147,8 @@ def test_ranks_in_ranges(spark):
         hot = [v for g, v, _ in rows if g == "hot"]
         assert r["rank"] == sum(x < r.v for x in hot) + (hot.count(r.v) - 1) / 2
     spans = spark.createDataFrame([("k", s, s + rng.randrange(30)) for s in (rng.randrange(5000) for _ in range(300))], "k string, s int, e int")
+    bare = spans.union(spans.selectExpr("NULL", "s", "e"))
+    assert sorted((r.s, r.e, r.merged) for r in reshape.merge_intervals(bare, ["k"], "s", "e").where("k IS NULL").collect()) == sorted((r.s, r.e, r.merged) for r in reshape.merge_intervals(spans, ["k"], "s", "e").collect())
     merged, flat = [], sorted((r.s, r.e) for r in spans.collect())
     for s, e in flat:
         if merged and s <= merged[-1][1]:
@@ -296,3 +298,41 @@ def test_documents(spark):
     assert one(O.squeezed(F.lit("a______b" + "-" * 12 + "     " + "z" * 12))) == "a____b----    " + "z" * 12
     assert one(O.unfenced(F.lit("```markdown\n# T\n```\n"))) == "# T\n" and one(O.half_width(F.lit("Ａ１！　ｚ"))) == "A1! z"
     assert one(O.plain_formula(F.lit(r"\[ \mathrm{A} \hspace{1em} + B. \] x"))) == "{a}+b" and one(O.bare(F.lit("a-b\tc/td é"))) == "abcdé"
+
+
+def test_edits_with_transpositions_against_another_engine():
+    import duckdb
+
+    rng = random.Random(8)
+    pairs = [("".join(rng.choices("abc", k=rng.randrange(9))), "".join(rng.choices("abc", k=rng.randrange(9)))) for _ in range(300)]
+    con = duckdb.connect()
+    for a, b in pairs:
+        assert pytext.damerau(a, b) == con.execute("SELECT damerau_levenshtein(?, ?)", [a, b]).fetchone()[0], (a, b)
+
+
+def test_sketches_are_linear_and_keep_products_in_the_mean(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=200), rng.normal(size=200) + 0.5
+    vec = lambda v: F.array(*map(F.lit, v.tolist()))
+    got = spark.range(1).select(*[vectors.count_sketch(vec(v), 32, 3).alias(n) for n, v in (("x", x), ("y", y), ("z", x + 2 * y))]).first()
+    assert np.allclose(np.array(got.z), np.array(got.x) + 2 * np.array(got.y))
+    seeds = spark.range(60).select("id").collect()
+    dots = [np.dot(*[np.array(v) for v in spark.range(1).select(vectors.count_sketch(vec(x + 1), 32, 2 * s.id).alias("a"), vectors.count_sketch(vec(y + 1), 32, 2 * s.id).alias("b")).first()]) for s in seeds[:12]]
+    true = float((x + 1) @ (y + 1))
+    assert abs(np.mean(dots) - true) < 4 * np.linalg.norm(x + 1) * np.linalg.norm(y + 1) / np.sqrt(32 * len(dots))
+
+
+def test_streams_keep_their_weights(spark):
+    drawn = scores.weighted_draws(spark.range(20_000).select(F.col("id").alias("n")), "g", {"a": 1.0, "b": 3.0}, "n")
+    n = {r.g: r["count"] for r in drawn.groupBy("g").count().collect()}
+    assert abs(n["b"] / 20_000 - 0.75) < 0.02 and sum(n.values()) == 20_000
+
+
+def test_resampling_agrees_with_theory(spark):
+    rng = random.Random(2)
+    values = [rng.random() for _ in range(400)]
+    table = spark.createDataFrame([(i, v, v - 0.02 * (i % 2)) for i, v in enumerate(values)], "id int, s double, t double")
+    low, high = scores.bootstrap_ci(table, "s", draws=400, key="id").first()
+    spread = 1.96 * np.std(values) / 20
+    assert abs(low - (np.mean(values) - spread)) < 0.01 and abs(high - (np.mean(values) + spread)) < 0.01
+    assert scores.permutation_p(table, "s", "s", draws=50).first().p == 1.0 and scores.permutation_p(table, "s", "t", draws=50).first().p == 0.0
