@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, gam, langid, mixing, oracles, simhash, toxicity, urlrules, warc
-from .common import cut, fold, table
+from . import align, bpe, chat, decontaminate, divergence, gam, langid, mixing, oracles, runs, simhash, toxicity, urlrules, warc
+from .common import WORD, cut, fold, table, words
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,46 @@ def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def planted(doc_id: Column, text: Column) -> Column:
+    """The text with the periodic tail that the contract of op11 gives to every tenth document by its hash: from word a
+    on, the words from a repeat with period p. Null ids and texts without words stay as they are."""
+    ws, h = words(text), F.crc32(doc_id.cast("string"))
+    n, g = F.size(ws), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(ws, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & text.rlike(WORD), F.array_join(F.concat(F.slice(ws, F.lit(1), a), tail), " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.periodic_runs(docs).select("doc_id", "periodic.*")
+    # Of runs with the same exact exponent the first: fractions are compared by cross products.
+    least = F.aggregate("runs", F.element_at("runs", 1), lambda x, r: F.when(r.length * x.period > x.length * r.period, r).otherwise(x))
+    top = F.when(F.size("runs") > 0, least)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    found = found.withColumn("top", top)
+    milli = F.floor(1000 * F.col("top.length") / F.col("top.period"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", milli.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_owner_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    width = len(align.piece_vocabulary(path_b).pieces)
+    found = align.align(table(spark, sf_dir, "documents"), path_a, path_b)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    named = found.select("doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), "n_groups", "n_links", digest.alias("groups_sha256"), "chunk", "places", "pairs", "totals")
+    stored = cut(named)
+    return align.link_scores(stored, align.pair_counts(stored, width), ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
