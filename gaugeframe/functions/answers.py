@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gaugeframe.functions import finals
 from gaugeframe.functions import numeric as N
 from gaugeframe.functions import pytext as P
 from gaugeframe.functions import text as T
@@ -50,7 +51,7 @@ def chosen_letter(response: Column, options: dict[str, Column]) -> Column:
 
 def infer_kind(answer: Column, kind: Column, options: dict[str, Column]) -> Column:
     """the order of a sorting question, else the option letter; failing that the option whose text is there."""
-    order = P.column(P.option_sequence, "string", F.when(kind == "sort", answer))
+    order = finals.option_order(answer)
     return F.coalesce(F.when(kind == "sort", order).otherwise(T.infer_option(answer, list(options))), T.infer_text(answer, options))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import answers as A
 from gaugeframe.functions import documents as O
+from gaugeframe.functions import finals
 from gaugeframe.functions import pytext as P
 from gaugeframe.functions import text as T
 from gaugeframe.operators import reports
@@ -96,24 +98,44 @@ def answer_match_methods(spark, d):
     ))
 
 
-_ORDERS = ["BDAC it is", "first C, second A, third B, fourth D", "AABC", "B"]
+#: Templates of answers; $1 to $4 are letters dealt by the row, so every order of A to D, and some that aren't one, occur.
+_ORDERS = ["so $1$2$3$4 it is", "first $1, second $2, third $3, fourth $4", "Step 1 is $1. Step 2: $2; step 3 $3\nstep 4 $4", "I would say $1", "1st comes $2 and 2nd $1; 3rd $3", "step 1 $1 step 2 $2 step 3 $3 step 4 $4 step 5 $1"]
+
+
+def _dealt(at: Column, template: Column) -> Column:
+    """``template`` with $1 to $4 replaced by letters of A to D, by digits of the row's number to the base 4."""
+    for i in range(4):
+        template = F.replace(template, F.lit(f"${i + 1}"), F.substring(F.lit("ABCD"), (F.floor(at / 4**i) % 4 + 1).cast("int"), F.lit(1)))
+    return template
 
 
 def order_answers(spark, d):
     """the order of a sorting question, the letter of another."""
-    kind = F.when(F.floor(F.col("p_partkey") / 4) % 2 == 0, "sort").otherwise("pick")
-    said = _case("p_partkey", _ORDERS)
+    key = F.col("p_partkey")
+    kind = F.when(key % 2 == 0, "sort").otherwise("pick")
+    said = _dealt(F.floor(key / len(_ORDERS)), _case("p_partkey", _ORDERS))
     options = {"A": F.col("p_brand"), "B": F.col("p_type"), "C": F.lit("zzz yyy"), "D": F.lit("none of them")}
-    return read(spark, d, "part").select("p_partkey", P.column(P.option_sequence, "string", said).alias("order"), A.infer_kind(said, kind, options).alias("answer"))
+    rows = read(spark, d, "part").select("p_partkey", finals.option_order(said).alias("order"), F.when(key % 2 == 0, A.infer_kind(said, kind, options)).alias("sorted"))
+    return rows
+
 
+_SOLVED = [
+    "He makes $# today.", "It costs $# in all", "a total of # apples", "Work.\n#### #", "FINAL ANSWER: $#", "so \\boxed\\{#\\}, then 7 more", "the answer is #/8 of it", "$#/4", "so 2 + 2 = 5\n\nmakes $#",
+    "no numbers", "#\ntwelve\n", "x = #\n\nand # dollars", "Thus it is #.\nThe result is: #", "$ #", "# cents", "5/0", "答案: #", "hence -#, and more", "#\n\nno more\nlines\nof any\nkind\nhere",
+]
 
-_SOLVED = ["Work.\n#### 1,250", "FINAL ANSWER: $", "the answer is 3/4 of it", "so 2 + 2 = 5\n\nmakes $", "no numbers", "12 apples\n"]
+
+def _amount() -> Column:
+    """An amount of the row as it is written: with commas, decimals, or as it is."""
+    price = F.floor(F.col("p_retailprice") * F.col("p_size") * 10).cast("long")
+    return F.when(F.col("p_size") % 3 == 0, F.format_number(price, 0)).when(F.col("p_size") % 3 == 1, F.concat(price.cast("string"), F.lit(".5"))).otherwise(price.cast("string"))
 
 
 def numerical_answers(spark, d):
-    """F20; a number with a comma counts up to it, as the phrases are first tried with plain numbers."""
-    said = F.concat(_case("p_partkey", _SOLVED), F.when(F.col("p_partkey") % 6 != 2, F.when(F.col("p_partkey") % 6 != 4, F.when(F.col("p_partkey") % 6 == 0, "").otherwise(F.col("p_size").cast("string"))).otherwise("")).otherwise(""))
-    return rounded(read(spark, d, "part").select("p_partkey", P.column(P.numerical_answer, "double", said).alias("number")))
+    """F20 over answers that hold amounts of the parts, with and without commas."""
+    said = F.replace(_case("p_partkey", _SOLVED), F.lit("#"), F.lit("@"))
+    said = F.replace(F.replace(said, F.lit("@@@@"), F.lit("####")), F.lit("@"), _amount())
+    return rounded(read(spark, d, "part").select("p_partkey", finals.numerical_answer(said).alias("number")))
 
 
 _LISTS = ["['a', 'b c']", "[x, y z]", "plain", "[1, 2.5]", "['open]"]
@@ -212,6 +234,37 @@ def document_normalisation(spark, d):
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _W1 = "string_split(p_name, ' ')[1]"
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _order_sql() -> str:
+    """The same patterns, one after the other, over the same answers."""
+    template = " ".join(f"WHEN {i} THEN {_sql_text(t)}" for i, t in enumerate(_ORDERS))
+    said = f"CASE p_partkey % {len(_ORDERS)} {template} END"
+    for i in range(4):
+        said = f"replace({said}, '${i + 1}', substr('ABCD', CAST((p_partkey // {len(_ORDERS)} // {4**i}) % 4 + 1 AS INTEGER), 1))"
+    places = ", ".join(f"nullif(regexp_extract(up, '(?i){p}', 1), '')" for p in finals.PLACES)
+    return f"""WITH s AS (SELECT p_partkey, upper({said}) up FROM part),
+        f AS (SELECT p_partkey, string_split(regexp_extract(up, '{finals.WORD}', 1), '') w, list_filter([{places}], lambda x: x IS NOT NULL) p, regexp_extract_all(up, '(?i){finals.STEPS}', 1)[1:4] t FROM s),
+        o AS (SELECT p_partkey, CASE WHEN len(list_distinct(w)) = 4 THEN array_to_string(w, '') WHEN len(list_distinct(p)) = 4 THEN array_to_string(p, '') WHEN len(list_distinct(t)) = 4 THEN array_to_string(t, '') END "order" FROM f)
+        SELECT p_partkey, "order", CASE WHEN p_partkey % 2 = 0 THEN "order" END sorted FROM o"""
+
+
+def _number_sql() -> str:
+    """The same patterns over the same answers; amounts get their commas by a rule of their own."""
+    price = "CAST(floor(p_retailprice * p_size * 10) AS BIGINT)"
+    template = " ".join(f"WHEN {i} THEN {_sql_text(t.replace('####', '@@@@').replace('#', '{}').replace('@@@@', '####'))}" for i, t in enumerate(_SOLVED))
+    said = f"replace(CASE p_partkey % {len(_SOLVED)} {template} END, '{{}}', CASE p_size % 3 WHEN 0 THEN format('{{:,}}', {price}) WHEN 1 THEN {price} || '.5' ELSE {price} || '' END)"
+    value = "CASE WHEN regexp_matches(n, '^-?[0-9]+(\\.[0-9]+)?$') THEN CAST(n AS DOUBLE) WHEN regexp_matches(n, '^-?[0-9]+/[0-9]+$') THEN CAST(split_part(n, '/', 1) AS DOUBLE) / nullif(CAST(split_part(n, '/', 2) AS DOUBLE), 0) END"
+    ask = lambda step, text, patterns, where="", line="0": " UNION ALL ".join(f"SELECT p_partkey, {step} step, {line} line, {i} rule, replace(regexp_extract_all({text}, '(?i){p}', 1)[-1], ',', '') n FROM {where}" for i, p in enumerate(patterns))
+    return f"""WITH s AS (SELECT p_partkey, trim({said}, ' ' || chr(10)) t FROM part), l AS (SELECT p_partkey, list_reverse(string_split(t, chr(10))) x FROM s), n AS (SELECT p_partkey, i, trim(x[i]) x FROM l, range(1, 6) r(i) WHERE i <= len(x)),
+        p AS (SELECT p_partkey, regexp_split_to_array(t, '\\n\\s*\\n')[-1] x FROM s), few AS (SELECT * FROM n WHERE i <= 3),
+        found AS ({ask(1, "t", finals.FINAL, "s")} UNION ALL {ask(2, "x", finals.ALONE, "n", "i")} UNION ALL {ask(3, "x", finals.NEAR, "p")} UNION ALL {ask(4, "x", finals.BARE, "few", "i")}),
+        v AS (SELECT *, {value} v FROM found)
+        SELECT p_partkey, round(arg_min(v, (step, line, rule)) FILTER (v IS NOT NULL), 6) "number" FROM part LEFT JOIN v USING (p_partkey) GROUP BY 1"""
+
+
 SQL = {
     "document_normalisation": """SELECT p_partkey, ['{x}=\\frac{a}{b}', 'ab', 'x_1+y' || lower(p_brand)][p_partkey % 3 + 1] formula, regexp_replace(p_name || p_brand, '[^a-zA-Z0-9_]', '', 'g') || 'é图' bare, p_name narrow FROM part""",
     "point_scores": """WITH r AS (SELECT l_linenumber l, CAST(l_linenumber AS DOUBLE) / 8 n, l_quantity / 50 q FROM lineitem), i AS (SELECT *, greatest(least(n, q) + 0.5 - greatest(n, q), 0) a, greatest(least(n, q) + 0.25 - greatest(n, q), 0) b FROM r),
@@ -246,8 +299,8 @@ SQL = {
         g AS (SELECT p_partkey, 1 - min(d) d, max(CAST(x AS DOUBLE)) x, avg(CAST(x AS DOUBLE)) y, max(CAST(lower(a) = lower(p) AS DOUBLE)) e, avg(CAST(lower(a) = lower(p) AS DOUBLE)) f FROM m GROUP BY 1),
         v AS (SELECT p_partkey, sum(least(1, (n - h) / 3)) / 3 v FROM (SELECT p_partkey, CAST(lower(a) = lower(p) AS INTEGER) h, sum(CAST(lower(a) = lower(p) AS INTEGER)) OVER (PARTITION BY p_partkey) n FROM a) GROUP BY 1)
         SELECT p_partkey, round(CASE WHEN d < 0.5 THEN 0 ELSE d END, 6) anls, x relaxed, round(y, 6) chart, e accuracy, round(f, 6) normalised, round(v, 6) vqa FROM g JOIN v USING (p_partkey)""",
-    "order_answers": """SELECT p_partkey, ['BDAC', 'CABD', NULL, NULL][p_partkey % 4 + 1] AS "order", CASE WHEN (p_partkey // 4) % 2 = 0 THEN ['BDAC', 'CABD', NULL, NULL][p_partkey % 4 + 1] ELSE [NULL, NULL, NULL, 'B'][p_partkey % 4 + 1] END answer FROM part""",
-    "numerical_answers": "SELECT p_partkey, CAST([1, p_size, 0.75, p_size, NULL, p_size][p_partkey % 6 + 1] AS DOUBLE) number FROM part",
+    "order_answers": _order_sql(),
+    "numerical_answers": _number_sql(),
     "list_answers": "SELECT p_partkey, ['a|b c', NULL, 'plain' || p_brand, '1|2.5', NULL][p_partkey % 5 + 1] strict, ['a|b c', 'x|y z', NULL, '1|2.5', NULL][p_partkey % 5 + 1] lenient FROM part",
     "json_answers": """SELECT p_partkey, ['{"x": "}"}|{"y": {"z": 1}}', '{"k": 2}', '', '', '{"t": 1}|{"u": 2}'][p_partkey % 5 + 1] objects, CASE WHEN p_partkey % 5 = 1 THEN '{"k": 2}' ELSE {s} END fenced, CASE WHEN p_partkey % 5 = 4 THEN '{"u": 2}' ELSE {s} END "after" FROM part""".replace("{s}", _sql_case("p_partkey", _TALK).replace("\n", "' || chr(10) || '")),
     "answer_helpers": """SELECT p_partkey, true "either", p_partkey % 3 <> 1 cjk, 'Options:' || chr(10) || 'A. ' || p_brand || CASE WHEN p_size > 25 THEN chr(10) || 'B. ' || p_type ELSE '' END prompt, true "contained", true spaceless,

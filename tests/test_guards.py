@@ -44,9 +44,28 @@ def test_contractions():
         assert pytext.plain_answer(said) == want
 
 
-def test_numerical_answers():
-    for said, want in {"x\n#### 18": 18, "Final answer: $1/4": 0.25, "The answer is 3.5.\nthe ANSWER IS 2": 2, "the answer is -2": 2, "Thus we get = 7": 7, "a\n$ 1,200": 1200, "so\n\n2 + 3 = 5 things\nand more": 5, "none": None, "5/0": 0, "it costs 3 and 4": 3}.items():
-        assert pytext.numerical_answer(said) == want, said
+def test_numerical_answers(spark):
+    from gaugeframe.functions import finals
+
+    said = {
+        "x\n#### 18": 18, "Final answer: $1/4": 0.25, "The answer is 3.5.\nthe ANSWER IS 2": 2, "the answer is -2": 2, "Thus we get = 7": 7, "a\n$ 1,200": 1200, "so\n\n2 + 3 = 5 things\nand more": 5, "none": None, "5/0": 0, "it costs 3 and 4": 3,
+        "He makes $1,250 today.": 1250, "It costs $3,400 in all": 3400, "a total of 2,500 apples": 2500, "so \\boxed\\{42\\}, then 7 more": 42, "a\n$3/4": 0.75, "": None, None: None, " \n\u3000 12 \n": 12, "12 dollars\n\n": 12, "1.5/2": 2,
+    }
+    rows = spark.createDataFrame([(k,) for k in said], "said string").withColumn("n", finals.numerical_answer(F.col("said"))).collect()
+    assert {r.said: r.n for r in rows} == said
+
+
+def test_orders(spark):
+    from gaugeframe.functions import finals
+
+    said = {"so BDAC it is": "BDAC", "first C, second A, third B, fourth D": "CABD", "AABC": None, "": None, None: None, "首先 B 其次 A 再次 D 最后 C": "BADC", "STEP 1: a. step 2 c, 步骤三 B 第四步 D": "ACBD", "案BDAC": None, "first A second A third B fourth C": None}
+    rows = spark.createDataFrame([(k,) for k in said], "said string").withColumn("o", finals.option_order(F.col("said"))).collect()
+    assert {r.said: r.o for r in rows} == said
+
+
+def test_damerau_in_rows():
+    assert [pytext.damerau(a, b) for a, b in (("ca", "abc"), ("", "ab"), ("abcd", "badc"), ("kitten", "sitting"), ("same", "same"), ("a cat", "an act"))] == [2, 2, 2, 3, 0, 2]
+    assert pytext.damerau("ab" * 500, "ba" * 500) == 2
 
 
 def test_digests_choices_and_merges(spark):
