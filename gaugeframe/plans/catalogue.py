@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, coverage, data, joins, reports, scores, text, transfer, vectors
+from . import answers, coverage, data, joins, keyed, reports, scores, text, transfer, vectors
 
 #: Modules of this package; each has QUERIES (name: function of session and folder) and SQL (name: DuckDB text).
-MODULES: list = [transfer, reports, data, vectors, text, scores, joins, answers, coverage]
+MODULES: list = [transfer, reports, data, vectors, text, scores, joins, answers, coverage, keyed]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
