@@ -63,29 +63,20 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def survivors(keys: DataFrame) -> DataFrame:
-    """(doc_id, fp) of the rows that stay, one for each root of ``keys``: (root, doc_id, fp)."""
+    """(doc_id, fp) of the rows that stay, one for each root of ``keys``: (root, doc_id, fp). The smallest id of the
+    root comes first, of its fingerprints the smallest; a row without an id comes last."""
     order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "fp")
-    other = (F.min("doc_id") != F.max("doc_id")) | F.bool_or(F.col("doc_id").isNull())
-    heads = cut(keys.groupBy("root").agg(F.min(order).alias("head"), F.coalesce(other, F.lit(False)).alias("other")).select("root", "head.doc_id", "head.fp", "other"))
-    # Of roots with the same head a root without another id comes first.
-    first = heads.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("root", F.struct("other", "root")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    if (first := cut(first.drop("n"))).isEmpty():
-        return heads.select("doc_id", "fp")
-    shared = heads.join(first.withColumnRenamed("doc_id", "_stage_id"), F.col("doc_id") == F.col("_stage_id"), "left")
-    lost = F.coalesce(F.col("root") != F.col("first"), F.lit(False))
-    again = keys.join(shared.where(lost).select("root", "_stage_id"), "root").where(~F.col("doc_id").eqNullSafe(F.col("_stage_id")))
-    again = again.groupBy("root").agg(F.min(order).alias("head")).select("head.doc_id", "head.fp")
-    return shared.where(~lost).select("doc_id", "fp").unionByName(again)
+    return keys.groupBy("root").agg(F.min(order).alias("head")).select("head.doc_id", "head.fp")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the document with the smallest doc_id.
 
     Groups are told apart by their root fingerprint and rows by doc_id and fingerprint, so an id that is dropped in
-    one group stays in another. Rows that share id and fingerprint are one document: the first by a hash of the row
-    stays. A group without any id keeps one row in the same way. Where several groups have the same smallest id, it
-    is one document in several versions: it stays in one group, and each other group keeps its row with the next id,
-    or one without an id. So a text goes without a copy that stays only if all its copies have the id of that document.
+    one group stays in another, and an id on unrelated texts stays with each of them: every group keeps a row. Rows
+    that share id and fingerprint are one document: the first by a hash of the row stays. A group without any id keeps
+    one row in the same way. Null and empty texts are one group, long texts are hashed whole, and an empty table stays
+    empty.
     """
     found = cut(simhash.near_duplicates(docs))  # so that rows of a hot fingerprint are joined in parts, and counted where they are
     keys = cut(found.groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n")))
