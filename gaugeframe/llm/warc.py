@@ -193,9 +193,9 @@ def salvage(data: bytes, depth: int = 0) -> Iterator[tuple[int, int, dict | None
     """(from, to, record, None) for each record, and (from, to, None, reason) for each gap, in the order of the file.
 
     What a gzip member holds, records and gaps, has the member's place. Of a member that can't be read to its end the
-    records before the error count; their place ends with the last of them, and the search goes on from there. Only a
-    record that has such a member to itself doesn't count, as the member's check is its own. Members inside members
-    are opened up to ``DEEPEST`` deep; what lies deeper is a gap.
+    records before the error count, also one that has the member to itself: each is whole and has passed its own
+    checks. Their place ends with the last of them, what follows is a gap, and the search goes on from there. Members
+    inside members are opened up to ``DEEPEST`` deep; what lies deeper is a gap.
     """
     at, gap, why = 0, None, ""
     version = _Next(lambda start: m.start() if (m := VERSION.search(data, start)) else len(data))
@@ -209,8 +209,6 @@ def salvage(data: bytes, depth: int = 0) -> Iterator[tuple[int, int, dict | None
             reason = error or next((x[3] for x in found if x[3]), "empty member")
             if error:
                 found = found[: max((i + 1 for i, x in enumerate(found) if x[2]), default=0)]
-                if sum(x[2] is not None for x in found) == 1 and not inner.startswith(b"WARC/", found[-1][1]):
-                    found = []  # a member of one record: what checks the member checks the record
                 stop = _used(data, at, found[-1][1]) if found else at
             got = [x[2:] for x in found] if any(x[2] for x in found) else []
         else:
