@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import folds
+from gaugeframe.operators import bloom, folds, quantiles, tables
+from gaugeframe.streaming import states
 
-from .facts import read
+from .facts import read, rounded
 
 
 def component_folds(spark, d):
@@ -24,6 +25,38 @@ def document_folds(spark, d):
     return folds.component_folds(locked, "lang", "doc_id", F.col("same"), 5, 7, locked="held").select("doc_id", "component", "fold")
 
 
+def streamed_status(spark, d):
+    """The last event of each user, from a stream of files that is brought up to date twice: half of the events
+    each time, so that the second run finds the state of the first."""
+    rows = read(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
+    folder, changed, checkpoint = (tables.place(spark) for _ in range(3))
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).write.mode("append").parquet(folder)
+        states.streamed(spark, folder, rows.schema, ["user_id"], ["at", "event_id"], "event_type", changed, checkpoint)
+    return states.current(spark, changed, ["user_id"], ["at", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+def bloom_remaining(spark, d):
+    """Orders without a line that was returned, by a filtered anti join."""
+    returned = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return bloom.filtered_anti(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), returned, ["o_orderkey"])
+
+
+def bloom_digest_semi(spark, d):
+    """Documents whose text is that of a labelled one, by digest; the filter is small, so many rows are confirmed."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
+    wanted = docs.join(read(spark, d, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("digest")
+    return bloom.filtered_semi(docs, wanted, ["digest"], bits=1 << 16)
+
+
+def exact_quantiles(spark, d):
+    """The quartile and the median of prices by flag and line, as of groups too large for one buffer."""
+    rows = read(spark, d, "lineitem")
+    low = quantiles.exact_quantile(rows, "l_extendedprice", 0.25, ["l_returnflag", "l_linestatus"], "quartile", small=100)
+    mid = quantiles.exact_quantile(rows, "l_discount", 0.5, ["l_returnflag", "l_linestatus"], "median", small=100)
+    return rounded(low.join(mid, ["l_returnflag", "l_linestatus"]))
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 
@@ -38,6 +71,10 @@ def _folds_sql(edges: str, rows: str, lock: str, seed: int, select: str) -> str:
 
 
 SQL = {
+    "bloom_remaining": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
+    "bloom_digest_semi": "SELECT doc_id, lang, sha256(text) digest FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 1)",
+    "exact_quantiles": "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 6) quartile, round(quantile_cont(l_discount, 0.5), 6) \"median\" FROM lineitem GROUP BY 1, 2",
+    "streamed_status": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "component_folds": _folds_sql(
         "SELECT 'source:' || o_custkey a, 'image:' || CAST(floor(o_totalprice) AS BIGINT) b FROM orders",
         "SELECT o_orderkey id, 'source:' || o_custkey source, o_orderpriority task FROM orders",

@@ -1,11 +1,15 @@
 """Folds of components, keyed state in streams, filtered semi joins and archives, on small tables."""
 
-import random
+import contextlib
+import time
 
+import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import folds
+from gaugeframe.operators import bloom, folds, quantiles
+from gaugeframe.streaming import states
 
 ROWS = [("a", "s1", ["x"]), ("b", "s2", ["x", "y"]), ("b", "s3", ["y"]), ("a", "s4", None), ("a", "s4", []), ("a", None, ["z"]), (None, "s5", ["q"]), ("c", "s6", ["q", None])]
 
@@ -40,3 +44,82 @@ def test_a_locked_component_takes_a_rank(spark):
     rows = [("t", f"s{i}", None) for i in range(40)]
     free, held = folded(spark, rows), folded(spark, rows, locked=[("s7", 4)])
     assert held["s7"][1] == 4 and all(held[s] == free[s] for s in free if s != "s7")
+
+
+RECEIPT = "job string, at long, status string, note string"
+
+
+def up_to_date(spark, where, rows):
+    spark.createDataFrame(rows, RECEIPT).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    states.streamed(spark, f"{where}/in", spark.createDataFrame([], RECEIPT).schema, ["job"], ["at"], "status", f"{where}/out", f"{where}/check")
+    return now(spark, where)
+
+
+def now(spark, where):
+    return {r.job: (r.at, r.status, r.note, r.stalled) for r in states.current(spark, f"{where}/out", ["job"], ["at"]).collect()}
+
+
+def test_state_goes_on_from_the_checkpoint(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    first = up_to_date(spark, tmp_path, [("a", 1, "running", "x"), ("a", 3, "done", None), ("b", 5, "running", "y"), (None, 2, "failed", "z"), ("c", None, "running", "w")])
+    assert first == {"a": (3, "done", None, False), "b": (5, "running", "y", False), None: (2, "failed", "z", False), "c": (None, "running", "w", False)}
+    second = up_to_date(spark, tmp_path, [("a", 2, "failed", "late"), ("b", 6, "failed", "oom"), ("d", 1, "running", "new"), ("c", None, "done", "tie")])
+    assert second == {**first, "b": (6, "failed", "oom", False), "d": (1, "running", "new", False)}
+    # The second run wrote the two keys that changed, not the table.
+    assert spark.read.parquet(f"{tmp_path}/out").groupBy("batch").count().orderBy("batch").collect()[-1]["count"] == 2
+    assert before == spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_runs_that_stall(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "running", "x"), ("c", 1, "done", "z")], RECEIPT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = states.session(spark).readStream.schema(RECEIPT).parquet(f"{tmp_path}/in")
+    stream = states.store_changes(states.latest_changes(rows, ["job"], ["at"], "status", stall=100), f"{tmp_path}/out", f"{tmp_path}/check", every="1 second")
+
+    def wait(job, want):
+        end = time.time() + 60
+        while time.time() < end:
+            with contextlib.suppress(AnalysisException):  # nothing is written yet
+                if now(spark, tmp_path).get(job) == want:
+                    return True
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert wait("a", (1, "running", None, True)) and now(spark, tmp_path)["c"] == (1, "done", "z", False)
+        spark.createDataFrame([("a", 4, "done", "late")], RECEIPT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert wait("a", (4, "done", "late", False))
+    finally:
+        stream.stop()
+
+
+@pytest.mark.parametrize("bits", [None, 64 * bloom.ROW])
+def test_filtered_joins(spark, bits):
+    left = spark.createDataFrame([(i % 700 if i % 50 else None, str(i % 3), i) for i in range(3000)], "a long, b string, _filter_ int")
+    right = spark.createDataFrame([(i, str(i % 2), 0) for i in range(0, 900, 3)] + [(None, "1", 0), (3, "1", 1)], "a int, b string, x int")
+    for key in (["a"], ["a", "b"]):
+        keys = right.select(*key).withColumn("a", F.col("a").cast("long"))
+        for found, how in ((bloom.filtered_semi(left, right, key, bits), "left_semi"), (bloom.filtered_anti(left, right, key, bits), "left_anti")):
+            assert found.columns == left.columns
+            assert sorted(map(str, found.collect())) == sorted(map(str, left.join(keys, key, how).select(left.columns).collect()))
+    assert bloom.filtered_anti(left, right.limit(0), ["a"]).count() == 3000 and bloom.filtered_semi(left, right.limit(0), ["a"]).count() == 0
+    assert bloom.filtered_anti(left.limit(0), right, ["a"]).count() == 0
+
+
+def test_few_rows_pass_a_filter_by_mistake(spark):
+    keys, others = spark.range(20_000).withColumnRenamed("id", "k"), spark.range(100_000, 200_000).withColumnRenamed("id", "k")
+    hit, miss, _ = bloom._parts(others.unionByName(keys), keys, ["k"], None)
+    assert hit.count() + miss.count() == 120_000 and keys.join(hit, "k", "left_anti").isEmpty() and hit.count() < 20_000 + 1000
+    plan = miss._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 1.0])
+def test_exact_quantiles(spark, q):
+    rng = np.random.default_rng(5)
+    groups = {"even": rng.random(5000), "ties": np.repeat([1.0, 2.0], 2500), "skew": rng.lognormal(0, 8, 5001), "one": np.array([7.0]), "same": np.full(3000, -1.5), None: -rng.random(999)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("even", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for small in (50, quantiles.SMALL):
+        got = {r.g: r.v for r in quantiles.exact_quantile(df, "x", q, ["g"], "v", small=small).collect()}
+        assert got.pop("none") is None and got == pytest.approx({k: np.quantile(v, q) for k, v in groups.items()}, rel=1e-12)
+    assert quantiles.exact_quantile(df.limit(0), "x", q, ["g"], "v").count() == 0
