@@ -30,7 +30,7 @@ from .common import cut
 # Fixed value: how the byte-level vocabulary splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text in a chunk, but for a longer text, which is one.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 
 
 class Vocabulary:
@@ -57,7 +57,7 @@ def byte_vocabulary(path: str) -> Vocabulary:
         raise ValueError(f"the ids of {path} aren't its merge ranks")
     ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and i < 256 + len(spec["model"]["merges"])}
     coder = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Vocabulary(sorted(ranks, key=ranks.__getitem__), coder.encode_ordinary)
+    return Vocabulary(sorted(ranks, key=ranks.__getitem__), lambda text: coder.encode_to_numpy(text, disallowed_special=()).astype(np.int32))
 
 
 @functools.lru_cache(maxsize=4)
@@ -92,9 +92,10 @@ class Aligner:
         doesn't spell the space and the text."""
         if text:
             a, b, whole = self.a.encode(" " + text), self.b.encode(text), b" " + text.encode()
-            if self.a.spell(a) == whole == self.b.spell(b):
-                return np.array(a, np.int64), np.array(b, np.int64)
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            # A's tokens are cut from the bytes themselves, so their lengths tell; B's may be normalised.
+            if self.a.sizes[a].sum() == len(whole) and self.b.spell(b) == whole:
+                return a, np.array(b, np.int32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def groups(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
@@ -142,12 +143,13 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: Seq
                 a, b = both.tokens(t)
                 if len(a):
                     at_a, at_b, a_ends, b_ends = owners(both.a.sizes[a], both.b.sizes[b])
-                    linked.append(a[at_a] * width + b[at_b])
+                    linked.append(a[at_a].astype(np.int64) * width + b[at_b])
                     out.append((a, b, both.groups(a, b, a_ends, b_ends), len(a_ends), len(at_a)))
                 else:
                     linked.append(a)
                     out.append((a, b, "", 0, 0))
-            pairs, place, totals = np.unique(np.concatenate(linked), return_inverse=True, return_counts=True)
+            place, pairs = pd.factorize(np.concatenate(linked).astype(np.int64))
+            totals = np.bincount(place, minlength=len(pairs))
             ends = np.cumsum([len(x) for x in linked])
             done = pd.DataFrame(out, columns=["a_ids", "b_ids", "groups", "n_groups", "n_links"])
             done["chunk"] = number
