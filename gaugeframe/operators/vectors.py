@@ -1,8 +1,8 @@
-"""Gradient vectors: norms, cosines, Gram matrices in blocks, stratified PCA on them, minibatch alignment."""
+"""Gradient vectors: norms, cosines, Gram matrices in blocks, minibatch alignment; directions are in ``spectrum``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import numeric as N
 from gaugeframe.functions.stats import ratio
+from gaugeframe.operators.quantiles import exact_quantile
+from gaugeframe.operators.sampling import joined
 
 
 def norm_summary(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     """Mean, median and root mean square of the row norms."""
     rows = df.withColumn("_n", N.norm(F.col(vector)))
-    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.avg("_n").alias("mean_norm"), F.median("_n").alias("median_norm"), F.sqrt(F.avg(F.col("_n") * F.col("_n"))).alias("rms_norm"))
+    means = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.avg("_n").alias("mean_norm"), F.sqrt(F.avg(F.col("_n") * F.col("_n"))).alias("rms_norm"))
+    return joined(means, exact_quantile(rows, "_n", 0.5, by, "median_norm"), by)
 
 
 def mean_vectors(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
@@ -112,105 +115,18 @@ def zero_rows(df: DataFrame, vector: str, least: float = 1e-24) -> DataFrame:
     return df.where(N.dot(F.col(vector), F.col(vector)) <= least)
 
 
-class DualBasis:
-    """V3: the leading directions of weighted unit rows, found in the space of examples.
-
-    Rows x_i of norm n_i, weight w_i: with s_i = sqrt(w_i) / n_i the matrix K = s_i s_j <x_i, x_j> has the eigenvalues
-    of the rows' second moment. A direction is given by ``mix``, its coefficients over the raw rows, so the Gram matrix
-    alone projects: coordinates of a vector y are <y, x_i> times ``mix``. Kept are the fewest directions with the energy
-    asked for, and all that tie with the last of them.
-    """
-
-    def __init__(self, dots: np.ndarray, weights: np.ndarray, energy: float, rcond: float = 1e-7, tie: float = 1e-6) -> None:
-        squares = np.diag(dots)
-        if not np.isfinite(dots).all() or not 0 < energy <= 1:
-            raise ValueError("dot products must be finite and the energy in (0, 1]")
-        if (squares <= 1e-24).any():
-            raise ValueError("a zero vector has no direction")
-        scale = np.sqrt(weights / squares)
-        spectrum, axes = np.linalg.eigh(dots * np.outer(scale, scale))
-        spectrum, axes = spectrum[::-1], axes[:, ::-1]
-        lost = -spectrum[spectrum < 0].sum()
-        whole = spectrum[spectrum > 0].sum()
-        if lost > 1e-10 * whole:
-            raise ValueError("not a Gram matrix: its spectrum is negative")
-        stable = spectrum[spectrum > rcond * spectrum[0]]
-        held = np.cumsum(stable)
-        if held[-1] < energy * whole:
-            raise ValueError("the spectrum can't hold the energy asked for")
-        edge = stable[np.argmax(held >= energy * whole)]
-        self.k = int((stable >= edge - max(tie * edge, 10 * np.finfo(float).eps * spectrum[0])).sum())
-        self.values, self.captured = stable[: self.k], float(stable[: self.k].sum() / whole)
-        self.mix = scale[:, None] * axes[:, : self.k] / np.sqrt(self.values)
-        cosines = self.directions(dots) @ self.directions(dots).T
-        #: The participation ratio of the projected directions: 1 over the mean squared cosine of two weighted draws.
-        self.d_eff = float(1 / (weights @ (cosines * cosines) @ weights))
-
-    def directions(self, dots: np.ndarray) -> np.ndarray:
-        """Unit coordinates of vectors given by their dot products with the rows."""
-        at = dots @ self.mix
-        size = np.linalg.norm(at, axis=1, keepdims=True)
-        if not (size > 1e-12).all():
-            raise ValueError("a projection without a direction")
-        return at / size
-
-
-def even_weights(strata: list) -> np.ndarray:
-    """Each stratum weighs alike, and so does each row in it."""
-    _, at, n = np.unique(np.array(strata, dtype=str), return_inverse=True, return_counts=True)
-    return 1 / (len(n) * n[at])
-
-
-def fit_pca(x: np.ndarray, strata: list, energy: float = 0.99) -> dict:
-    """V3 for rows at hand: k, values, captured, d_eff and the basis in the space of coordinates."""
-    fit = DualBasis(x @ x.T, even_weights(strata), energy)
-    return {"k": fit.k, "values": fit.values, "captured": fit.captured, "d_eff": fit.d_eff, "basis": x.T @ fit.mix}
-
-
-def by_fold(df: DataFrame, key: str, vector: str, fold: str, strata: list[str], folds: int, energy: float, out: Callable, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """``out`` of (held-out fold, Gram matrix, places of the training rows, fit, metadata) for every fold: the Gram matrix
-    is made once, in blocks; each fold's fit is a task of its own over the matrix of a bounded pool."""
-    rows = _pool(df, key, fold, *strata, *more)
-    keys, own = [r[key] for r in rows], np.array([r[fold] for r in rows])
-    names = ["|".join(str(r[s]) for s in strata) for r in rows]
-    for f in range(folds):
-        if {n for n, o in zip(names, own, strict=True) if o != f} != set(names):
-            raise ValueError(f"the training rows of fold {f} lack a stratum")
-    spread = gram_blocks(df, key, vector, keys).withColumn("held_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        f, dots = int(b["held_out"].iloc[0]), _assembled(b, len(keys))
-        train = np.nonzero(own != f)[0]
-        fit = DualBasis(dots[np.ix_(train, train)], even_weights([names[i] for i in train]), energy)
-        return out(f, dots, train, fit, rows)
-
-    return spread.groupBy("held_out").applyInPandas(run, schema)
-
-
-def pca_by_fold(df: DataFrame, vector: str, fold: str, strata: list[str], folds: int, energy: float = 0.99, key: str = "vec_id") -> DataFrame:
-    """V3: of each held-out fold, the fit over all other folds."""
-
-    def line(f: int, dots: np.ndarray, train: np.ndarray, fit: DualBasis, rows: list) -> pd.DataFrame:
-        return pd.DataFrame({"held_out": [f], "rows": [len(train)], "k": [fit.k], "captured": [fit.captured], "d_eff": [fit.d_eff], "first_value": [float(fit.values[0])]})
-
-    return by_fold(df, key, vector, fold, strata, folds, energy, line, "held_out int, rows long, k long, captured double, d_eff double, first_value double")
-
-
-def projected_pairs(df: DataFrame, vector: str, fold: str, strata: list[str], folds: int, pair: str, side: str, energy: float = 0.99, key: str = "vec_id") -> DataFrame:
-    """Of each pair in the fold that holds it out, the cosine in that fold's basis, the same times the root
-    of the effective dimension, and the raw cosine. Pairs with another number of sides than two are left out."""
+def narrowed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``df`` with each vector replaced by as many coordinates as the pool has rows, so that all dot products stay: for
+    vectors that are longer than a bounded pool has rows. The Gram matrix is made in blocks; one task turns it."""
+    keys = [r[0] for r in _pool(df, key)]
+    kind = dict(df.dtypes)[key]
 
-    def lines(f: int, dots: np.ndarray, train: np.ndarray, fit: DualBasis, rows: list) -> pd.DataFrame:
-        held: dict = {}
-        for i, r in enumerate(rows):
-            if r[fold] == f:
-                held.setdefault(r[pair], {})[r[side]] = i
-        both = {p: tuple(sides[k] for k in sorted(sides)) for p, sides in held.items() if len(sides) == 2}
-        unit = dict(zip(at := [i for ij in both.values() for i in ij], fit.directions(dots[np.ix_(at, train)]) if at else [], strict=True))
-        out = [(f, p, float(unit[i] @ unit[j]), float(unit[i] @ unit[j]) * fit.d_eff**0.5, float(dots[i, j] / np.sqrt(dots[i, i] * dots[j, j]))) for p, (i, j) in both.items()]
-        return pd.DataFrame(out, columns=["fold", "pair", "cosine", "normalised", "raw"])
+    def turn(b: pd.DataFrame) -> pd.DataFrame:
+        values, axes = np.linalg.eigh(_assembled(b, len(keys)))
+        return pd.DataFrame({"_key": keys, "_coordinates": list(axes * np.sqrt(np.maximum(values, 0)))})
 
-    return by_fold(df, key, vector, fold, strata, folds, energy, lines, "fold int, pair long, cosine double, normalised double, raw double", tuple({pair, side} - set(strata)))
+    turned = gram_blocks(df, key, vector, keys).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(turn, f"_key {kind}, _coordinates array<double>")
+    return df.drop(vector).join(turned, F.col(key) == F.col("_key")).drop("_key").withColumnRenamed("_coordinates", vector)
 
 
 def blocks_of(parameters: DataFrame, module: str = "module", name: str = "name") -> DataFrame:

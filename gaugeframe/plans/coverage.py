@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeframe.functions import denotation as D
 from gaugeframe.functions import numeric as N
 from gaugeframe.functions import pytext as P
-from gaugeframe.operators import batching, joins, reports, reshape, sampling, validation, vectors
+from gaugeframe.operators import batching, joins, reports, reshape, sampling, spectrum, validation, vectors
 from gaugeframe.operators import scores as S
 from gaugeframe.operators.tables import place
 from gaugeframe.sources import readers, writers
@@ -323,7 +323,7 @@ def artifact_round_trip(spark, d):
 def projected_cosines(spark, d):
     """Cosines of pairs in the basis of the other folds, by label."""
     rows = read(spark, d, "embeddings").withColumns({"pair": F.floor(c("vec_id") / 2), "fold": F.floor(c("vec_id") / 2) % 5, "objective": F.when(c("vec_id") % 2 == 0, "i2i").otherwise("i2t")})
-    return rounded(vectors.projected_pairs(rows, "embedding", "fold", ["objective"], 5, "pair", "objective"))
+    return rounded(spectrum.projected_pairs(rows, "embedding", "fold", ["objective"], 5, "pair", "objective"))
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import numeric as N
 from gaugeframe.functions.stats import guarded_corr
-from gaugeframe.operators import sampling, vectors
+from gaugeframe.operators import sampling, spectrum, vectors
 
 from .facts import read, rounded
 
@@ -54,7 +54,7 @@ def pearson_spearman(spark, d):
 
 
 def pca_energy_folds(spark, d):
-    return vectors.pca_by_fold(_rows(spark, d), "embedding", "fold", ["label", "objective"], 5)
+    return spectrum.pca_by_fold(_rows(spark, d), "embedding", "fold", ["label", "objective"], 5)
 
 
 def minibatch_alignment(spark, d):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import hashing, pytext
-from gaugeframe.operators import joins, reshape, sampling, scores, tables, transfer, vectors
+from gaugeframe.operators import joins, reshape, sampling, scores, spectrum, tables, transfer, vectors
 from gaugeframe.plans import vectors as vector_plans
 from gaugeframe.sources import readers, writers
 
@@ -120,7 +120,7 @@ def test_pca_by_fold_and_projection_by_brute_force(spark, sf):
         k, captured, d_eff, axes, first = fits[r.held_out] = brute_basis(x[train], np.array([f"{data[i].label}|{data[i].objective}" for i in train]), 0.99)
         assert (r.k, r.rows) == (k, len(train)) and (r.captured, r.d_eff, r.first_value) == pytest.approx((captured, d_eff, first))
     place = {d.vec_id: i for i, d in enumerate(data)}
-    pairs = vectors.projected_pairs(rows.withColumn("fold", F.floor(F.col("vec_id") / 2) % 5).withColumn("pair", F.floor(F.col("vec_id") / 2)), "embedding", "fold", ["label", "objective"], 5, "pair", "objective")
+    pairs = spectrum.projected_pairs(rows.withColumn("fold", F.floor(F.col("vec_id") / 2) % 5).withColumn("pair", F.floor(F.col("vec_id") / 2)), "embedding", "fold", ["label", "objective"], 5, "pair", "objective")
     got = pairs.collect()
     assert len(got) == len(data) // 2
     for f in range(5):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import hashing, numeric, pytext, stats, text
-from gaugeframe.operators import batching, judging, reports, reshape, sampling, scores, transfer, validation, vectors
+from gaugeframe.operators import batching, judging, reports, reshape, sampling, scores, spectrum, transfer, validation, vectors
 from gaugeframe.sources import readers, writers
 
 HITS = {42: ([0, 0, 0], [1, 0, 1]), 43: ([1, 1, 1], [1, 0, 1]), 44: ([0, 1, 0], [1, 1, 1])}
@@ -133,12 +133,12 @@ def test_sampling(spark):
 def test_pca_and_minibatches():
     rng = np.random.default_rng(2)
     x, strata = rng.normal(size=(40, 6)), [i % 4 for i in range(40)]
-    m = vectors.fit_pca(x, strata, 0.9)
+    m = spectrum.fit_pca(x, strata, 0.9)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     values, axes = np.linalg.eigh(unit.T @ unit / 40)
     top = axes[:, ::-1][:, : m["k"]]
     assert np.allclose(m["values"], values[::-1][: m["k"]]) and np.allclose(m["basis"] @ m["basis"].T, top @ top.T)
-    assert vectors.fit_pca(np.eye(4), [0, 0, 0, 0], 0.5)["k"] == 4  # ties are kept
+    assert spectrum.fit_pca(np.eye(4), [0, 0, 0, 0], 0.5)["k"] == 4  # ties are kept
     got = vectors.minibatch_directions(np.eye(2), np.array([5.0, 1.0]), np.array([[0, 0, 1, 1, 1]]), 5)
     assert np.allclose(got, np.array([[10, 3]]) / np.sqrt(109))
 
