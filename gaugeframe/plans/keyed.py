@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import bloom, folds, quantiles, tables
+from gaugeframe.sources import archives
 from gaugeframe.streaming import states
 
 from .facts import read, rounded
@@ -57,6 +58,14 @@ def exact_quantiles(spark, d):
     return rounded(low.join(mid, ["l_returnflag", "l_linestatus"]))
 
 
+def archive_members(spark, d):
+    """The texts of labelled documents out of archives of a hundred documents each, by name."""
+    docs = read(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.lit("part-"), F.floor(F.col("doc_id") / 100), F.lit(".tar")).alias("archive"), F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".txt")).alias("name"), "text")
+    wanted = read(spark, d, "labels").select(F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".txt")).alias("name"))
+    found = archives.members_of(archives.packed(docs, "archive", "name", "text"), wanted)
+    return found.select("archive", "name", F.sha2("content", 256).alias("digest"), "gap")
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 
@@ -71,6 +80,7 @@ def _folds_sql(edges: str, rows: str, lock: str, seed: int, select: str) -> str:
 
 
 SQL = {
+    "archive_members": "SELECT DISTINCT 'part-' || doc_id // 100 || '.tar' archive, 'docs/' || doc_id || '.txt' AS name, sha256(text) digest, NULL gap FROM documents JOIN labels USING (doc_id)",
     "bloom_remaining": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "bloom_digest_semi": "SELECT doc_id, lang, sha256(text) digest FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 1)",
     "exact_quantiles": "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 6) quartile, round(quantile_cont(l_discount, 0.5), 6) \"median\" FROM lineitem GROUP BY 1, 2",

@@ -1,6 +1,8 @@
 """Folds of components, keyed state in streams, filtered semi joins and archives, on small tables."""
 
 import contextlib
+import io
+import tarfile
 import time
 
 import numpy as np
@@ -9,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import bloom, folds, quantiles
+from gaugeframe.sources import archives
 from gaugeframe.streaming import states
 
 ROWS = [("a", "s1", ["x"]), ("b", "s2", ["x", "y"]), ("b", "s3", ["y"]), ("a", "s4", None), ("a", "s4", []), ("a", None, ["z"]), (None, "s5", ["q"]), ("c", "s6", ["q", None])]
@@ -123,3 +126,45 @@ def test_exact_quantiles(spark, q):
         got = {r.g: r.v for r in quantiles.exact_quantile(df, "x", q, ["g"], "v", small=small).collect()}
         assert got.pop("none") is None and got == pytest.approx({k: np.quantile(v, q) for k, v in groups.items()}, rel=1e-12)
     assert quantiles.exact_quantile(df.limit(0), "x", q, ["g"], "v").count() == 0
+
+
+def tar(files, kind="w"):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode=kind) as t:
+        for name, content in files:
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            t.addfile(info, io.BytesIO(content))
+    return out.getvalue()
+
+
+FILES = [("a", b"x" * 700), ("b", b""), ("c" * 120, b"long name"), ("d", b"y" * 512), ("a", b"again")]
+
+
+@pytest.mark.parametrize("kind", ["w", "w:gz"])
+def test_members_of_whole_archives(spark, kind):
+    rows = [("one", tar(FILES, kind)), ("none", tar([], kind)), ("empty", b""), ("null", None)]
+    archive = spark.createDataFrame(rows, "path string, content binary")
+    wanted = spark.createDataFrame([("a",), ("c" * 120,), ("zzz",), (None,), ("a",)], "name string")
+    for most in (archives.MOST_WANTED, 1):
+        archives.MOST_WANTED, before = most, archives.MOST_WANTED
+        try:
+            got = archives.members_of(archive, wanted).collect()
+        finally:
+            archives.MOST_WANTED = before
+        assert sorted((r.archive, r.name, bytes(r.content), r.gap) for r in got) == sorted(("one", n, c, None) for n, c in FILES if n in ("a", "c" * 120))
+
+
+def test_damage_is_a_row_and_later_members_are_read():
+    whole = tar(FILES)
+    names = lambda data: [n or "gap" for n, _, _ in archives.members(data, None)]
+    assert names(whole) == [n for n, _ in FILES]
+    broken = bytearray(whole)
+    broken[1536 + 20] ^= 255  # the header of b
+    assert names(bytes(broken)) == ["a", "gap", "c" * 120, "d", "a"]
+    assert names(bytes(broken[:1536] + b"junk" * 300 + broken[1536 + 1200 :]))[:2] == ["a", "gap"]
+    for cut in (600, 1100):  # within the first member
+        assert names(whole[:cut]) == ["gap"]
+    packed = tar(FILES, "w:gz")
+    assert names(packed[: len(packed) // 2])[-1] == "gap" and names(packed[:-1] + b"\0")[-1] in ("a", "gap")
+    assert names(b"not an archive" * 100)[-1] == "gap" and names(b"\0" * 10240) == []
