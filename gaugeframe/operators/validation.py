@@ -67,3 +67,8 @@ def conversations(df: DataFrame, human: str = "user", answer: str = "assistant")
     fault = F.when(F.col("first") != human, "must start with a human turn").when(F.col("images") > 1, "more than one image").when(F.col("other") > 0, "unsupported role")
     fault = fault.when((F.col("marked") > 0) | (F.col("empty") > 0), "invalid answer").when(F.col("answers") == 0, "no answer")
     return rows.select("conv_id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def shared(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """U4: the keys that both sides have, once each, nulls being equal: none, where one excludes the other."""
+    return left.select(*key).intersect(right.select(*key))

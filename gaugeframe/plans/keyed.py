@@ -1,11 +1,12 @@
-"""Components with locked folds, keyed state in streams, filtered semi joins and archives over the test tables."""
+"""Components with locked folds, keyed state in streams, filtered semi joins, archives, reports as files and judges over
+the test tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import bloom, folds, quantiles, tables
-from gaugeframe.sources import archives
+from gaugeframe.operators import bloom, folds, judging, quantiles, reshape, tables, validation
+from gaugeframe.sources import archives, writers
 from gaugeframe.streaming import states
 
 from .facts import read, rounded
@@ -66,6 +67,55 @@ def archive_members(spark, d):
     return found.select("archive", "name", F.sha2("content", 256).alias("digest"), "gap")
 
 
+def shared_keys(spark, d):
+    """U4: orders that are both urgent and returned in part, which a split into retained and excluded must not have."""
+    orders = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("uid"))
+    return validation.shared(orders, read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("uid")), ["uid"])
+
+
+def merged_ranks(spark, d):
+    """Of results that four workers wrote, the one of the last worker for each user; within it the newest."""
+    rows = read(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 4).alias("rank"), "ts", "value")
+    return reshape.latest(rows, ["user_id"], F.struct("rank", "ts", "event_id")).select("user_id", "rank", "event_id", "value")
+
+
+def report_files(spark, d):
+    """K2, K3, K9: the sections of a report as CSV files beside each other, read back."""
+    rows = read(spark, d, "orders")
+    means = lambda by: rows.groupBy(F.col(by).cast("string").alias("name")).agg(F.count("*").alias("n"), F.sum(F.round("o_totalprice").cast("long")).alias("total"))
+    sections = {"status": means("o_orderstatus"), "priority": means("o_orderpriority")}
+    path = writers.derived_path(f"{tables.place(spark)}/orders.parquet", "_report", "csv")
+    writers.report(sections, path)
+    parts = [spark.read.schema("name string, n long, total long").option("header", True).csv(f"{path}/{s}").select(F.lit(s).alias("section"), "name", "n", "total") for s in sections]
+    return parts[0].unionByName(parts[1])
+
+
+def _questions(spark, d):
+    """Multiple-choice answers: a letter, an option's text, both or neither."""
+    letter = lambda n: F.substring(F.lit("AB"), (n % 2 + 1).cast("int"), F.lit(1))
+    key, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    said = F.when(size % 4 == 0, F.concat(F.lit("It is "), letter(size / 4))).when(size % 4 == 1, F.concat(F.lit("the text says "), F.col("p_brand"))).when(size % 4 == 2, F.lit("I can't tell")).otherwise(letter(key / 3))
+    return read(spark, d, "part").select("p_partkey", said.alias("prediction"), letter(key).alias("answer"), F.col("p_brand").alias("A"), F.lit("none of the brands").alias("B"), F.when(size > 25, "large").otherwise("small").alias("split"), (key % 7).cast("string").alias("category"))
+
+
+def evaluated_choices(spark, d):
+    """The benchmark class is told from the columns and rolls its hits up."""
+    return rounded(judging.evaluate(_questions(spark, d)))
+
+
+def judged_choices(spark, d):
+    """A judge is asked where the rules find nothing; it fails for one prompt in three."""
+
+    def judge(prompt: str) -> str:
+        n = int(prompt.rpartition(" ")[2])
+        if n % 3 == 0:
+            raise TimeoutError
+        return "The answer is B." if n % 3 == 1 else "hard to say"
+
+    rows = _questions(spark, d).withColumn("prompt", F.concat(F.lit("Which option is meant? "), F.col("p_partkey")))
+    return judging.judged_options(rows, "prediction", ["A", "B"], "prompt", judge, "legacy").select("p_partkey", "option", "log")
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 
@@ -79,7 +129,16 @@ def _folds_sql(edges: str, rows: str, lock: str, seed: int, select: str) -> str:
         {select}"""
 
 
+_ASKED = """q AS (SELECT p_partkey, substr('AB', CAST(p_partkey % 2 + 1 AS INTEGER), 1) answer, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END split, CAST(p_partkey % 7 AS VARCHAR) category,
+  CASE p_size % 4 WHEN 0 THEN substr('AB', CAST(p_size // 4 % 2 + 1 AS INTEGER), 1) WHEN 1 THEN 'A' WHEN 2 THEN NULL ELSE substr('AB', CAST(p_partkey // 3 % 2 + 1 AS INTEGER), 1) END said FROM part)"""
 SQL = {
+    "shared_keys": "SELECT o_orderkey uid FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'",
+    "merged_ranks": "SELECT user_id, event_id % 4 \"rank\", event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 4 DESC, ts DESC, event_id DESC) = 1",
+    "report_files": """SELECT section, name, count(*) n, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) total FROM (SELECT 'status' section, o_orderstatus AS name, o_totalprice FROM orders UNION ALL SELECT 'priority', o_orderpriority, o_totalprice FROM orders) GROUP BY 1, 2""",
+    "evaluated_choices": f"""WITH {_ASKED}, h AS (SELECT split, category, CAST(coalesce(said = answer, false) AS INTEGER) hit FROM q)
+        SELECT split, 'Overall' AS level, 'Overall' AS name, count(*) n, round(avg(hit), 6) accuracy FROM h GROUP BY 1 UNION ALL SELECT split, 'category', category, count(*), round(avg(hit), 6) FROM h GROUP BY 1, 3""",
+    "judged_choices": f"""WITH {_ASKED} SELECT p_partkey, coalesce(said, CASE WHEN p_partkey % 3 = 1 THEN 'B' ELSE 'Z' END) "option",
+        CASE WHEN said IS NOT NULL THEN '' WHEN p_partkey % 3 = 0 THEN 'Exact matching fallback: Z' WHEN p_partkey % 3 = 1 THEN '' ELSE 'Unresolved LLM judge response.' END log FROM q""",
     "archive_members": "SELECT DISTINCT 'part-' || doc_id // 100 || '.tar' archive, 'docs/' || doc_id || '.txt' AS name, sha256(text) digest, NULL gap FROM documents JOIN labels USING (doc_id)",
     "bloom_remaining": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "bloom_digest_semi": "SELECT doc_id, lang, sha256(text) digest FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 1)",
