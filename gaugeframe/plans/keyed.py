@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import bloom, folds, judging, quantiles, reshape, tables, validation
+from gaugeframe.operators import bloom, folds, judging, quantiles, reshape, tables, validation, variants
 from gaugeframe.sources import archives, writers
 from gaugeframe.streaming import states
 
@@ -116,6 +116,22 @@ def judged_choices(spark, d):
     return judging.judged_options(rows, "prediction", ["A", "B"], "prompt", judge, "legacy").select("p_partkey", "option", "log")
 
 
+def _documents_of_events(spark, d):
+    return read(spark, d, "events").select("event_id", F.to_json(F.struct(F.struct(F.parse_json("props").alias("props"), F.array(F.col("user_id"), F.col("event_id")).alias("ids")).alias("a"), F.col("event_type").alias("e"))).alias("doc"))
+
+
+def json_paths(spark, d):
+    """Leaves of nested documents by path, from the properties of events."""
+    return variants.json_paths(_documents_of_events(spark, d), "doc", ["event_id"])
+
+
+def merged_paths(spark, d):
+    """Settings of each event over a common base, by path: e is replaced, a.ids[1] goes on, a.more is added."""
+    base = variants.json_paths(_documents_of_events(spark, d), "doc", ["event_id"])
+    over = read(spark, d, "events").where("event_id % 3 = 0").select("event_id", F.to_json(F.struct(F.struct(F.col("event_id").alias("props"), F.lit("x").alias("more")).alias("a"), F.struct(F.lit(1).alias("deep")).alias("e"))).alias("doc"))
+    return variants.merged_paths(base, variants.json_paths(over, "doc", ["event_id"]), ["event_id"])
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 
@@ -131,7 +147,11 @@ def _folds_sql(edges: str, rows: str, lock: str, seed: int, select: str) -> str:
 
 _ASKED = """q AS (SELECT p_partkey, substr('AB', CAST(p_partkey % 2 + 1 AS INTEGER), 1) answer, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END split, CAST(p_partkey % 7 AS VARCHAR) category,
   CASE p_size % 4 WHEN 0 THEN substr('AB', CAST(p_size // 4 % 2 + 1 AS INTEGER), 1) WHEN 1 THEN 'A' WHEN 2 THEN NULL ELSE substr('AB', CAST(p_partkey // 3 % 2 + 1 AS INTEGER), 1) END said FROM part)"""
+_PATHS = """leaves AS (SELECT event_id, unnest(['.a.props.k', '.a.ids[0]', '.a.ids[1]', '.e']) path, unnest([json_extract_string(props, '$.k'), user_id || '', event_id || '', event_type]) "value" FROM events)"""
 SQL = {
+    "json_paths": f"WITH {_PATHS} FROM leaves",
+    "merged_paths": f"""WITH {_PATHS} SELECT * FROM leaves WHERE event_id % 3 <> 0 OR path LIKE '.a.ids%' UNION ALL
+        SELECT event_id, unnest(['.a.props', '.a.more', '.e.deep']), unnest([event_id || '', 'x', '1']) FROM events WHERE event_id % 3 = 0""",
     "shared_keys": "SELECT o_orderkey uid FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'",
     "merged_ranks": "SELECT user_id, event_id % 4 \"rank\", event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 4 DESC, ts DESC, event_id DESC) = 1",
     "report_files": """SELECT section, name, count(*) n, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) total FROM (SELECT 'status' section, o_orderstatus AS name, o_totalprice FROM orders UNION ALL SELECT 'priority', o_orderpriority, o_totalprice FROM orders) GROUP BY 1, 2""",

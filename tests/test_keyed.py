@@ -10,7 +10,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import bloom, folds, quantiles
+from gaugeframe.operators import bloom, folds, quantiles, variants
 from gaugeframe.sources import archives
 from gaugeframe.streaming import states
 
@@ -168,3 +168,18 @@ def test_damage_is_a_row_and_later_members_are_read():
     packed = tar(FILES, "w:gz")
     assert names(packed[: len(packed) // 2])[-1] == "gap" and names(packed[:-1] + b"\0")[-1] in ("a", "gap")
     assert names(b"not an archive" * 100)[-1] == "gap" and names(b"\0" * 10240) == []
+
+
+def test_paths_of_any_shape(spark):
+    texts = {1: '{"a": {"b": [1, {"c": null}], "d": {}}, "e": "x"}', 2: "[]", 3: "7", 4: None, 5: "{broken", 6: '{"": true, "n": [[2.5]]}'}
+    got = variants.json_paths(spark.createDataFrame(list(texts.items()), "id int, doc string"), "doc", ["id"]).collect()
+    want = {(1, ".a.b[0]", "1"), (1, ".a.b[1].c", None), (1, ".a.d", "{}"), (1, ".e", "x"), (2, "", "[]"), (3, "", "7"), (6, ".", "true"), (6, ".n[0][0]", "2.5")}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_paths_are_laid_over_each_other(spark):
+    kind = "id int, path string, value string"
+    base = spark.createDataFrame([(1, ".a", "1"), (1, ".b.c", "2"), (1, ".b.d", "3"), (1, ".e.f[0]", "4"), (2, ".a", "5"), (None, ".a", "6")], kind)
+    over = spark.createDataFrame([(1, ".a.x", "7"), (1, ".b.c", "8"), (1, ".e", "9"), (3, ".n", "0"), (None, ".a", "n")], kind)
+    got = {tuple(r) for r in variants.merged_paths(base, over, ["id"]).collect()}
+    assert got == {(1, ".a.x", "7"), (1, ".b.c", "8"), (1, ".b.d", "3"), (1, ".e", "9"), (2, ".a", "5"), (3, ".n", "0"), (None, ".a", "n")}
