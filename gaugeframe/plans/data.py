@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import hashing as H
 from gaugeframe.functions import numeric as N
-from gaugeframe.operators import batching, receipts, reshape, sampling, validation
+from gaugeframe.operators import batching, dependencies, overlaps, receipts, reshape, sampling, validation
 
 from .facts import read, rounded
 
@@ -118,7 +119,7 @@ def sequence_packing(spark, d):
 
 def _spans(spark, d):
     start = F.unix_micros(F.col("ts").cast("timestamp"))
-    return read(spark, d, "events").select("user_id", "event_type", start.alias("start"), (start + (F.floor(F.col("value")) * 60_000_000).cast("long")).alias("end"))
+    return read(spark, d, "events").select("user_id", "event_id", "event_type", start.alias("start"), (start + (F.floor(F.col("value")) * 60_000_000).cast("long")).alias("end"))
 
 
 def interval_merge(spark, d):
@@ -126,9 +127,15 @@ def interval_merge(spark, d):
 
 
 def interval_iou(spark, d):
-    rows = _spans(spark, d).where("event_type IN ('click', 'view')")
-    lists = rows.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))))
-    return rounded(lists.select("user_id", N.spans_iou(F.col("click"), F.col("view")).alias("iou")))
+    """what clicks and views of a user cover in common, from rows."""
+    spans = lambda kind: _spans(spark, d).where(F.col("event_type") == kind).select("user_id", "start", "end")
+    return rounded(overlaps.sets_iou(spans("click"), spans("view"), ["user_id"]))
+
+
+def nearest_spans(spark, d):
+    """For each click the view of the same user that it shares most with."""
+    spans = lambda kind: _spans(spark, d).where(F.col("event_type") == kind).select("user_id", "event_id", "start", "end")
+    return rounded(overlaps.nearest(spans("click"), spans("view"), ["user_id"], "event_id"))
 
 
 def box_iou(spark, d):
@@ -153,9 +160,10 @@ def remaining_work(spark, d):
 
 
 def dependency_closure(spark, d):
-    """Every part of the dependency tree i -> i // 3 with the number of its ancestors."""
-    return spark.sql("""WITH RECURSIVE up(job, parent, depth) AS (SELECT id, id DIV 3, 1 FROM range(1, 400) UNION ALL SELECT job, parent DIV 3, depth + 1 FROM up WHERE parent > 0)
-        SELECT job, count(*) - 1 AS ancestors FROM up GROUP BY job""")
+    """Each order waits for the customer's order before it, by date and key."""
+    rows = read(spark, d, "orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return dependencies.ancestors(rows.select("o_orderkey", before.alias("before")), "o_orderkey", "before")
 
 
 def json_normalize_group(spark, d):
@@ -178,7 +186,7 @@ def event_sessions(spark, d):
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
-_SPANS = "spans AS (SELECT user_id, event_type, epoch_us(ts) s, epoch_us(ts) + CAST(floor(value) AS BIGINT) * 60000000 e FROM events)"
+_SPANS = "spans AS (SELECT user_id, event_id, event_type, epoch_us(ts) s, epoch_us(ts) + CAST(floor(value) AS BIGINT) * 60000000 e FROM events)"
 _ISLANDS = """o AS (SELECT *, max(e) OVER (PARTITION BY {by} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM {t}),
   i AS (SELECT *, sum(CAST(coalesce(s > reach, true) AS INTEGER)) OVER (PARTITION BY {by} ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM o)"""
 SQL = {
@@ -214,6 +222,9 @@ SQL = {
         m AS (SELECT user_id, event_type, min(s) s, max(e) e FROM i GROUP BY user_id, event_type, g), l AS (SELECT user_id, sum(e - s) t FROM m GROUP BY 1),
         x AS (SELECT a.user_id, sum(greatest(least(a.e, b.e) - greatest(a.s, b.s), 0)) x FROM m a JOIN m b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' GROUP BY 1)
         SELECT user_id, round(coalesce(coalesce(x, 0) / nullif(t - coalesce(x, 0), 0), 0), 6) iou FROM u LEFT JOIN l USING (user_id) LEFT JOIN x USING (user_id)""",
+    "nearest_spans": f"""WITH {_SPANS}, p AS (SELECT a.event_id, b.event_id other, greatest(least(a.e, b.e) - greatest(a.s, b.s), 0) x, a.e - a.s m, b.e - b.s n FROM spans a JOIN spans b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view'),
+        t AS (SELECT event_id, arg_min(other, (-x / (m + n - x), other)) "match", max(x / (m + n - x)) iou FROM p WHERE x > 0 GROUP BY 1)
+        SELECT user_id, event_id, "match", round(coalesce(iou, 0), 6) iou FROM spans LEFT JOIN t USING (event_id) WHERE event_type = 'click'""",
     "box_iou": """WITH b AS (SELECT l_returnflag, l_quantity x1, l_linenumber y1, l_quantity + 10 x2, l_linenumber + 5 y2, l_linenumber * 5 u1, l_linenumber + 1 v1, l_linenumber * 5 + 12 u2, l_linenumber + 4 v2 FROM lineitem),
         c AS (SELECT *, greatest(least(x2, u2) - greatest(x1, u1), 0) * greatest(least(y2, v2) - greatest(y1, v1), 0) i FROM b), e AS (SELECT *, i / (50 + 36 - i) iou FROM c)
         SELECT l_returnflag, round(avg(iou), 6) iou, round(avg(CAST(iou >= 0.5 AS INTEGER)), 6) "precision", round(avg(CAST((x1 + x2) / 2 BETWEEN u1 AND u2 AND (y1 + y2) / 2 BETWEEN v1 AND v2 AS INTEGER)), 6) inside,
@@ -221,7 +232,7 @@ SQL = {
     "status_latest_wins": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "diagnostics_counts": "SELECT count(*) \"rows\", count_if(event_type = 'error') fallbacks, count_if(event_type <> 'error' AND event_id % 11 = 0) unresolved FROM events",
     "remaining_work": "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)",
-    "dependency_closure": "WITH RECURSIVE up(job, parent, depth) AS (SELECT i, i // 3, 1 FROM range(1, 400) t(i) UNION ALL SELECT job, parent // 3, depth + 1 FROM up WHERE parent > 0) SELECT job, count(*) - 1 ancestors FROM up GROUP BY job",
+    "dependency_closure": """SELECT o_orderkey, row_number() OVER w - 1 ancestors, first_value(o_orderkey) OVER w root FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "json_normalize_group": "SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) % 5 k, count(*) n, round(avg(value), 6) mean FROM events GROUP BY ALL",
     "event_tumbling_window": "SELECT epoch_us(ts) // 3600000000 * 3600000000 AS \"start\", event_type, count(*) n, round(sum(value), 6) total FROM events GROUP BY ALL",
     "event_sessions": """WITH g AS (SELECT user_id, epoch_us(ts) t, CAST(coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY ts) >= 1800000000, true) AS INTEGER) b FROM events),

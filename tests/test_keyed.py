@@ -10,7 +10,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import bloom, folds, quantiles, variants
+from gaugeframe.operators import bloom, dependencies, folds, overlaps, quantiles, variants
 from gaugeframe.sources import archives
 from gaugeframe.streaming import states
 
@@ -183,3 +183,36 @@ def test_paths_are_laid_over_each_other(spark):
     over = spark.createDataFrame([(1, ".a.x", "7"), (1, ".b.c", "8"), (1, ".e", "9"), (3, ".n", "0"), (None, ".a", "n")], kind)
     got = {tuple(r) for r in variants.merged_paths(base, over, ["id"]).collect()}
     assert got == {(1, ".a.x", "7"), (1, ".b.c", "8"), (1, ".b.d", "3"), (1, ".e", "9"), (2, ".a", "5"), (3, ".n", "0"), (None, ".a", "n")}
+
+
+def test_overlaps_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    sides = []
+    for n in (150, 120):
+        start = rng.integers(-2000, 2000, n).astype(float).tolist()
+        sides.append([(None if i % 9 == 0 else int(i % 3), i, s, s + float(2.0 ** rng.integers(-2, 11)) * (i % 17 > 0)) for i, s in enumerate(start)])
+        sides[-1] += [(0, n, None, 1.0), (0, n + 1, 5.0, None), sides[-1][5]]
+    left, right = (spark.createDataFrame(s, "g int, id int, start double, end double") for s in sides)
+    shared = lambda a, b: None in a[2:] + b[2:] and -1 or min(a[3], b[3]) - max(a[2], b[2])
+    want = sorted((str(a[0]), a[1], b[1], shared(a, b)) for a in sides[0] for b in sides[1] if a[0] == b[0] and shared(a, b) > 0)
+    got = overlaps.overlapping(left, right, ["g"]).select("g", "left.id", F.col("right.id").alias("other"), "overlap").collect()
+    assert sorted((str(r.g), r.id, r.other, r.overlap) for r in got) == want and len(want) > 300
+    size = lambda x: x[3] - x[2]
+    best = {}
+    for a in sides[0]:
+        options = [(-shared(a, b) / (size(a) + size(b) - shared(a, b)), b[1]) for b in sides[1] if a[0] == b[0] and shared(a, b) > 0]
+        best[a[1]] = (min(options)[1], -min(options)[0]) if options else (None, 0.0)
+    for r in overlaps.nearest(left, right, ["g"], "id").collect():
+        assert (r.match, r.iou) == (best[r.id][0], pytest.approx(best[r.id][1]))
+    assert overlaps.overlapping(left.limit(0), right.limit(0), ["g"]).count() == 0
+
+
+def test_chains_of_jobs(spark):
+    kind = "job long, up long"
+    chain = [(i, i - 1 if i % 100 else None) for i in range(300)]
+    got = {r.job: (r.ancestors, r.root) for r in dependencies.ancestors(spark.createDataFrame(chain, kind), "job", "up").collect()}
+    assert got == {i: (i % 100, i - i % 100) for i in range(300)}
+    assert dependencies.ancestors(spark.createDataFrame([], kind), "job", "up").count() == 0
+    for rows, what in (([(1, 2), (2, 3), (3, 1), (4, None)], "ring"), ([(1, 1)], "ring"), ([(1, 9)], "missing"), ([(1, None), (1, None)], "repeated")):
+        with pytest.raises(ValueError, match=what):
+            dependencies.ancestors(spark.createDataFrame(rows, kind), "job", "up")
