@@ -15,15 +15,17 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import itertools
 import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # What the vocabulary file asks for before merging. Other files are refused.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -105,20 +107,28 @@ class Merges:
         for (u, v), pair in self.pairs.items():
             self.size[pair % WIDE] = self.size[u] + self.size[v]
 
+    def short(self, data: bytes) -> list[int]:
+        """The ids of a whole short piece."""
+        inner = self.inner
+        return self.merge([*[inner[b] for b in data[:-1]], self.last[data[-1]]])
+
     def merge(self, ids: list[int]) -> list[int]:
         """All of ``ids`` merged: always the pair of least rank, of equal ones the leftmost."""
-        pairs = self.pairs
         if len(ids) > FEW:
             return self._merge_many(ids)
-        ids, ranks = [*ids], [pairs.get(p, NONE) for p in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != NONE:
-            i, new = ranks.index(best), best % WIDE
-            ids[i : i + 2] = [new]
-            del ranks[i]
+        find = self.pairs.get
+        ids, ranks = [*ids], [find(p, NONE) for p in zip(ids, ids[1:])]  # noqa: B905
+        while ranks:
+            best = min(ranks)
+            if best == NONE:
+                break
+            i, new = ranks.index(best), best & (WIDE - 1)
+            ids[i] = new
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pairs.get((ids[i - 1], new), NONE)
+                ranks[i - 1] = find((ids[i - 1], new), NONE)
             if i < len(ranks):
-                ranks[i] = pairs.get((new, ids[i + 1]), NONE)
+                ranks[i] = find((new, ids[i + 1]), NONE)
         return ids
 
     def _merge_many(self, ids: list[int]) -> list[int]:
@@ -213,18 +223,18 @@ class Tokenizer:
         self.longest = max(map(len, self.specials), default=1)
         self.tokens = {i: t for t, i in (model["vocab"] | self.specials).items()}
         self.joint = " " if spec["decoder"] is None else ""
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def whole(self, piece: str) -> list[int]:
+    def whole(self, piece: str) -> Sequence[int]:
         """The ids of a whole piece; short ones are remembered, up to a number."""
+        if len(piece) > SHORT:
+            part = Piece(self.merges, BLOCK)
+            return [*part.feed(piece), *part.finish()]
         ids = self.known.get(piece)
         if ids is None:
-            open_ = Piece(self.merges, BLOCK)
-            ids = [*open_.feed(piece), *open_.finish()]
-            if len(piece) <= SHORT:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[piece] = ids
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            ids = self.known[piece] = tuple(self.merges.short(piece.encode()))
         return ids
 
     def segments(self, chunks: Iterable[str]) -> Iterator[tuple[str, int | None]]:
@@ -297,11 +307,9 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         if len(text) > CHUNK or self.special.search(text):
             return list(self.stream(text[i : i + CHUNK] for i in range(0, len(text), CHUNK)))
-        out: list[int] = []
         text, known = lower(unicodedata.normalize("NFC", text)), self.known
-        for piece in (PIECE if ASTRAL.search(text) else NEAR_PIECE).findall(text):
-            out += known.get(piece) or self.whole(piece)
-        return out
+        pieces = (PIECE if ASTRAL.search(text) else NEAR_PIECE).findall(text)
+        return [*itertools.chain.from_iterable([known.get(p) or self.whole(p) for p in pieces])]
 
 
 class Decoder:
@@ -316,8 +324,10 @@ class Decoder:
 
     def feed(self, ids: Sequence[int]) -> str:
         """The text that is certain after ``ids``. An id that isn't in the vocabulary adds nothing."""
-        known = self.parts
-        parts = [known[i] for i in ids if i in known]
+        try:
+            parts = [*map(self.parts.__getitem__, ids)]
+        except KeyError:
+            parts = [self.parts[i] for i in ids if i in self.parts]
         if not parts:
             return ""
         text = (self.joint.encode() if self.started else b"") + self.joint.encode().join(parts)
@@ -341,30 +351,57 @@ def decoder(path: str) -> Decoder:
     return Decoder(of.tokens, of.joint)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+#: Rows that are worked on at once: what is held of a batch besides its texts.
+ROWS = 256
+
+
+def _with(df: DataFrame, added: dict[str, tuple[pa.DataType, str]], of: str, make) -> DataFrame:
+    """``df`` with columns made from ``of`` by ``make``, a few rows at a time; columns of those names are replaced."""
+    kept = [c for c in df.columns if c not in added]
+    schema = StructType([*(df.schema[c] for c in kept), *(StructField(c, StructType.fromDDL(f"x {kind}")["x"].dataType) for c, (_, kind) in added.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                made = make(part.column(part.schema.get_field_index("_of")))
+                arrays = [pa.array(x, kind) for x, (kind, _) in zip(made, added.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=[*part.schema.names[:-1], *added])
+
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{of}`").alias("_of")).mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with a column ``ids`` of the tokens of the whole text, special tokens inside a text included and none
-    added. ``path`` is the vocabulary file's place on every executor.
+    added; with ``decoded``, also a column of what those tokens decode to, so that ids needn't be moved for it. ``path``
+    is the vocabulary file's place on every executor.
 
     Defined cases: a null, empty or blank text has no tokens; repeated rows get the same ones; a text of any length is
-    read in chunks, and a piece of any length is merged in blocks; an empty table stays empty; an existing column of
-    the name is replaced, others are left alone.
+    read in chunks, and a piece of any length is merged in blocks; an empty table stays empty; existing columns of the
+    names are replaced, others are left alone.
     """
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
+    def make(texts: pa.Array) -> Iterator[list]:
         of = tokenizer(path)
-        return pd.Series([of.encode(t) if t else [] for t in texts], dtype=object)
+        found = [np.array(of.encode(t) if t else [], np.int32) for t in texts.to_pylist()]
+        yield found
+        if decoded:
+            yield [_text(decoder(path), x) for x in found]
+
+    kinds = {ids: (pa.list_(pa.int32()), "array<int>")} | ({decoded: (pa.string(), "string")} if decoded else {})
+    return _with(df, kinds, text, make)
+
 
-    return df.withColumn(ids, run(F.col(text)))
+def _text(of: Decoder, ids: np.ndarray) -> str:
+    return of.feed(ids.tolist()) + of.finish() if len(ids) else ""
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of its tokens, special ones included. Null or no ids give an empty text, null ids inside
     and ids that the vocabulary lacks add nothing; otherwise as ``encode``."""
 
-    @F.pandas_udf("string")
-    def run(lists: pd.Series) -> pd.Series:
+    def make(lists: pa.Array) -> Iterator[list]:
         of = decoder(path)
-        return pd.Series([of.feed(np.asarray(x).tolist()) + of.finish() if x is not None and len(x) else "" for x in lists], dtype=object)
+        yield [_text(of, np.array([i for i in x if i is not None], np.int64)) if x else "" for x in lists.to_pylist()]
 
-    return df.withColumn(text, run(F.col(ids)))
+    return _with(df, {text: (pa.string(), "string")}, ids, make)

@@ -203,10 +203,12 @@ def test_lookahead_settles_tokens_of_random_lists():
 
 
 def test_bpe_on_odd_rows(odd, library):
-    coded = bpe.decode(bpe.encode(odd, WORDS), WORDS)
-    assert coded.columns == odd.columns and coded.limit(0).count() == 0
-    got = coded.select("text", "ids", "decoded").collect()
-    assert len(got) == odd.count()
+    coded = bpe.decode(bpe.encode(odd, WORDS), WORDS, text="again")
+    assert sorted(coded.columns) == sorted([*odd.columns, "again"]) and coded.limit(0).count() == 0
+    both = bpe.encode(odd, WORDS, decoded="decoded")
+    assert sorted(both.columns) == sorted(odd.columns)
+    got = coded.select("text", "ids", "again").collect()
+    assert len(got) == odd.count() and sorted(map(str, got)) == sorted(str(r).replace("decoded=", "again=") for r in both.select("text", "ids", "decoded").collect())
     for text, ids, decoded in got:
         assert list(ids) == library.encode(text or "", add_special_tokens=False).ids and decoded == library.decode(list(ids), skip_special_tokens=False)
     with pytest.raises(ValueError, match="word ends"):
