@@ -83,10 +83,31 @@ SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || t || chr(
 FROM o GROUP BY conv_id
 """
 
+#: crc32 bit by bit over the digits of the id; runs as stretches of equal triples of words at one distance, which a run of
+#: four periods and six words has, with the least distance of each stretch.
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws, doc_id || '' s FROM documents),
+c AS (SELECT *, len(ws) n, xor(list_reduce(list_transform(range(9 * length(s)), lambda i: CASE WHEN i % 9 = 0 THEN CAST(ascii(s[i // 9 + 1]) AS BIGINT) ELSE -1 END),
+  lambda h, v: CASE WHEN v >= 0 THEN xor(h, v) ELSE xor(h >> 1, 3988292384 * (h & 1)) END, CAST(4294967295 AS BIGINT)), 4294967295) h FROM d),
+p AS (SELECT *, h // 10 % greatest(n, 1) a, 1 + (n - h // 10 % greatest(n, 1)) // (3 + h // 10 % 8) p FROM c),
+x AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END ws FROM p),
+w AS (SELECT rid, n, unnest(range(n)) i, unnest(ws) word FROM x),
+g AS (SELECT rid, n, i, hash(word, lead(word, 1) OVER o, lead(word, 2) OVER o) g FROM w WINDOW o AS (PARTITION BY rid ORDER BY i) QUALIFY lead(word, 2) OVER o IS NOT NULL),
+same AS (SELECT a.rid, a.i, b.i - a.i q FROM g a JOIN g b ON a.rid = b.rid AND a.g = b.g AND b.i > a.i AND b.i - a.i <= a.n // 4),
+islands AS (SELECT rid, q, min(i) AS start, count(*) + 2 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) k FROM same) GROUP BY rid, q, k),
+runs AS (SELECT rid, start, length, min(q) period FROM islands WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+told AS (SELECT rid, count(*) n_runs, arg_max({'s': start, 'l': length, 'p': period}, (length / period, -start, -period)) top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) lines FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) i FROM runs),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) t FROM w ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) n_runs, top.s AS start, top.l AS length, top.p period, 1000 * top.l // top.p exponent_milli, sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256
+FROM x LEFT JOIN told USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 SQL: dict[str, str] = {
     "op1_distribution_divergence": _OP1,
     "op4_warc_salvage": _OP4,
     "op5_url_range_join": _OP5,
     "op6_benchmark_decontamination": _OP6,
     "op9_chat_format": _OP9,
+    "op11_periodic_runs": _OP11,
 }
