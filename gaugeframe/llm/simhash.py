@@ -8,7 +8,13 @@ tree goes on down to small leaves, which are compared exactly. A shard returns a
 fingerprints, never all pairs; the forests are joined into components by distributed rounds of minimum labels.
 
 A region so dense that no pivot splits it (near copies of near copies) is not compared pair by pair: two fingerprints
-within an even radius are linked exactly if they share a fingerprint within half of it, so those are listed and sorted.
+within an even radius are linked exactly if they share a fingerprint within half of it, so those are listed and sorted,
+or, for a region larger than a shard, shuffled by that shared fingerprint so that no task holds the region.
+
+Each level sends fingerprints near its boundary both ways, so copies grow with the levels above the shards. Shards
+therefore grow with the table, from ``SHARD`` to ``MOST_SHARD`` (8 MB of fingerprints): what the tree does inside a
+shard copies places in memory, not rows of a shuffle. Shards are numbered; the tree is four flat arrays of at most
+``MOST_NODES`` nodes (18 bytes each), broadcast. Beyond that many nodes shards get larger and results stay the same.
 
 Only a bounded sample of fingerprints (``SAMPLE`` to ``MOST_SAMPLE``, 8 bytes each) reaches the driver, to place
 pivots; it decides about balance, not about results.
@@ -16,8 +22,10 @@ pivots; it decides about balance, not about results.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,9 +39,14 @@ from .common import cut
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Fingerprints for placing pivots, as many as that at least and at most, with SAMPLED for each shard to come.
 SAMPLE, MOST_SAMPLE, SAMPLED = 8192, 1 << 18, 16
-#: The size of shard to aim for, of a leaf that is compared whole, of an unsplit region that is compared pair by pair,
-#: and the neighbours that are sorted at once (8 bytes each).
-SHARD, LEAF, DENSE, AT_ONCE = 8192, 192, 4096, 1 << 23
+#: The smallest and largest size of shard to aim for, and the shards to have before they grow.
+SHARD, MOST_SHARD, SHARDS = 8192, 1 << 20, 64
+#: The nodes of the tree, the fingerprints that are dealt at once, and the widest radius at which a dense region is
+#: shuffled by shared neighbours (2081 of each fingerprint at 4).
+MOST_NODES, DEALT, SPREAD = 1 << 20, 1 << 17, 4
+#: The size of a leaf that is compared whole, of an unsplit region that is compared pair by pair, and the neighbours that
+#: are sorted at once (8 bytes each).
+LEAF, DENSE, AT_ONCE = 192, 4096, 1 << 23
 
 
 #: The primes of XXH64.
@@ -181,30 +194,60 @@ def _split(pivots: np.ndarray, fps: np.ndarray, radius: int) -> tuple | None:
     return None
 
 
-def top_tree(sample: np.ndarray, scale: float, radius: int) -> list:
-    """Nested [pivot, mu, inner, outer]; an empty list is a shard. A node is split as long as the sample, each point of
-    which stands for ``scale`` fingerprints, says that it is larger than a shard: dense regions go deeper."""
-    if len(sample) * scale <= SHARD or len(sample) < 16:
-        return []
-    found = _split(sample[[0, len(sample) // 3, 2 * len(sample) // 3, -1]], sample, radius)
-    if found is None:
-        return []
-    pivot, mu, inner, outer = found
-    return [pivot, mu, top_tree(sample[inner], scale, radius), top_tree(sample[outer], scale, radius)]
+class Tree(NamedTuple):
+    """The upper levels: the pivot and boundary of each node, and what lies inward and outward of it: a node's number, or
+    the complement of a shard's. Shards below ``dense`` are those that no pivot splits."""
+
+    pivot: np.ndarray
+    mu: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+    dense: int
+
+
+def shard_size(n: int) -> int:
+    """The size of shard to aim for among ``n`` fingerprints."""
+    return max(SHARD, min(MOST_SHARD, n // SHARDS))
 
 
-def route(tree: list, fps: np.ndarray, radius: int) -> Iterator[tuple[str, np.ndarray]]:
+def top_tree(sample: np.ndarray, scale: float, radius: int, size: int | None = None) -> Tree:
+    """A node is split, the largest first, as long as the sample, each point of which stands for ``scale`` fingerprints,
+    says that it is larger than a shard of ``size``: dense regions go deeper."""
+    size = size or SHARD
+    nodes, shards, dense, order = [], [], [], itertools.count()
+    todo = [(-len(sample), next(order), sample, -1, 2)]  # as it is popped: points, the node above it, and its side of that
+    while todo:
+        _, _, points, above, side = heapq.heappop(todo)
+        large = len(points) * scale > size and len(points) >= 16
+        found = _split(points[[0, len(points) // 3, 2 * len(points) // 3, -1]], points, radius) if large and len(nodes) < MOST_NODES else None
+        if found is None:
+            (dense if large and len(nodes) < MOST_NODES and radius % 2 == 0 and radius <= SPREAD else shards).append((above, side))
+            continue
+        pivot, mu, inner, outer = found
+        if above >= 0:
+            nodes[above][side] = len(nodes)
+        nodes.append([pivot, mu, 0, 0])
+        for to, at in ((2, inner), (3, outer)):
+            heapq.heappush(todo, (-int(at.sum()), next(order), points[at], len(nodes) - 1, to))
+    for number, (above, side) in enumerate(dense + shards):
+        if above >= 0:
+            nodes[above][side] = ~number
+    column = lambda i, kind: np.array([node[i] for node in nodes], kind)
+    return Tree(column(0, np.uint64), column(1, np.int16), column(2, np.int32), column(3, np.int32), len(dense))
+
+
+def route(tree: Tree, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places of fps in it): every pair within the radius shares a shard."""
-    todo = [("", tree, np.arange(len(fps)))]
+    todo = [(0 if len(tree.pivot) else ~0, np.arange(len(fps)))]
     while todo:
-        name, node, at = todo.pop()
-        if not node or not len(at):
-            if len(at):
-                yield name, at
+        node, at = todo.pop()
+        if not len(at):
+            continue
+        if node < 0:
+            yield ~node, at
             continue
-        pivot, mu, inner, outer = node
-        d = _distances(pivot, fps[at])
-        todo += [(name + "0", inner, at[d <= mu + radius]), (name + "1", outer, at[d > mu])]
+        d, mu = _distances(tree.pivot[node], fps[at]), tree.mu[node]
+        todo += [(int(tree.inner[node]), at[d <= mu + radius]), (int(tree.outer[node]), at[d > mu])]
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -296,19 +339,39 @@ def link(fps: np.ndarray, radius: int) -> np.ndarray:
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b), a < b, of forests that join all fingerprints of ``distinct`` within the radius."""
     n = distinct.count()
-    wanted = int(min(MOST_SAMPLE, max(SAMPLE, SAMPLED * n / SHARD)))
+    size = shard_size(n)
+    wanted = int(min(MOST_SAMPLE, max(SAMPLE, SAMPLED * n / size)))
     # Hashes are uniform: a task sends the driver its share of the sample and no more.
     share, at = min(1.0, (1.5 * wanted + 64) / max(n, 1)), F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 32))
     few = distinct.where(at < share * float(1 << 32)).orderBy(at, "fp").limit(wanted).collect()
     sample = np.array([r["fp"] for r in few], np.int64).view(np.uint64)
-    tree = top_tree(sample, n / max(1, len(sample)), radius)
+    tree = top_tree(sample, n / max(1, len(sample)), radius, size)
+    sent = distinct.sparkSession.sparkContext.broadcast(tree)
+
+    def frame(dealt: list[tuple[int, np.ndarray]], fps: np.ndarray) -> pd.DataFrame:
+        shards, places = zip(*dealt, strict=True)
+        return pd.DataFrame({"shard": np.repeat(np.array(shards, np.int32), [len(at) for at in places]), "fp": fps[np.concatenate(places)]})
+
+    def spread(fps: np.ndarray) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for shard, places in route(sent.value, fps.view(np.uint64), radius):
+            held.append((shard, places))
+            rows += len(places)
+            if rows >= DEALT:
+                yield frame(held, fps)
+                held, rows = [], 0
+        if held:
+            yield frame(held, fps)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for b in batches:
-            fps = b["fp"].to_numpy()
-            names, places = zip(*route(tree, fps.view(np.uint64), radius), strict=True) if len(fps) else ([], [])
-            if places:
-                yield pd.DataFrame({"shard": np.repeat(np.array(names, object), [len(at) for at in places]), "fp": fps[np.concatenate(places)]})
+            held.append(b["fp"].to_numpy())
+            if sum(map(len, held)) >= DEALT:
+                yield from spread(np.concatenate(held))
+                held = []
+        if held:
+            yield from spread(np.concatenate(held))
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(b["fp"].to_numpy())
@@ -317,8 +380,22 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 
     # A partitioning asked for by number isn't merged again: fingerprints and shards are small in bytes and long in work.
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.repartition(parts, "fp").mapInPandas(deal, "shard string, fp long").repartition(parts, "shard")
-    return dealt.groupBy("shard").applyInPandas(join, "a long, b long").distinct()
+    dealt = distinct.repartition(parts, "fp").mapInPandas(deal, "shard int, fp long")
+    if not tree.dense:
+        return dealt.repartition(parts, "shard").groupBy("shard").applyInPandas(join, "a long, b long").distinct()
+    dealt = cut(dealt)
+    split = dealt.where(F.col("shard") >= tree.dense).repartition(parts, "shard").groupBy("shard").applyInPandas(join, "a long, b long")
+    return split.union(dense_links(dealt.where(F.col("shard") < tree.dense).select("fp").distinct(), radius)).distinct()
+
+
+def dense_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b), a < b, that join all of the distinct fingerprints within an even radius, without a task that holds
+    them: each goes to its neighbours within half of the radius, and those that meet at one are linked to the least of
+    them. No more meet than a fingerprint has neighbours."""
+    masks = [int(x.view(np.int64)[0]) for x in neighbours(np.zeros(1, np.uint64), radius // 2)]
+    meet = fps.select("fp", F.explode(F.transform(F.lit(masks), lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
+    met = meet.groupBy("at").agg(F.collect_list("fp").alias("of"), F.min("fp").alias("a")).where(F.size("of") > 1)
+    return met.select("a", F.explode("of").alias("b")).where("a < b")
 
 
 def components(edges: DataFrame) -> DataFrame:

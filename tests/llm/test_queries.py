@@ -214,6 +214,54 @@ def test_shards_stay_small():
     assert sum(n > 4 * simhash.SHARD for n in sizes) <= 1  # the cluster itself, which no pivot splits
 
 
+def test_copies_and_tree_stay_bounded_at_size():
+    rng = np.random.default_rng(13)
+    n = 10**8
+    size = simhash.shard_size(n)
+    sample = rng.integers(0, 1 << 64, simhash.SAMPLE, dtype=np.uint64)
+    tree = simhash.top_tree(sample, n / len(sample), 2, size)
+    fps = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    dealt = [(shard, len(at)) for shard, at in simhash.route(tree, fps, 2)]
+    assert sum(m for _, m in dealt) <= 12 * len(fps)
+    assert len({shard for shard, _ in dealt}) == len(dealt)
+    assert sum(m for _, m in dealt) / len(dealt) * n / len(fps) <= 2 * simhash.MOST_SHARD
+    assert sum(x.nbytes for x in tree[:4]) <= 18 * 4096
+
+
+def test_a_bounded_tree_loses_no_link(monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_NODES", 7)
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64))
+    fps = np.concatenate([base, near])
+    tree = simhash.top_tree(fps, 1.0, 2, 64)
+    assert len(tree.pivot) == 7 and not tree.dense
+    homes = {i: set() for i in range(len(fps))}
+    for shard, at in simhash.route(tree, fps, 2):
+        for i in at.tolist():
+            homes[i].add(shard)
+    assert all(homes[i] & homes[i + 4000] for i in range(4000))
+
+
+def test_a_dense_region_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 256)
+    rng = np.random.default_rng(23)
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    cluster = np.bitwise_xor.reduce(bits[rng.integers(0, 64, (3000, 4))], axis=1)
+    fps = np.unique(np.concatenate([cluster, rng.integers(0, 1 << 64, 500, dtype=np.uint64)]))
+    tree = simhash.top_tree(fps, 1.0, 2)
+    assert tree.dense
+    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 2)
+    root = {r.node: r.root for r in simhash.components(edges).collect()}
+    plain = fps.view(np.int64)[simhash.link(fps, 2)]
+    groups = lambda of: sorted(sorted(x) for x in of.values())
+    want, got = {}, {}
+    for x, r in zip(fps.view(np.int64).tolist(), plain.tolist(), strict=True):
+        want.setdefault(r, []).append(x)
+        got.setdefault(root.get(x, x), []).append(x)
+    assert groups(got) == groups(want)
+
+
 def pivotal(rows, chunks, levels, seed):
     """The rounding of one source, with plain lists: chunks, then their residuals ``FAN`` at a time."""
     taken, open_ = collections.Counter(), collections.defaultdict(list)
