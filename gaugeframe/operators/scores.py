@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.stats import ratio
+from gaugeframe.operators.resampling import poisson, signs, sums_by_draw
 
 
 def natural_groups(df: DataFrame, group: str, q0i0: str, q0i1: str, q1i0: str, q1i1: str) -> DataFrame:
@@ -96,30 +97,25 @@ def bootstrap_ci(df: DataFrame, score: str, category: str | None = None, draws:
 
     A resample gives each row a Poisson(1) count from a hash of row and draw, so the rows stay where they are and only
     sums by draw are shuffled: the usual distributed form of drawing with replacement. A row is known by ``key``, or by
-    all its values, so the result doesn't depend on how the rows are dealt. Rows are exploded by draw but never shuffled
-    so: sums by draw and category are combined first.
+    all its values, so the result doesn't depend on how the rows are dealt. Counts are made as matrices of rows by draws
+    and multiplied in the task, which leaves a sum for each category and draw. Rows without a score are left out; a draw
+    that takes no row of a category leaves that out, and no rows give nulls.
     """
-    cat = F.col(category) if category else F.lit("")
-    rows = df.select(cat.alias("_c"), F.col(score).cast("double").alias("_s"), F.xxhash64(*([key] if key else df.columns)).alias("_id"))
-    u = F.pmod(F.xxhash64("_id", "_d", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    cdf, count = 0.0, F.lit(0)
-    for k in range(9):
-        cdf += math.exp(-1) / math.factorial(k)
-        count = count + (u >= cdf).cast("int")
-    drawn = rows.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", count).where("_k > 0")
-    means = drawn.groupBy("_d", "_c").agg((F.sum(F.col("_k") * F.col("_s")) / F.sum("_k")).alias("_m")).groupBy("_d").agg(F.avg("_m").alias("_m"))
+    sums = sums_by_draw(df, F.col(category) if category else F.lit(""), F.col(score), F.xxhash64(*([key] if key else df.columns)), draws, seed, poisson)
+    means = sums.where("weight > 0").groupBy("draw").agg(F.avg(F.col("total") / F.col("weight")).alias("_m"))
     alpha = (1 - level) / 2
     return means.agg(F.percentile("_m", alpha).alias("low"), F.percentile("_m", 1 - alpha).alias("high"))
 
 
 def permutation_p(df: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 0, key: str | None = None) -> DataFrame:
-    """Two-sided Monte-Carlo test of paired scores: signs of the differences are flipped by a hash of row and draw.
-    A row is known by ``key``, or by all its values."""
-    rows = df.select((F.col(a) - F.col(b)).cast("double").alias("_x"), F.xxhash64(*([key] if key else df.columns)).alias("_id"))
-    flipped = rows.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("_y", F.when((F.col("_d") == 0) | (F.pmod(F.xxhash64("_id", "_d", F.lit(seed)), F.lit(2)) == 0), F.col("_x")).otherwise(-F.col("_x")))
-    sums = flipped.groupBy("_d").agg(F.abs(F.sum("_y")).alias("_y"))
-    seen = F.broadcast(sums.where("_d = 0").select(F.col("_y").alias("_o")))  # one row
-    return sums.where("_d > 0").join(seen).agg(F.first("_o").alias("observed"), F.avg((F.col("_y") >= F.col("_o") - 1e-12).cast("int")).alias("p"))
+    """Two-sided Monte-Carlo test of paired scores: signs of the differences are flipped by a hash of row and draw,
+    as matrices of rows by draws; the differences as they are come beside them as draw 0. A row is known by ``key``, or by
+    all its values; pairs without both scores are left out."""
+    difference, row = F.col(a) - F.col(b), F.xxhash64(*([key] if key else df.columns))
+    plain = lambda hashes: np.concatenate([np.ones((len(hashes), 1)), signs(hashes[:, 1:])], axis=1)
+    sums = sums_by_draw(df, F.lit(""), difference, row, draws + 1, seed, plain).select("draw", F.abs("total").alias("_y"))
+    of = sums.agg(F.max(F.when(F.col("draw") == 0, F.col("_y"))).alias("observed"), F.collect_list(F.when(F.col("draw") > 0, F.col("_y"))).alias("_all"))  # a number a draw
+    return of.select("observed", (F.size(F.filter("_all", lambda y: y >= F.col("observed") - 1e-12)) / F.lit(float(draws))).alias("p")).withColumn("p", F.when(F.col("observed").isNotNull(), F.col("p")))
 
 
 def located_counts(gt: list, found: list) -> float:
