@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import bloom, folds, judging, quantiles, reshape, tables, validation, variants
-from gaugeframe.sources import archives, writers
+from gaugeframe.sources import archives, members, writers
 from gaugeframe.streaming import states
 
 from .facts import read, rounded
@@ -67,6 +67,17 @@ def archive_members(spark, d):
     return found.select("archive", "name", F.sha2("content", 256).alias("digest"), "gap")
 
 
+def indexed_archives(spark, d):
+    """Texts of labelled documents out of archive files, which are written from all documents, indexed by their headers
+    and read only where a wanted member lies."""
+    docs = read(spark, d, "documents").where("text IS NOT NULL")
+    named = F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".txt"))
+    folder = tables.place(spark)
+    members.write_archives(docs, F.concat(F.lit("part-"), F.floor(F.col("doc_id") / 250), F.lit(".tar")), named, F.col("text"), folder)
+    found = members.wanted_contents(spark, folder, read(spark, d, "labels").select(named.alias("name")))
+    return found.select(F.substring_index("archive", "/", -1).alias("archive"), "name", "size", "piece", F.sha2("content", 256).alias("digest"), "gap")
+
+
 def shared_keys(spark, d):
     """U4: orders that are both urgent and returned in part, which a split into retained and excluded must not have."""
     orders = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("uid"))
@@ -160,6 +171,7 @@ SQL = {
     "judged_choices": f"""WITH {_ASKED} SELECT p_partkey, coalesce(said, CASE WHEN p_partkey % 3 = 1 THEN 'B' ELSE 'Z' END) "option",
         CASE WHEN said IS NOT NULL THEN '' WHEN p_partkey % 3 = 0 THEN 'Exact matching fallback: Z' WHEN p_partkey % 3 = 1 THEN '' ELSE 'Unresolved LLM judge response.' END log FROM q""",
     "archive_members": "SELECT DISTINCT 'part-' || doc_id // 100 || '.tar' archive, 'docs/' || doc_id || '.txt' AS name, sha256(text) digest, NULL gap FROM documents JOIN labels USING (doc_id)",
+    "indexed_archives": "SELECT DISTINCT 'part-' || doc_id // 250 || '.tar' archive, 'docs/' || doc_id || '.txt' AS name, CAST(octet_length(encode(text)) AS BIGINT) size, CAST(0 AS BIGINT) piece, sha256(text) digest, NULL gap FROM documents JOIN labels USING (doc_id)",
     "bloom_remaining": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "bloom_digest_semi": "SELECT doc_id, lang, sha256(text) digest FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 1)",
     "exact_quantiles": "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 6) quartile, round(quantile_cont(l_discount, 0.5), 6) \"median\" FROM lineitem GROUP BY 1, 2",

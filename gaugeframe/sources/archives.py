@@ -38,7 +38,7 @@ def unpacked(data: bytes) -> tuple[bytes, str | None]:
     return (bytes(out), "what follows isn't compressed") if out else (data, None)
 
 
-def _header(data: bytes, at: int) -> bool:
+def is_header(data: bytes, at: int) -> bool:
     try:
         tarfile.TarInfo.frombuf(data[at : at + BLOCK], "utf-8", "surrogateescape")
     except tarfile.HeaderError:
@@ -70,7 +70,7 @@ def members(data: bytes, wanted: set[str] | None) -> Iterator[tuple[str | None,
         if why is None:
             break
         yield None, None, why
-        at = next((x for x in range(shift + max(seen, BLOCK), len(data) - BLOCK + 1, BLOCK) if data[x : x + BLOCK].strip(b"\0") and _header(data, x)), len(data))
+        at = next((x for x in range(shift + max(seen, BLOCK), len(data) - BLOCK + 1, BLOCK) if data[x : x + BLOCK].strip(b"\0") and is_header(data, x)), len(data))
     if lost:
         yield None, None, lost
 
