@@ -55,7 +55,7 @@ def two_level(df: DataFrame, hit: Column, split: str, parent: str, child: str) -
     expected = base.select(parent, child).distinct()
     per = expected.join(children, child).groupBy("split", parent).agg(F.count("*").alias("_c"), F.avg("_m").alias("_avg"))
     full = expected.groupBy(parent).agg(F.count("*").alias("_all"))
-    return per.join(F.broadcast(full), parent).select("split", parent, F.when(F.col("_c") == F.col("_all"), F.col("_avg")).alias("accuracy"))
+    return per.join(full, parent).select("split", parent, F.when(F.col("_c") == F.col("_all"), F.col("_avg")).alias("accuracy"))
 
 
 def pivot_with_average(df: DataFrame, hit: Column, row: str, column: str, names: list) -> DataFrame:

@@ -55,13 +55,17 @@ def latest(df: DataFrame, key: list[str], order: Column) -> DataFrame:
 
 
 def offset_running_sum(df: DataFrame, bucket: Column, order: list[str], value: Column, into: str) -> DataFrame:
-    """A running sum in a global order without one task for all rows. ``bucket`` must not decrease along the
-    order; rows are summed within it, and the sums of the buckets before are added from a small table."""
+    """A running sum in a global order without one task for all rows, or for all buckets. ``bucket`` must not
+    decrease along the order, nulls come first; rows are summed within it. The sums of buckets are summed in ranges, and
+    what one task sees in a row is a number for each range."""
     rows = df.withColumn("_b", bucket).withColumn("_v", value)
-    sums = rows.groupBy("_b").agg(F.sum("_v").alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    sums = ranged(rows.groupBy("_b").agg(F.sum("_v").alias("_s")), "_b")
+    earlier = lambda of, w: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.groupBy("_piece").agg(F.sum("_s").alias("_t")).select("_piece", earlier("_t", Window.orderBy("_piece")).alias("_start"))
+    before = sums.withColumn("_within", earlier("_s", Window.partitionBy("_piece").orderBy("_b"))).join(starts, "_piece")
+    before = before.select("_b", (F.col("_within") + F.col("_start")).alias("_before"))
     inner = F.sum("_v").over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_in", inner).join(before, "_b").withColumn(into, F.col("_in") + F.col("_before")).drop("_b", "_v", "_in", "_before")
+    return joined(rows.withColumn("_in", inner), before, ["_b"]).withColumn(into, F.col("_in") + F.col("_before")).drop("_b", "_v", "_in", "_before")
 
 
 #: Values of a dimension up to which they are broadcast; beyond, the grid is refused.

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import bloom, folds, judging, quantiles, reshape, tables, validation, variants
+from gaugeframe.operators import bloom, expanders, folds, judging, quantiles, reshape, tables, validation, variants
 from gaugeframe.sources import archives, members, writers
 from gaugeframe.streaming import states
 
@@ -78,6 +78,12 @@ def indexed_archives(spark, d):
     return found.select(F.substring_index("archive", "/", -1).alias("archive"), "name", "size", "piece", F.sha2("content", 256).alias("digest"), "gap")
 
 
+def numbered_segments(spark, d):
+    """The segments of whole conversations, numbered and measured from turn to turn by a table function."""
+    marked = read(spark, d, "conversations").withColumn("text", F.regexp_replace("text", r"\. ", ". <image> "))
+    return expanders.numbered_segments(marked).select("conv_id", "turn", "position", "kind", F.md5("value").alias("digest"), "loss", "ordinal", "chars_before")
+
+
 def shared_keys(spark, d):
     """U4: orders that are both urgent and returned in part, which a split into retained and excluded must not have."""
     orders = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("uid"))
@@ -172,6 +178,10 @@ SQL = {
         CASE WHEN said IS NOT NULL THEN '' WHEN p_partkey % 3 = 0 THEN 'Exact matching fallback: Z' WHEN p_partkey % 3 = 1 THEN '' ELSE 'Unresolved LLM judge response.' END log FROM q""",
     "archive_members": "SELECT DISTINCT 'part-' || doc_id // 100 || '.tar' archive, 'docs/' || doc_id || '.txt' AS name, sha256(text) digest, NULL gap FROM documents JOIN labels USING (doc_id)",
     "indexed_archives": "SELECT DISTINCT 'part-' || doc_id // 250 || '.tar' archive, 'docs/' || doc_id || '.txt' AS name, CAST(octet_length(encode(text)) AS BIGINT) size, CAST(0 AS BIGINT) piece, sha256(text) digest, NULL gap FROM documents JOIN labels USING (doc_id)",
+    "numbered_segments": """WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) turn, role, text, string_split(replace(text, '. ', '. <image> '), '<image>') p FROM conversations), x AS (SELECT *, unnest(p) v, generate_subscripts(p, 1) i FROM t),
+        y AS (SELECT conv_id, turn, role, text, 2 * i - 2 position, 'text' kind, v, role = 'assistant' loss FROM x WHERE trim(v, ' ') <> '' UNION ALL SELECT conv_id, turn, role, text, 2 * i - 3, 'image', NULL, false FROM x WHERE i > 1)
+        SELECT conv_id, turn, CAST(position AS INTEGER) position, kind, md5(v) digest, loss, CAST(row_number() OVER w - 1 AS BIGINT) ordinal, CAST(coalesce(sum(length(v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) chars_before
+        FROM y WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text, position)""",
     "bloom_remaining": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "bloom_digest_semi": "SELECT doc_id, lang, sha256(text) digest FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 1)",
     "exact_quantiles": "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 6) quartile, round(quantile_cont(l_discount, 0.5), 6) \"median\" FROM lineitem GROUP BY 1, 2",
