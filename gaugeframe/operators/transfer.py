@@ -117,9 +117,13 @@ def difference_counts(facts: DataFrame, baseline: str) -> DataFrame:
     return scopes_and_nodes(small).groupBy("scope", "level", "node", "model").agg(*sums)
 
 
+#: Tasks that the exact tests are dealt over: their time grows with the square of the number of questions.
+TEST_TASKS = 64
+
+
 def paired_tests(counts: DataFrame) -> DataFrame:
     """``difference_counts`` with the exact test. The test runs once for each distinct set of counts."""
-    seen = counts.select("n1", "n2", "n3", F.abs("difference").alias("size")).distinct()
+    seen = counts.select("n1", "n2", "n3", F.abs("difference").alias("size")).distinct().repartition(TEST_TASKS, "n1", "n2", "n3", "size")
     tested = seen.withColumn("t", exact_test("n1", "n2", "n3", "size")).select("n1", "n2", "n3", "size", "t.*")
     return counts.withColumn("size", F.abs("difference")).join(tested, ["n1", "n2", "n3", "size"]).drop("size")
 

@@ -47,6 +47,14 @@ def test_sign_swaps_by_enumeration():
             stats.sign_swap_tail(*bad)
 
 
+def test_matrix_of_many_questions(spark):
+    facts = spark.range(15_000).select(F.col("id").alias("uid"), F.lit("b").alias("benchmark"), F.lit("f").alias("family"), F.lit("c").alias("capability"), F.explode(F.array(F.lit("baseline"), F.lit("m"))).alias("model"))
+    facts = facts.withColumns({"seed": F.lit(42), "hit": (F.col("model") == "m").cast("int")})
+    tests = transfer.paired_tests(transfer.difference_counts(facts, "baseline"))
+    row = transfer.matrix(transfer.per_seed(facts, "baseline"), tests, "baseline").collect()
+    assert [(r.gain_mean, r.p, r.significant) for r in row] == [(100.0, 0.0, True)]
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
