@@ -146,12 +146,13 @@ def angle_error(a: Column, b: Column) -> Column:
 
 
 def quantile(sorted_values: Column, share: float) -> Column:
-    """The linear quantile of a sorted array; null for an empty one."""
+    """The linear quantile of a sorted array of doubles; null for an empty one. The neighbours' shares are added with one
+    rounding, as ``quantile_cont`` does in DuckDB: a pixel on the edge between two levels shows the last bit."""
 
     def at(place: Column) -> Column:
         low = F.floor(place).cast("int")
         a, b = F.get(sorted_values, low), F.get(sorted_values, F.least(low + 1, F.size(sorted_values) - 1))
-        return a + (b - a) * (place - low)
+        return F.try_reflect(F.lit("java.lang.Math"), F.lit("fma"), a, 1.0 - (place - low), b * (place - low)).cast("double")
 
     return F.element_at(F.transform(F.array((F.size(sorted_values) - 1) * F.lit(share)), at), 1)
 

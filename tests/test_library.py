@@ -55,6 +55,17 @@ def test_matrix_of_many_questions(spark):
     assert [(r.gain_mean, r.p, r.significant) for r in row] == [(100.0, 0.0, True)]
 
 
+def test_quantile_adds_shares_as_duckdb(spark):
+    import duckdb
+
+    x = np.random.default_rng(6).integers(-3000, 3000, (200, 64)).astype(float).tolist()
+    rows = spark.createDataFrame([(r,) for r in x], "x array<double>")
+    got = rows.select(*[numeric.quantile(F.array_sort("x"), q).alias(n) for q, n in ((0.02, "a"), (0.98, "b"))]).collect()
+    want = [duckdb.sql(f"SELECT quantile_cont(x, 0.02), quantile_cont(x, 0.98) FROM (SELECT unnest({r}::DOUBLE[]) x)").fetchall()[0] for r in x]
+    assert [tuple(r) for r in got] == want
+    assert spark.range(1).select(numeric.quantile(F.array().cast("array<double>"), 0.5).alias("x")).first().x is None
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
