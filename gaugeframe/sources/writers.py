@@ -20,10 +20,11 @@ def report(tables: dict[str, DataFrame], path: str) -> None:
 def manifest(rows: DataFrame, path: str, ordinal: str = "ordinal") -> DataFrame:
     """K1: JSON lines in order, and a row of metadata beside them: count and digest of the ordered uids.
 
-    The rows are range-partitioned by the ordinal, so files sorted by name hold them in order.
+    The rows are range-partitioned by the ordinal, so files sorted by name hold them in order. Rows with the same
+    ordinal are in the order of their uids, as in the digest.
     """
     assert_empty(duplicates(rows, ["uid"]), "repeated uid")
-    rows.repartitionByRange(ordinal).sortWithinPartitions(ordinal).write.mode("errorifexists").json(f"{path}/rows")
+    rows.repartitionByRange(ordinal).sortWithinPartitions(ordinal, F.col("uid").cast("string")).write.mode("errorifexists").json(f"{path}/rows")
     meta = table_digest(rows, ordinal, "uid")
     meta.write.mode("errorifexists").json(f"{path}/metadata")
     return meta

@@ -208,6 +208,15 @@ def test_sources(spark, tmp_path):
         writers.manifest(rows.union(rows), str(tmp_path / "n"))
 
 
+def test_manifest_order_of_equal_ordinals(spark, tmp_path):
+    import hashlib
+
+    rows = spark.range(4000).select((F.col("id") % 7).alias("ordinal"), F.sha2(F.col("id").cast("string"), 256).alias("uid")).repartition(5)
+    meta = writers.manifest(rows, str(tmp_path / "m")).first()
+    got = readers.manifest(spark, str(tmp_path / "m/rows"), "uid string").orderBy("ordinal").collect()
+    assert hashlib.sha256("".join(f"{r.uid}\n" for r in got).encode()).hexdigest() == meta.ordered_uid_sha256
+
+
 def test_receipt_stream(spark, tmp_path):
     from gaugeframe.streaming import receipts
 
