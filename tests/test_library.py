@@ -55,6 +55,16 @@ def test_matrix_of_many_questions(spark):
     assert [(r.gain_mean, r.p, r.significant) for r in row] == [(100.0, 0.0, True)]
 
 
+def test_least_cost_ties():
+    assert pytext.assignment([[11.5, 7.0], [5.0, 0.5]]) == [0, 1] and pytext.assignment([[0.0, 0.0], [0.0, 0.0]]) == [0, 1]
+    rng = np.random.default_rng(5)
+    for n, m in ((2, 2), (3, 3), (2, 4), (4, 4)):
+        for _ in range(40):
+            cost = (rng.integers(0, 3, (n, m)) / 2).tolist()
+            assert tuple(pytext.assignment(cost)) == min(itertools.permutations(range(m), n), key=lambda p: (sum(cost[i][j] for i, j in enumerate(p)), p))
+    assert pytext.assignment([[1.0, float("inf")], [1.0, 5.0]]) == [0, 1] and pytext.assignment([[float("inf"), 9.0], [float("inf"), 0.1]]) == [0, 1]
+
+
 def test_quantile_adds_shares_as_duckdb(spark):
     import duckdb
 
