@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from gaugeframe.functions import numeric as N
 from gaugeframe.functions.stats import ratio
 from gaugeframe.operators.quantiles import exact_quantile
-from gaugeframe.operators.sampling import joined
+from gaugeframe.operators.resampling import HELD, ROWS
+from gaugeframe.operators.sampling import joined, ranged, sliced_rank
+from gaugeframe.operators.tables import cut
 
 
 def norm_summary(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
@@ -163,7 +165,7 @@ def draws(seed: int, key: str, n: int, repeats: int, width: int = 128) -> np.nda
 
 
 def minibatch_directions(x: np.ndarray, tokens: np.ndarray, schedule: np.ndarray, batch: int) -> np.ndarray:
-    """V9: of each draw the unit vector of its token-weighted sum: how often a row was drawn, times its tokens, times it."""
+    """V9, for a pool that a task holds: of each draw the unit vector of its token-weighted sum: how often a row was drawn, times its tokens, times it."""
     n, repeats = len(x), len(schedule)
     if not (np.isfinite(tokens).all() and (tokens > 0).all()) or not 1 <= batch <= schedule.shape[1]:
         raise ValueError("token weights must be positive, and a batch no wider than the schedule")
@@ -173,25 +175,73 @@ def minibatch_directions(x: np.ndarray, tokens: np.ndarray, schedule: np.ndarray
     return sums / np.linalg.norm(sums, axis=1)[:, None]
 
 
+def _drawn(groups: DataFrame, repeats: int, batch: int, seed: int) -> DataFrame:
+    """(task, side, fold, i, draws): of each row that is drawn at all, the draws that take it, as often as they do."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g in b.itertuples(index=False):
+                schedule = draws(seed, f"point:{g.task}:{g.side}:fold:{g.fold}", g.n, repeats)[:, :batch]
+                order = np.argsort(schedule.ravel(), kind="stable")
+                own, starts = np.unique(schedule.ravel()[order], return_index=True)
+                yield pd.DataFrame({"task": g.task, "side": g.side, "fold": g.fold, "i": own, "draws": np.split((order // batch).astype(np.int32), starts[1:])})
+
+    return groups.mapInPandas(run, "task string, side string, fold int, i int, draws array<int>")
+
+
+def _sums_of_draws(rows: DataFrame, repeats: int) -> DataFrame:
+    """V9: (task, side, fold, draw, sum): of each draw the token-weighted sum: how often a row was drawn, times its tokens,
+    times it. A task multiplies rows by draws and leaves one sum for each draw that it has met; it holds ``HELD`` numbers."""
+    where = ["task", "side", "fold"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def hand_on() -> Iterator[pd.DataFrame]:
+            for own, (sums, met) in held.items():
+                yield pd.DataFrame(dict(zip(where, own)) | {"draw": np.flatnonzero(met), "sum": list(sums[met])})
+            held.clear()
+
+        for b in batches:
+            for own, g in b.groupby(where):
+                for at in range(0, len(g), ROWS):
+                    part = g.iloc[at : at + ROWS]
+                    x, drawn = np.stack(part["x"].to_numpy()), np.zeros((repeats, len(part)))
+                    np.add.at(drawn, (np.concatenate(part["draws"].to_numpy()), np.repeat(np.arange(len(part)), part["draws"].str.len())), 1)
+                    sums, met = held.setdefault(own, (np.zeros((repeats, x.shape[1])), np.zeros(repeats, bool)))
+                    sums += (drawn * part["tokens"].to_numpy()) @ x
+                    met |= drawn.any(1)
+                if sum(s.size for s, _ in held.values()) > HELD:
+                    yield from hand_on()
+        yield from hand_on()
+
+    parts = rows.select(*where, "x", "tokens", "draws").mapInPandas(run, "task string, side string, fold int, draw int, sum array<double>")
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    every = F.array_sort(F.collect_list("sum"))
+    return parts.groupBy(*where, "draw").agg(F.aggregate(F.slice(every, 2, F.size(every)), every[0], add).alias("sum"))
+
+
 def minibatch_alignment(df: DataFrame, vector: str, task: str, side: str, fold: str, tokens: str, key: str, repeats: int = 200, batch: int = 16, seed: int = 7) -> DataFrame:
     """Cosine of source ('i2i') and target ('i2t') directions over draws, fold by fold, then the mean over
     folds weighted by the target's share, its Monte-Carlo standard error, and how far the first half of the draws is off.
-    A fold is a task; its pool has at most ``MOST_POOL`` rows, checked."""
-    for r in df.groupBy(fold).count().where(F.col("count") > MOST_POOL).limit(1).collect():
-        raise ValueError(f"a pool of {r['count']} rows in fold {r[fold]}")
-    rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.col(task).cast("string").alias("task"), F.col(side).alias("side"), F.col(fold).cast("int").alias("fold"), F.col(tokens).cast("double").alias("tokens"), F.col(key).cast("string").alias("key"))
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        f, drawn = int(b["fold"].iloc[0]), {"i2i": {}, "i2t": {}}
-        for (t, s), g in b.sort_values("key").groupby(["task", "side"]):
-            if s in drawn:
-                schedule = draws(seed, f"point:{t}:{s}:fold:{f}", len(g), repeats)
-                drawn[s][t] = minibatch_directions(np.stack(g["x"].to_numpy()), g["tokens"].to_numpy(), schedule, batch), len(g)
-        each = {(s, t): ((u * v).sum(1), n) for s, (u, _) in drawn["i2i"].items() for t, (v, n) in drawn["i2t"].items()}
-        out = [(s, t, f, c.mean(), c.var(ddof=1), c[: repeats // 2].mean(), n) for (s, t), (c, n) in each.items()]
-        return pd.DataFrame(out, columns=["source", "target", "fold", "mean", "variance", "half", "n"])
-
-    each = rows.groupBy("fold").applyInPandas(run, "source string, target string, fold int, mean double, variance double, half double, n long")
+
+    Pools may have any number of rows: rows are numbered in ranges of their keys, and those that no draw takes go before
+    anything is multiplied. Directions of a fold meet draw by draw."""
+    if not 1 <= batch <= draws(seed, "", 1, 1).shape[1]:
+        raise ValueError("a batch must not be wider than the schedule")
+    where = ["task", "side", "fold"]
+    weight = F.col(tokens).cast("double")
+    weight = F.when((weight > 0) & (weight < float("inf")), weight).otherwise(F.raise_error(F.lit("token weights must be positive")).cast("double"))
+    rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.col(task).cast("string").alias("task"), F.col(side).alias("side"), F.col(fold).cast("int").alias("fold"), weight.alias("tokens"), F.col(key).cast("string").alias("key"))
+    rows = ranged(rows.where("task IS NOT NULL AND side IN ('i2i', 'i2t')"), *where, "key")
+    groups = cut(rows.groupBy(*where).agg(F.count("*").alias("n")))
+    numbered = sliced_rank(rows, where, "_piece", ["key"], "i")
+    sums = _sums_of_draws(numbered.join(_drawn(groups, repeats, batch, seed), [*where, "i"]), repeats)
+    units = cut(sums.select(*where, "draw", N.unit(F.col("sum")).alias("u")))
+    of = lambda s, name: units.where(F.col("side") == s).select("fold", "draw", F.col("task").alias(name), F.col("u").alias(f"_{name}"))
+    pairs = of("i2i", "source").join(of("i2t", "target"), ["fold", "draw"]).select("source", "target", "fold", "draw", N.dot(F.col("_source"), F.col("_target")).alias("c"))
+    each = pairs.groupBy("source", "target", "fold").agg(F.avg("c").alias("mean"), F.var_samp("c").alias("variance"), F.avg(F.when(F.col("draw") < repeats // 2, F.col("c"))).alias("half"))
+    each = each.join(groups.where("side = 'i2t'").select(F.col("task").alias("target"), "fold", "n"), ["target", "fold"])
     sums = {"_m": F.col("mean") * F.col("n"), "_v": F.col("variance") * F.col("n") * F.col("n") / repeats, "_h": F.col("half") * F.col("n")}
     weighted = each.groupBy("source", "target").agg(*[F.sum(c).alias(k) for k, c in sums.items()], F.sum("n").alias("n"))
     mean = ratio(F.col("_m"), F.col("n"))

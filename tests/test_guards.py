@@ -153,6 +153,21 @@ def test_minibatch_alignment_by_brute_force(spark, sf):
         assert r.alignment == pytest.approx(mean[k] / weight[k]) and r.prefix_difference == pytest.approx((mean[k] - half[k]) / weight[k])
 
 
+def test_minibatch_alignment_of_a_large_pool(spark):
+    n = 2 * vectors.MOST_POOL + 2
+    rows = spark.range(n).select(F.col("id").alias("key"), F.lit("t").alias("task"), F.when(F.col("id") % 2 == 0, "i2i").otherwise("i2t").alias("side"), F.lit(0).alias("fold"), (F.col("id") % 5 + 1).alias("tokens"), F.array(F.sin("id"), F.lit(1.0)).alias("x"))
+    (got,) = vectors.minibatch_alignment(rows, "x", "task", "side", "fold", "tokens", "key", repeats=6, batch=3).collect()
+    unit = {}
+    for s, side in enumerate(("i2i", "i2t")):
+        ids = np.array(sorted(range(s, n, 2), key=str))[vectors.draws(7, f"point:t:{side}:fold:0", n // 2, 6)[:, :3]]
+        sums = (np.stack([np.sin(ids), np.ones(ids.shape)], 2) * (ids % 5 + 1)[:, :, None]).sum(1)
+        unit[side] = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    c = (unit["i2i"] * unit["i2t"]).sum(1)
+    assert got.n == n // 2 and (got.alignment, got.mcse, got.prefix_difference) == pytest.approx((c.mean(), (c.var(ddof=1) / 6) ** 0.5, c.mean() - c[:3].mean()))
+    with pytest.raises(Exception, match="positive"):
+        vectors.minibatch_alignment(rows.withColumn("tokens", F.lit(0)), "x", "task", "side", "fold", "tokens", "key").collect()
+
+
 def test_ranks_in_ranges(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["hot", "hot", "hot", "x", None]), rng.randrange(40), i) for i in range(900)]
