@@ -34,7 +34,9 @@ def json_paths(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 def merged_paths(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFrame:
     """``over`` laid over ``base``, both (keys, path, value): a leaf of ``over`` takes the place of the leaf of that path,
-    of all below it, and of a leaf that it lies below. Keys that only one side has stay; null keys are equal."""
+    of all below it, and of a leaf that it lies below. Keys that only one side has stay; null keys are equal.
+
+    Neither join may broadcast: paths take a few bytes on disk and some hundred times that as a table in memory."""
     from gaugeframe.operators.sampling import joined
 
     # Each path with those that it lies below, itself included, so that covering is an equality.
@@ -42,6 +44,6 @@ def merged_paths(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFrame
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ""))
     up = over.select(*keys, F.explode(above).alias("path")).distinct()
     down = base.withColumn("_up", F.explode(above))
-    hidden = joined(down.select(*keys, F.col("path").alias("_path"), F.col("_up").alias("path")), over.select(*keys, "path").distinct(), [*keys, "path"], "left_semi").select(*keys, F.col("_path").alias("path"))
+    hidden = joined(down.select(*keys, F.col("path").alias("_path"), F.col("_up").alias("path")), over.select(*keys, "path").distinct().hint("merge"), [*keys, "path"], "left_semi").select(*keys, F.col("_path").alias("path"))
     gone = hidden.unionByName(up).distinct()
-    return joined(base, gone, [*keys, "path"], "left_anti").unionByName(over)
+    return joined(base, gone.hint("merge"), [*keys, "path"], "left_anti").unionByName(over)

@@ -185,6 +185,15 @@ def test_paths_are_laid_over_each_other(spark):
     assert got == {(1, ".a.x", "7"), (1, ".b.c", "8"), (1, ".b.d", "3"), (1, ".e", "9"), (2, ".a", "5"), (3, ".n", "0"), (None, ".a", "n")}
 
 
+def test_laid_paths_are_not_broadcast(spark):
+    """Not even where the files are small: compressed, they say little about the table."""
+    kind = "id int, path string, value string"
+    df = variants.merged_paths(spark.createDataFrame([(1, ".a", "1")], kind), spark.createDataFrame([(1, ".a.x", "7")], kind), ["id"])
+    assert [tuple(r) for r in df.collect()] == [(1, ".a.x", "7")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
+
+
 def test_overlaps_by_brute_force(spark):
     rng = np.random.default_rng(11)
     sides = []
