@@ -1,5 +1,6 @@
 """Hand-computed values, exhaustive small cases and guards."""
 
+import functools
 import itertools
 
 import numpy as np
@@ -47,6 +48,14 @@ def test_sign_swaps_by_enumeration():
             stats.sign_swap_tail(*bad)
 
 
+def test_exact_numbers_of_any_length():
+    num, den, p, significant = stats.exact_row(20_000, 0, 0, 300)
+    mod = lambda text: functools.reduce(lambda a, c: (10 * a + int(c)) % 1_000_003, text, 0)
+    want = 2 * sum(itertools.accumulate(range(9_850), lambda c, i: c * (20_000 - i) // (i + 1), initial=1))
+    assert mod(num) == want % 1_000_003 and mod(den) == pow(2, 20_000, 1_000_003) and len(den) == 6021
+    assert p == want / 2**20_000 and significant == (20 * want < 2**20_000)
+
+
 def test_matrix_of_many_questions(spark):
     facts = spark.range(15_000).select(F.col("id").alias("uid"), F.lit("b").alias("benchmark"), F.lit("f").alias("family"), F.lit("c").alias("capability"), F.explode(F.array(F.lit("baseline"), F.lit("m"))).alias("model"))
     facts = facts.withColumns({"seed": F.lit(42), "hit": (F.col("model") == "m").cast("int")})
