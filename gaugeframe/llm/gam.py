@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,12 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max
 
 
 def scorer(model: Model | None):
-    @F.pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
+    """An Arrow function of texts as bytes. Only a slice of a batch at a time is turned into Python's bytes."""
+
+    @F.arrow_udf("double")
+    def run(text: pa.Array) -> pa.Array:
         if model is None:
-            return pd.Series(np.full(len(text), 0.5))
-        parts = [model.score(np.array([measure(t) for t in text.iloc[s]], float)) for s in slices(len(text))]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            return pa.array(np.full(len(text), 0.5))
+        parts = [model.score(np.array([measure(t) for t in text[s].to_pylist()], float)) for s in slices(len(text))]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return run
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,17 +134,18 @@ def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 60
 
 
 def scorer(model: Model | None, ambiguous: float):
-    """A pandas function of texts and whether they have a letter: (lang_pred, score, ambiguous)."""
+    """An Arrow function of texts and whether they have a letter: (lang_pred, score, ambiguous). Only a slice of a batch
+    at a time is turned into Python's texts."""
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def run(text: pd.Series, letter: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def run(text: pa.Array, letter: pa.Array) -> pa.Array:
         n = len(text)
         pred, score, unsure = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
-        at = np.nonzero(letter.to_numpy())[0] if model else np.zeros(0, int)
+        at = np.nonzero(letter.to_numpy(zero_copy_only=False))[0] if model else np.zeros(0, int)
         for s in slices(len(at)):
-            best, share, lead = model.decode(np.stack([histogram(t) for t in text.iloc[at[s]]]))
+            best, share, lead = model.decode(np.stack([histogram(t) for t in text.take(pa.array(at[s])).to_pylist()]))
             pred[at[s]], score[at[s]], unsure[at[s]] = np.array(model.languages, object)[best], np.minimum(share, 1.0), lead < ambiguous
-        return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": unsure})
+        return pa.StructArray.from_arrays([pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(unsure)], ["lang_pred", "score", "ambiguous"])
 
     return run
 
